@@ -22,7 +22,7 @@ from docustrata.session import durable
 #: Reference entries are broadcast; more characters of them than this are refused rather than spread unchecked.
 REFERENCE_CHARS = 50_000_000
 #: Words that people put around a value without changing what it means.
-NOISE = frozenset("по согласно см № изд издание ред редакция с поправкой поправками нормы свод правил о требованиях проект документ документа статус уточнено карточку карточка карточке".split())
+NOISE = frozenset("по согласно см изд издание ред редакция с поправкой поправками нормы свод правил о требованиях проект документ документа статус уточнено карточку карточка карточке".split())
 #: Words that may be left out or written as their first letter.
 LINKING = {"для": "д"}
 #: Transliteration of Cyrillic letters.
@@ -33,7 +33,12 @@ KEYS = dict(zip("qwertyuiop[]asdfghjkl;'zxcvbnm,.`", "йцукенгшщзхъф
 DIGIT_LETTER = {"0": "о", "3": "з", "6": "б", "4": "ч"}
 LETTER_DIGIT = {"о": "0", "o": "0", "з": "3", "l": "1", "i": "1", "б": "6"}
 
-_TOKEN = re.compile(r"(\d+|[^\W\d_]+)(\.?)|(№)")
+#: Abbreviations with a stroke and what the word meant starts with.
+STROKED = {"ж/б": "железобетон.", "zh/b": "zhelezobeton."}
+
+_TOKEN = re.compile(r"(\d+|[^\W\d_]+)(\.?)")
+#: A date beside a value, with the word before it.
+_DATE = re.compile(r"(?:(?<![^\W\d_])[сcs]\s+)?(?<!\d)\d{1,2}\.\d{1,2}\.\d{4}(?!\d)")
 _DIGITS = re.compile(r"(?<=[^\W\d_])[0346](?=[^\W\d_])")
 _LETTERS = re.compile(r"(?<=\d)[оoзliб](?=\d)")
 _SHORT = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,2})-([^\W\d_]{2,5})(?![^\W\d_])")
@@ -45,7 +50,10 @@ def allowed(length: int) -> int:
 
 
 def folded(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).casefold().replace("ё", "е")
+    low = unicodedata.normalize("NFKC", text.replace("№", " ")).casefold().replace("ё", "е")
+    for short, full in STROKED.items():
+        low = low.replace(short, full)
+    return low
 
 
 class WordTrie:
@@ -54,6 +62,7 @@ class WordTrie:
     def __init__(self) -> None:
         self.root: dict = {}
         self.known: dict[str, set[int]] = {}
+        self.joined: set[int] = set()
         self._memory: dict[tuple[str, bool], dict[int, int]] = {}
 
     def add(self, spelling: str, word: int) -> None:
@@ -77,14 +86,15 @@ class WordTrie:
             return dict.fromkeys(self.known[typed], 0)
         if typed.isdigit():
             return {}
-        most, n = allowed(len(typed)), len(typed)
+        n = len(typed)
+        most = allowed(n + 1)
         found: dict[int, int] = {}
         todo = [(self.root, "", list(range(n + 1)), None, 0)]
         while todo:
             node, last, row, before, depth = todo.pop()
             for ch, child in node.items():
                 if ch == "":
-                    if row[n] <= min(most, allowed(depth)):
+                    if row[n] <= allowed(max(n, depth)):
                         for w in child:
                             found[w] = min(found.get(w, 99), row[n])
                     continue
@@ -94,8 +104,8 @@ class WordTrie:
                     if before is not None and j > 1 and typed[j - 1] == last and typed[j - 2] == ch:
                         cost = min(cost, before[j - 2] + 1)
                     new.append(cost)
-                if cut and n >= 3 and new[n] <= (0 if n < 5 else 1) and depth + 1 >= n - 1:
-                    for w in self._below(child):
+                if cut and n >= 3 and new[n] <= (0 if n < 4 else 1) and depth + 1 >= n - 1:
+                    for w in set(self._below(child)) - self.joined:
                         found[w] = min(found.get(w, 99), new[n])
                 if min(new) <= most:
                     todo.append((child, ch, new, row, depth + 1))
@@ -132,9 +142,11 @@ class EntryTrie:
                 self._path(path, entry)
             for i in range(len(tokens) - 1):
                 if not tokens[i].isdigit() and not tokens[i + 1].isdigit():
+                    if tokens[i] + tokens[i + 1] not in self.number:
+                        self.words.joined.add(self._word(tokens[i] + tokens[i + 1]))
                     self._path([*tokens[:i], tokens[i] + tokens[i + 1], *tokens[i + 2 :]], entry)
-        self.noise = {w for n in NOISE if (w := self._word(n)) is not None}
-        self.linking = {self._word(x) for x in LINKING}
+        #: Words to pass over, and the most edits in them.
+        self.noise = {self._word(n): int(len(n) >= 6) for n in NOISE}
 
     def _word(self, spelling: str) -> int:
         spelling = python_form(spelling)
@@ -145,6 +157,7 @@ class EntryTrie:
                 self.words.add("".join(TRANSLIT.get(ch, ch) for ch in spelling), w)
             if spelling in LINKING:
                 self.words.add(LINKING[spelling], w)
+                self.words.add(TRANSLIT[LINKING[spelling]], w)
         return self.number[spelling]
 
     def _path(self, tokens: list[str], entry: int) -> None:
@@ -181,7 +194,7 @@ class EntryTrie:
         n = len(tokens)
         states: list[dict[int, tuple[dict, int]]] = [{} for _ in range(n + 1)]
         states[0][id(self.root)] = (self.root, 0)
-        most = 1 + sum(len(t[0]) for t in tokens) // 14
+        most = 1 + sum(len(t[0]) for t in tokens) // 8
         for i in range(n):
             if not states[i]:
                 continue
@@ -192,7 +205,7 @@ class EntryTrie:
                         total = cost + d
                         if total > most:
                             continue
-                        for nxt in ([node[w]] if w in node else []) + ([node] if w in self.noise else []):
+                        for nxt in ([node[w]] if w in node else []) + ([node] if d <= self.noise.get(w, -1) else []):
                             old = states[i + used].get(id(nxt))
                             if old is None or old[1] > total:
                                 states[i + used][id(nxt)] = (nxt, total)
@@ -217,18 +230,22 @@ def tokens_of(text: str, repair: bool) -> list[tuple[str, str, bool]]:
         text = _LETTERS.sub(lambda m: LETTER_DIGIT[m[0]], _DIGITS.sub(lambda m: DIGIT_LETTER[m[0]], text))
     out, at = [], 0
     for m in _SHORT.finditer(text):
-        out += [(w or no, "", bool(dot)) for w, dot, no in _TOKEN.findall(text[at : m.start()])]
+        out += [(w, "", bool(dot)) for w, dot in _TOKEN.findall(text[at : m.start()])]
         out.append((m[1], m[2], False))
         at = m.end()
-    return out + [(w or no, "", bool(dot)) for w, dot, no in _TOKEN.findall(text[at:])]
+    return out + [(w, "", bool(dot)) for w, dot in _TOKEN.findall(text[at:])]
 
 
 def readings(value: str) -> list[list[tuple]]:
     """The value as it looks, as it is spelled, and as typed on the other keyboard."""
     low = folded(value)
+    bare = _DATE.sub(" ", low)
+    low = bare if bare.strip() else low
     texts = [python_form(low), low]
-    if not re.search("[а-я]", low) and re.search("[a-z]", low):
-        texts.append(python_form("".join(KEYS.get(ch, ch) for ch in low)).replace("ё", "е"))
+    if len(re.findall("[a-z]", low)) > len(re.findall("[а-я]", low)):
+        typed = "".join(KEYS.get(ch, ch) for ch in low)
+        ends = re.sub(r"[юб](?=\s|$)", lambda m: low[m.start()] if low[m.start()] in ".," else m[0], typed)
+        texts += [t.replace("ё", "е") for t in (typed, ends)]
     seen, out = set(), []
     for t in texts:
         got = tokens_of(t, True)

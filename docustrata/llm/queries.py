@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docustrata.llm import canonical, leaks, lookalikes, neighbours, pieces, tokens
+from docustrata.llm import canonical, leaks, lookalikes, neighbours, pieces, scans, tokens
 from docustrata.sources.tables import table
 
 DIMS = 64
@@ -35,6 +35,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).where("piece_no = 2").select("table_name", "item_id")
 
 
+def scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts that may come from scanned pages."""
+    named = [("ocr_pages", "page_id", "text"), ("pdf_texts", "text_id", "combined_text"), ("document_nodes", "id", "text")]
+    parts = [table(spark, folder, n).select(F.lit(n).alias("table_name"), "version_id", F.col(k).alias("record_id"), F.col(t).alias("text")) for n, k, t in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with traces of printed pages and misreading."""
+    return scans.found_cases(scans.repaired(scanned(spark, folder)))
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's continuous paragraphs."""
+    return scans.repaired(scanned(spark, folder)).select("table_name", "record_id", "repaired").distinct()
+
+
 def p7_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """Every hand-typed value with the entry it means, its distance and all entries within distance."""
     return canonical.mapped_values(*(table(spark, folder, n) for n in ("document_aliases", "document_cards", "canonical_entries")))
@@ -66,5 +83,5 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return forms.select("doc_id", "class_id", F.sha2("canonical_text", 256).alias("form_hash"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_mapped": p7_mapped, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_mapped": p7_mapped, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_canonical": p10_canonical}
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ from docustrata.session import durable
 K = 5
 CURVES = 16
 #: Vectors compared with each other at once, and vectors a task sorts.
-WINDOW = 2048
+WINDOW = 4096
 TASK_ROWS = 6 * WINDOW
 #: Vectors per table from which the directions and ranges are fitted; every vector is indexed.
 SAMPLE = 20_000
@@ -117,12 +117,14 @@ def _unit(column: pa.Array) -> np.ndarray:
 def _best(block: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and similarities of the k best others of each row, padded with -1."""
     n = len(block)
-    s = block @ block.T
-    np.fill_diagonal(s, -9)
     take = min(k, n - 1)
-    top = np.argpartition(s, n - take - 1, axis=1)[:, n - take :] if take else np.zeros((n, 0), int)
     who, how = np.full((n, k), -1, np.int64), np.full((n, k), -9, np.float32)
-    who[:, :take], how[:, :take] = numbers[top], np.take_along_axis(s, top, 1)
+    for lo in range(0, n if take else 0, 1024):
+        s = block[lo : lo + 1024] @ block.T
+        rows = np.arange(len(s))
+        s[rows, lo + rows] = -9
+        top = np.argpartition(s, n - take - 1, axis=1)[:, n - take :]
+        who[lo : lo + len(s), :take], how[lo : lo + len(s), :take] = numbers[top], np.take_along_axis(s, top, 1)
     return who, how
 
 

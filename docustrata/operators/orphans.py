@@ -56,6 +56,7 @@ class OrphanLedger:
         """``references``: from reference_keys, of all steps or of a sample; only its hot keys are taken from it."""
         self.hot = durable(hot_keys(references, KEY))
         self.parents: DataFrame | None = None
+        self.gone: DataFrame | None = None
         self.refs: DataFrame | None = None
 
     def _judge(self, refs: DataFrame, live: DataFrame) -> DataFrame:
@@ -64,10 +65,12 @@ class OrphanLedger:
         return joined.select("reference_id", *KEY, "created_at", "_salt", (~F.coalesce(F.col("first_live") <= F.col("created_at"), F.lit(False))).alias("orphan"))
 
     def advance(self, new_refs: DataFrame, arrived: DataFrame, deleted: DataFrame) -> None:
-        """One step; ``arrived`` and ``deleted`` are parent rows, of which a deletion names the row that arrived."""
+        """One step; ``arrived`` and ``deleted`` are parent rows, of which a deletion names the row that arrived, or will arrive."""
         identity = [*KEY, "created_at", "deleted_at"]
         live = arrived if self.parents is None else self.parents.unionByName(arrived)
         gone = deleted.select(*identity)
+        gone = durable(gone if self.gone is None else self.gone.unionByName(gone).distinct())
+        self.gone = gone
         live = live.join(gone, [live[c].eqNullSafe(gone[c]) for c in identity], "left_anti")
         fresh = salted(new_refs, self.hot, KEY, "reference_id").select("reference_id", *KEY, "created_at", "_salt")
         if self.refs is None:
@@ -77,9 +80,8 @@ class OrphanLedger:
         marked = self.refs.join(touched.withColumn("_touched", F.lit(True)), [*KEY, "_salt"], "left")
         again = marked.where("_touched").select("reference_id", *KEY, "created_at", "_salt")
         rest = marked.where("_touched is null").drop("_touched")
-        self.parents, before = durable(live), self.refs
+        self.parents = durable(live)
         self.refs = durable(self._judge(fresh.unionByName(again), self.parents).unionByName(rest.select("reference_id", *KEY, "created_at", "_salt", "orphan")))
-        del before
 
     def orphans(self) -> DataFrame:
         """The references that are orphans now: reference_id, field_name, ref_key, created_at."""

@@ -80,7 +80,8 @@ def topic_bonus(found: Column, candidate: Column, topics=TOPICS) -> Column:
     """Bonus of the family that the question's tokens speak for; a candidate has one family, so at most one applies."""
     out = F.lit(0.0)
     for stems, families in topics:
-        spoken = F.exists(found, lambda t, stems=stems: t.rlike("^(?:" + "|".join(stems) + ")"))
+        pattern = "^(?:" + "|".join(stems) + ")"
+        spoken = F.exists(found, lambda t: t.rlike(pattern))  # noqa: B023
         for name, bonus in families:
             out = F.when(spoken & (family(candidate) == family(F.lit(name))), F.greatest(out, F.lit(bonus))).otherwise(out)
     return out

@@ -84,4 +84,33 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_mapped": p7_mapped, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_canonical": p10_canonical}
-ORACLES: dict[str, str] = {}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _mapped(column: str) -> str:
+    removed = f"regexp_replace({column}, " + _quoted(lookalikes.INVISIBLE) + ", '', 'g')"
+    return f"translate({removed}, {_quoted(lookalikes.FROM)}, {_quoted(lookalikes.TO)})"
+
+
+def _long(name: str, key: str) -> str:
+    edge = pieces.EDGE.replace(r"\s", r"\s\x0b")
+    bare = "regexp_replace(text, " + _quoted("^" + edge + "|" + edge + r"\z") + ", '', 'g')"
+    return f"SELECT DISTINCT '{name}' AS table_name, {key} AS item_id FROM {name} WHERE {key} IS NOT NULL AND length({bare}) > {pieces.LIMIT}"
+
+
+def _runs(name: str, key: str, column: str) -> str:
+    words = f"regexp_extract_all(lower(nfc_normalize({_mapped(column)})), " + _quoted(r"[\p{L}\p{N}]+") + ")"
+    return f"SELECT {key}, unnest(list_transform(range(1, greatest(len(w) - {leaks.RUN - 2}, 1)), lambda i: array_to_string(w[i:i + {leaks.RUN - 1}], ' '))) AS run FROM (SELECT {key}, {words} AS w FROM {name})"
+
+
+_SEEN = _quoted(r"[^\s\x0b\x1c-\x1f\x{85}\x{2028}\x{2029}" + lookalikes.SPACES + lookalikes.INVISIBLE[1:-1] + "]")
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"{_long('document_nodes', 'id')} UNION ALL {_long('retrieval_units', 'unit_id')}",
+    "p9_found": f"WITH d AS ({_runs('documents', 'doc_id', 'text')}), e AS ({_runs('eval_passages', 'item_id', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run) WHERE len(string_split(run, ' ')) = {leaks.RUN}",
+    "p10_found": f"WITH f AS (SELECT doc_id, text, nfc_normalize({_mapped('text')}) AS form FROM documents WHERE regexp_matches(text, {_SEEN})) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_canonical": f"WITH f AS (SELECT doc_id, {_mapped('text')} AS m, nfc_normalize({_mapped('text')}) AS form FROM documents), c AS (SELECT form, min(doc_id) AS class_id FROM f WHERE form IS NOT NULL GROUP BY 1) SELECT f.doc_id, class_id, sha256(g.m) AS form_hash FROM f LEFT JOIN c USING (form) LEFT JOIN f g ON g.doc_id = c.class_id",
+}

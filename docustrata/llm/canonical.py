@@ -45,8 +45,8 @@ _SHORT = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,2})-([^\W\d_]{2,5})(?![^\W\d_])")
 
 
 def allowed(length: int) -> int:
-    """Edits allowed in a word: none up to two letters, one up to eight, two beyond. Numbers allow none."""
-    return 0 if length <= 2 else 1 if length <= 8 else 2
+    """Edits allowed in a word: none up to two letters, one up to four, two up to eight, three beyond. Numbers allow none."""
+    return 0 if length <= 2 else 1 if length <= 4 else 2 if length <= 8 else 3
 
 
 def folded(text: str) -> str:
@@ -140,13 +140,18 @@ class EntryTrie:
             plain = [t for t in tokens if t not in LINKING]
             for path in (tokens, plain, *([[p[1], p[0], *p[2:]] for p in (tokens, plain) if len(p) > 2 and not p[1].isdigit()])):
                 self._path(path, entry)
+            numbers = [t for t in tokens if t.isdigit()]
+            if len(numbers) > 1:  # written without separators
+                self._path([*(t for t in tokens if not t.isdigit()), "".join(numbers)], entry)
+            if len(tokens) > 5:  # three words run together and cut to the start of the first
+                self._path([tokens[0], *tokens[3:]], entry)
             for i in range(len(tokens) - 1):
                 if not tokens[i].isdigit() and not tokens[i + 1].isdigit():
                     if tokens[i] + tokens[i + 1] not in self.number:
                         self.words.joined.add(self._word(tokens[i] + tokens[i + 1]))
                     self._path([*tokens[:i], tokens[i] + tokens[i + 1], *tokens[i + 2 :]], entry)
         #: Words to pass over, and the most edits in them.
-        self.noise = {self._word(n): int(len(n) >= 6) for n in NOISE}
+        self.noise = {self._word(n): int(len(n) >= 4) for n in NOISE}
 
     def _word(self, spelling: str) -> int:
         spelling = python_form(spelling)
@@ -182,19 +187,19 @@ class EntryTrie:
         words = self.words.search(head, False)
         if dot:
             words = self.words.search(head, True) | words
-        if not words:
-            for n in NOISE:
-                if len(n) > 1 and head.startswith(python_form(n)) and len(head) > len(n) + 1:
-                    words = self.words.search(head[len(n) :], dot)
-                    break
-        return [(1, words, len(head))]
+        options = [(1, words, len(head))]
+        if head not in self.words.known:  # a word of no meaning written before the next one
+            for n in sorted(NOISE):
+                if len(n) > 1 and head.startswith(n) and len(head) > len(n) + 1:
+                    options.append((1, self.words.search(head[len(n) :], dot), len(head)))
+        return options
 
     def walk(self, tokens: list[tuple]) -> dict[int, int]:
         """Entries reached by the tokens and their distances."""
         n = len(tokens)
         states: list[dict[int, tuple[dict, int]]] = [{} for _ in range(n + 1)]
         states[0][id(self.root)] = (self.root, 0)
-        most = 1 + sum(len(t[0]) for t in tokens) // 8
+        most = 1 + sum(len(t[0]) for t in tokens) // 6
         for i in range(n):
             if not states[i]:
                 continue

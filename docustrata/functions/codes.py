@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docustrata.functions.text import clean_code, normalize_code, squeeze
+from docustrata.functions.text import clean_code, let, normalize_code, squeeze
 
 #: Spellings of each code prefix.
 PREFIX_VARIANTS = {"SP": ["SP", "СП"], "СП": ["СП", "SP"], "SNIP": ["SNIP", "СНИП", "СНиП"], "СНИП": ["СНИП", "SNIP", "СНиП"], "GOST": ["GOST", "ГОСТ"], "ГОСТ": ["ГОСТ", "GOST"]}
@@ -28,9 +28,12 @@ def document_type(code: Column) -> Column:
 
 def family(code: Column) -> Column:
     """Prefix and first number; where digits don't follow the first word, the code without its year."""
-    norm = normalize_code(F.coalesce(code, F.lit("")))
-    word, number = F.regexp_extract(norm, "^([A-ZА-ЯЁ]+)[ ]*([0-9]+)", 1), F.regexp_extract(norm, "^([A-ZА-ЯЁ]+)[ ]*([0-9]+)", 2)
-    return F.when(number != "", F.concat(word, number)).otherwise(F.regexp_replace(norm, "[.\\-/][0-9]{4}$", ""))
+
+    def of(norm: Column) -> Column:
+        word, number = F.regexp_extract(norm, "^([A-ZА-ЯЁ]+)[ ]*([0-9]+)", 1), F.regexp_extract(norm, "^([A-ZА-ЯЁ]+)[ ]*([0-9]+)", 2)
+        return F.when(number != "", F.concat(word, number)).otherwise(F.regexp_replace(norm, "[.\\-/][0-9]{4}$", ""))
+
+    return let(normalize_code(F.coalesce(code, F.lit(""))), of)
 
 
 def scoring_family(code: Column) -> Column:
@@ -58,15 +61,16 @@ def split_code(clean: Column) -> tuple[Column, Column]:
 
 def code_variants(code: Column) -> Column:
     """Forms under which a typed code may be stored: itself, written together, without year, first segment; each once, in order."""
-    norm = normalize_code(code)
-    prefix, rest = split_code(norm)
-    yearless = F.regexp_replace(rest, "[-./][0-9]{4}$", "")
-    first = F.split_part(rest, F.lit("."), F.lit(1))
-    both = lambda tail: [F.concat(prefix, F.lit(" "), tail), F.concat(prefix, tail)]
     missing = F.lit(None).cast("string")
-    some = [norm, F.concat(prefix, rest), *[F.when((yearless != "") & (yearless != rest), x).otherwise(missing) for x in both(yearless)], *[F.when(first != "", x).otherwise(missing) for x in both(first)]]
-    full = F.array_distinct(F.array_compact(F.array(*some)))
-    return F.when(norm == "", F.array().cast("array<string>")).when(rest == "", F.array(norm)).otherwise(full)
+
+    def of(norm: Column, prefix: Column, rest: Column, yearless: Column, first: Column) -> Column:
+        both = lambda tail: [F.concat(prefix, F.lit(" "), tail), F.concat(prefix, tail)]
+        some = [norm, F.concat(prefix, rest), *[F.when((yearless != "") & (yearless != rest), x).otherwise(missing) for x in both(yearless)], *[F.when(first != "", x).otherwise(missing) for x in both(first)]]
+        full = F.array_distinct(F.array_compact(F.array(*some)))
+        return F.when(norm == "", F.array().cast("array<string>")).when(rest == "", F.array(norm)).otherwise(full)
+
+    parts = lambda norm: let(F.struct(*[x.alias(n) for x, n in zip(split_code(norm), ("p", "r"))]), lambda s: let(F.struct(F.regexp_replace(s["r"], "[-./][0-9]{4}$", "").alias("y"), F.split_part(s["r"], F.lit("."), F.lit(1)).alias("f")), lambda t: of(norm, s["p"], s["r"], t["y"], t["f"])))
+    return let(normalize_code(code), parts)
 
 
 def shortened(rest: Column) -> Column:
@@ -81,22 +85,27 @@ def shortened(rest: Column) -> Column:
 
 def code_aliases(code: Column) -> Column:
     """All spellings of a code: prefix variants, with and without blank, with shorter tails; distinct."""
-    clean = clean_code(code)
-    prefix, rest = split_code(clean)
     known = F.create_map(*[x for k, v in PREFIX_VARIANTS.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
-    prefixes = F.coalesce(F.element_at(known, F.upper(prefix)), F.array(prefix))
-    made = F.flatten(F.transform(prefixes, lambda p: F.flatten(F.transform(shortened(rest), lambda r: F.array(F.concat(p, F.lit(" "), r), F.concat(p, r))))))
-    return F.when(F.coalesce(clean == "", F.lit(True)), F.array().cast("array<string>")).when(rest == "", F.array(clean)).otherwise(F.array_distinct(F.concat(F.array(clean), made)))
+
+    def of(clean: Column, prefix: Column, rest: Column) -> Column:
+        prefixes = F.coalesce(F.element_at(known, F.upper(prefix)), F.array(prefix))
+        made = let(shortened(rest), lambda tails: F.flatten(F.transform(prefixes, lambda p: F.flatten(F.transform(tails, lambda r: F.array(F.concat(p, F.lit(" "), r), F.concat(p, r)))))))
+        return F.when(F.coalesce(clean == "", F.lit(True)), F.array().cast("array<string>")).when(rest == "", F.array(clean)).otherwise(F.array_distinct(F.concat(F.array(clean), made)))
+
+    return let(clean_code(code), lambda c: let(F.struct(*[x.alias(n) for x, n in zip(split_code(c), ("p", "r"))]), lambda s: of(c, s["p"], s["r"])))
 
 
 def alias_form(c: Column) -> Column:
     """Lookup form of an alias: of a URL host, path and query; of others words without punctuation; lower case; null for nothing."""
-    s = squeeze(c)
-    url = F.regexp_extract(s, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)", 1)
-    path = F.regexp_replace(F.regexp_extract(s, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)", 2), "/+$", "")
-    query = F.regexp_extract(s, "^[^?#]*(\\?[^#]+)", 1)
-    words = F.trim(F.regexp_replace(s, "[ ,;:()\\\\\\[\\]\"'`]+", " "))
-    return F.nullif(F.lower(F.when(url != "", F.concat(url, path, query)).otherwise(words)), F.lit(""))
+
+    def of(s: Column) -> Column:
+        url = F.regexp_extract(s, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)", 1)
+        path = F.regexp_replace(F.regexp_extract(s, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)([^?#]*)", 2), "/+$", "")
+        query = F.regexp_extract(s, "^[^?#]*(\\?[^#]+)", 1)
+        words = F.trim(F.regexp_replace(s, "[ ,;:()\\\\\\[\\]\"'`]+", " "))
+        return F.nullif(F.lower(F.when(url != "", F.concat(url, path, query)).otherwise(words)), F.lit(""))
+
+    return let(squeeze(c), of)
 
 
 def compact_title(c: Column) -> Column:

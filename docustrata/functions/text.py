@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _rep(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; without it plans grow with each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Collapse runs of Unicode white space to one blank and strip both ends."""
     return F.trim(_rep(c, SPACE + "+", " "))
@@ -125,8 +132,7 @@ LOCATOR_WORDS = r"^(п\.?|пункт|раздел|глава|таблица|пр
 def locator(c: Column) -> Column:
     """Lookup form of a locator: without its word; digits only where nothing else is left, else lower case; null for nothing."""
     bare = F.trim(_rep(squeeze(c), "(?iu)" + LOCATOR_WORDS, ""))
-    compact = _rep(bare, "[ _-]+", "")
-    return F.when(bare == "", F.lit(None)).when(compact.rlike("^[0-9]+$"), compact).otherwise(F.lower(bare))
+    return let(bare, lambda x: let(_rep(x, "[ _-]+", ""), lambda y: F.when(x == "", F.lit(None)).when(y.rlike("^[0-9]+$"), y).otherwise(F.lower(x))))
 
 
 def node_locator(kind: Column, label: Column, order: Column, parent: Column) -> Column:

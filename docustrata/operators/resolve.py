@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docustrata.functions.codes import alias_form, code_variants, family, is_legacy, is_placeholder, year
 from docustrata.functions.scores import distance_score
-from docustrata.functions.text import locator, squeeze, tokens
+from docustrata.functions.text import let, locator, squeeze, tokens
 from docustrata.operators.lexical import overlaps
 from docustrata.operators.relational import prefix_matches, top
+from docustrata.session import durable
 
 #: Code prefixes, and where codes and locators stand in a question.
 PREFIX = "СП|СНИП|ГОСТ|SP|SNIP|GOST"
@@ -45,7 +46,9 @@ def resolved(questions: DataFrame, qid: str, documents: DataFrame, aliases: Data
     confidence. Canonical codes score 1.15, aliases 1 to 1.08, the 25 best alias prefixes 0.82 to 0.90, families 0.9; the best of a
     document is kept, the stronger reason on a tie; stubs are left out.
     """
-    asked = questions.select(qid, F.posexplode("codes").alias("pos", "code"))
+    # both are read several times below; the questions' codes are few, the aliases would be derived again each time
+    asked = durable(questions.select(qid, F.posexplode("codes").alias("pos", "code")))
+    aliases = durable(aliases.select("document_id", "alias_normalized", "confidence"))
     conf = F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(1.0)) * 0.08
     exact = asked.join(documents.select(F.col("normalized_code").alias("code"), "document_id"), "code").select(qid, "document_id", F.lit(1.15).alias("score"), F.lit("explicit_code").alias("reason"), F.lit(1).alias("rank"), F.col("code").alias("matched_value"))
     lowered = asked.withColumn("alias", alias_form(F.col("code")))
@@ -65,26 +68,32 @@ def resolved(questions: DataFrame, qid: str, documents: DataFrame, aliases: Data
 
 def code_bonus(codes: Column, candidate: Column) -> Column:
     """Bonus of a candidate's code for the question's codes, taken in order; a year in conflict counts against it."""
-    own_family, own_year = family(candidate), year(candidate)
 
-    def step(best: Column, code: Column) -> Column:
-        kin = family(code) == own_family
-        gained = F.when(kin & candidate.startswith(code), F.lit(0.22)).when(kin & code.startswith(candidate), F.lit(0.14)).when(kin, F.lit(0.18)).otherwise(F.lit(0.0))
-        clash = F.coalesce(year(code) != own_year, F.lit(False))
-        return F.when(code == candidate, F.greatest(best, F.lit(0.35))).otherwise(F.greatest(best, gained) - F.when(clash, F.lit(0.28)).otherwise(F.lit(0.0)))
+    def fold(own: Column) -> Column:
+        def step(best: Column, c: Column) -> Column:
+            kin = c["f"] == own["f"]
+            gained = F.when(kin & own["c"].startswith(c["c"]), F.lit(0.22)).when(kin & c["c"].startswith(own["c"]), F.lit(0.14)).when(kin, F.lit(0.18)).otherwise(F.lit(0.0))
+            clash = F.coalesce(c["y"] != own["y"], F.lit(False))
+            return F.when(c["c"] == own["c"], F.greatest(best, F.lit(0.35))).otherwise(F.greatest(best, gained) - F.when(clash, F.lit(0.28)).otherwise(F.lit(0.0)))
 
-    return F.aggregate(codes, F.lit(0.0).cast("double"), step)
+        known = F.transform(codes, lambda c: F.struct(c.alias("c"), family(c).alias("f"), year(c).alias("y")))
+        return F.aggregate(known, F.lit(0.0).cast("double"), step)
+
+    return let(F.struct(candidate.alias("c"), family(candidate).alias("f"), year(candidate).alias("y")), fold)
 
 
 def topic_bonus(found: Column, candidate: Column, topics=TOPICS) -> Column:
     """Bonus of the family that the question's tokens speak for; a candidate has one family, so at most one applies."""
-    out = F.lit(0.0)
-    for stems, families in topics:
-        pattern = "^(?:" + "|".join(stems) + ")"
-        spoken = F.exists(found, lambda t: t.rlike(pattern))  # noqa: B023
-        for name, bonus in families:
-            out = F.when(spoken & (family(candidate) == family(F.lit(name))), F.greatest(out, F.lit(bonus))).otherwise(out)
-    return out
+
+    def of(own: Column) -> Column:
+        cases = [F.lit(0.0)]
+        for stems, families in topics:
+            pattern = "^(?:" + "|".join(stems) + ")"
+            spoken = F.exists(found, lambda t: t.rlike(pattern))  # noqa: B023
+            cases += [F.when(spoken & (own == family(F.lit(name))), F.lit(bonus)).otherwise(F.lit(0.0)) for name, bonus in families]
+        return F.greatest(*cases)
+
+    return let(family(candidate), of)
 
 
 def reranked(candidates: DataFrame, qid: str, k: int = 6, topics=TOPICS) -> DataFrame:

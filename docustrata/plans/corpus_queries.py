@@ -48,12 +48,14 @@ def vocab_df(s: SparkSession, d: str) -> DataFrame:
     return lexical.document_frequencies(table(s, d, "documents"), "doc_id", "text")
 
 
-def units(s: SparkSession, d: str) -> DataFrame:
-    return relational.unique(table(s, d, "retrieval_units"), "unit_id", "version_id", "unit_type", "anchor_order_index", "start_order_index", "end_order_index", "heading_path", "locator_primary", "text")
+def units(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Units once each, with the columns that a query reads: others are never scanned or shuffled."""
+    return relational.unique(table(s, d, "retrieval_units"), "unit_id", *columns)
 
 
-def nodes(s: SparkSession, d: str) -> DataFrame:
-    return relational.unique(table(s, d, "document_nodes"), "id", "version_id", "order_index", "node_type", "label", "title", "text", "locator_normalized", "heading_path", "parse_confidence")
+def nodes(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Nodes once each, with the columns that a query reads."""
+    return relational.unique(table(s, d, "document_nodes"), "id", *columns)
 
 
 _UNITS = "u AS (SELECT DISTINCT unit_id, version_id, unit_type, anchor_order_index, start_order_index, end_order_index, heading_path, locator_primary, text FROM retrieval_units WHERE unit_id IS NOT NULL)"
@@ -65,7 +67,7 @@ q AS (SELECT DISTINCT item_id, unnest({sql.tokens('question')}) AS token FROM ev
 c AS (SELECT item_id, hit_id, round_even(count(*) / any_value(n), 4) AS score FROM p JOIN q USING (token) JOIN n USING (item_id) GROUP BY 1, 2)
 SELECT item_id, source_kind, version_id, hit_id, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hit_id) AS INT) AS rk FROM c) JOIN pool USING (hit_id) WHERE rk <= 30""")
 def version_search(s: SparkSession, d: str) -> DataFrame:
-    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d), nodes(s, d))
+    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d, "version_id", "text"), nodes(s, d, "version_id", "text"))
 
 
 _DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))"
@@ -200,7 +202,7 @@ def current(s: SparkSession, d: str) -> DataFrame:
 
 def cards(s: SparkSession, d: str) -> DataFrame:
     docs = current(s, d).withColumnRenamed("current_version_id", "version_id")
-    return blocks.document_cards(docs, table(s, d, "document_aliases"), nodes(s, d))
+    return blocks.document_cards(docs, table(s, d, "document_aliases"), nodes(s, d, "version_id", "order_index", "node_type", "label", "title", "text"))
 
 
 _SQ = sql.squeeze
@@ -356,7 +358,21 @@ def resolve_document(s: SparkSession, d: str) -> DataFrame:
     return relational.top(_resolved(s, d), ["item_id"], [F.desc("score"), F.asc("document_id")], 6).select("item_id", "document_id", "score", "reason", "rk")
 
 
-@query()
+_YEAR = lambda x: f"CAST(nullif(regexp_extract({x}, '(?:19|20)[0-9]{{2}}'), '') AS INT)"
+_LEG = lambda x: f"(starts_with(upper({x}), 'СНИП') OR starts_with(upper({x}), 'SNIP'))"
+_TOPIC = "greatest(0.0, " + ", ".join(f"CASE WHEN len(list_filter(tk, lambda t: regexp_matches(t, '^(?:{'|'.join(stems)})'))) > 0 AND fm = {sql.family(chr(39) + name + chr(39))} THEN {bonus} ELSE 0.0 END" for stems, families in resolve.TOPICS for name, bonus in families) + ")"
+_RERANK = f"""{_RES}, oc AS (SELECT item_id, unnest(c) AS n, generate_subscripts(c, 1) AS o FROM (SELECT item_id, list_transform(regexp_extract_all(q, '{_RX['code']}', 1), lambda x: {sql.code('x')}) AS c FROM nq)),
+op AS (SELECT *, split_part(n, ' ', 1) AS a, CASE WHEN instr(n, ' ') > 0 THEN substr(n, instr(n, ' ') + 1) ELSE '' END AS r FROM oc WHERE n <> ''), oy AS (SELECT *, regexp_replace(r, '[-./][0-9]{{4}}$', '') AS y, split_part(r, '.', 1) AS f FROM op),
+ol AS (SELECT item_id, o, [n, CASE WHEN r <> '' THEN a || r END, CASE WHEN y <> '' AND y <> r THEN a || ' ' || y END, CASE WHEN y <> '' AND y <> r THEN a || y END, CASE WHEN r <> '' AND f <> '' THEN a || ' ' || f END, CASE WHEN r <> '' AND f <> '' THEN a || f END] AS l FROM oy),
+ov AS (SELECT item_id, v, min(o * 10 + i) AS p FROM (SELECT item_id, o, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM ol) WHERE v IS NOT NULL GROUP BY 1, 2), ok AS (SELECT item_id, v, {sql.family('v')} AS vf, {_YEAR('v')} AS vy, row_number() OVER (PARTITION BY item_id ORDER BY p) AS k FROM ov),
+rc AS (SELECT res.item_id, document_id, score, display_code AS dc, {sql.family('display_code')} AS fm, {_YEAR('display_code')} AS dy, coalesce({_LEG('display_code')}, false) OR coalesce(contains(lower(title), 'пособ'), false) AS leg, lower(coalesce(status_normalized, '')) AS st FROM res JOIN cur USING (document_id) WHERE NOT coalesce(regexp_full_match(display_code, '(?:СП|SP) [0-9]+\\.0') AND title = display_code, false)),
+fo AS (SELECT item_id, document_id, dc, fm, dy, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS best FROM rc UNION ALL SELECT fo.item_id, document_id, dc, fm, dy, ok.k, CAST(CASE WHEN v = dc THEN greatest(best, 0.35) ELSE greatest(best, CASE WHEN vf = fm AND starts_with(dc, v) THEN 0.22 WHEN vf = fm AND starts_with(v, dc) THEN 0.14 WHEN vf = fm THEN 0.18 ELSE 0.0 END) - CASE WHEN coalesce(vy <> dy, false) THEN 0.28 ELSE 0.0 END END AS DOUBLE) FROM fo JOIN ok ON ok.item_id = fo.item_id AND ok.k = fo.k + 1),
+lf AS (SELECT item_id, document_id, arg_max(best, k) AS best FROM fo GROUP BY 1, 2), qa AS (SELECT nq.item_id, {sql.tokens('q')} AS tk, count(v) > 0 AS ex, coalesce(bool_or(vy IS NOT NULL), false) AS ay, coalesce(bool_or({_LEG('v')}), false) AS al FROM nq LEFT JOIN ok USING (item_id) GROUP BY nq.item_id, q),
+rw AS (SELECT *, max(dy) OVER (PARTITION BY item_id, fm) AS ly, bool_or(NOT leg) OVER (PARTITION BY item_id) AS md FROM rc JOIN lf USING (item_id, document_id) JOIN qa USING (item_id)),
+rs AS (SELECT item_id, document_id, dc AS display_code, leg, round_even(CAST(score + best + {_TOPIC} + CASE WHEN st = 'active' THEN 0.1 ELSE 0.0 END - CASE WHEN st = 'inactive' THEN 0.18 ELSE 0.0 END + CASE WHEN NOT ay AND dy IS NOT NULL THEN CASE WHEN dy = ly THEN 0.16 ELSE -least(0.24, 0.06 * (ly - dy)) END ELSE 0.0 END + CASE WHEN md AND NOT al AND leg THEN CASE WHEN ex THEN -0.26 ELSE -0.32 END ELSE 0.0 END + CASE WHEN NOT ex AND NOT al AND leg THEN -0.08 ELSE 0.0 END AS DOUBLE), 4) AS score FROM rw)"""
+
+
+@query(f"WITH RECURSIVE {_CUR}, {_RERANK} SELECT item_id, document_id, display_code, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, leg, display_code, document_id) AS INT) AS rk FROM rs) WHERE rk <= 6")
 def rerank_candidates(s: SparkSession, d: str) -> DataFrame:
     status = F.lower(F.coalesce("status_normalized", F.lit("")))
     docs = current(s, d).select("document_id", "display_code", "title", (status == "active").alias("is_active"), (status == "inactive").alias("is_outdated"))
@@ -379,12 +395,12 @@ WHEN coalesce(locator, '') <> '' AND starts_with(wanted, locator || '.') THEN 0.
 
 
 def wanted(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d).where("node_type = 'subsection' and right(id, 1) = '7' and locator_normalized is not null")
+    n = nodes(s, d, "version_id", "node_type", "locator_normalized").where("node_type = 'subsection' and right(id, 1) = '7' and locator_normalized is not null")
     return n.select(F.col("id").alias("qid"), "version_id", F.col("locator_normalized").alias("wanted"))
 
 
 def _locator_hits(s: SparkSession, d: str) -> DataFrame:
-    items = nodes(s, d).select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"), "heading_path")
+    items = nodes(s, d, "version_id", "order_index", "locator_normalized", "heading_path").select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"), "heading_path")
     return evidence.locator_hits(wanted(s, d), items, "qid", "document_node")
 
 
@@ -399,15 +415,15 @@ def locator_match(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NODES}, {_WANT}, a AS (SELECT DISTINCT nd.version_id, nd.order_index AS anchor_order FROM nd JOIN wa ON wa.qid = nd.id) SELECT a.version_id, anchor_order, nd.order_index, nd.id, CAST(CASE WHEN nd.order_index = anchor_order THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM a JOIN nd ON nd.version_id = a.version_id AND nd.order_index BETWEEN anchor_order - 2 AND anchor_order + 2")
 def neighbor_expand(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d)
+    n = nodes(s, d, "version_id", "order_index")
     anchors = n.join(wanted(s, d).select(F.col("qid").alias("id")), "id", "left_semi").select("version_id", "order_index").distinct()
     return relational.neighbours(anchors, n.select("version_id", "order_index", "id")).select("version_id", "anchor_order", "order_index", "id", "score")
 
 
 @query(f"WITH {_NODES}, {_UNITS}, {_WANT} SELECT nd.id, u.unit_id FROM nd JOIN wa ON wa.qid = nd.id JOIN u ON u.version_id = nd.version_id AND nd.order_index BETWEEN u.start_order_index AND u.end_order_index")
 def enclosing_blocks(s: SparkSession, d: str) -> DataFrame:
-    points = nodes(s, d).join(wanted(s, d).select(F.col("qid").alias("id")), "id", "left_semi").select("version_id", "order_index", "id")
-    ranges = units(s, d).where("start_order_index is not null and end_order_index >= start_order_index").select("version_id", "unit_id", F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"))
+    points = nodes(s, d, "version_id", "order_index").join(wanted(s, d).select(F.col("qid").alias("id")), "id", "left_semi").select("version_id", "order_index", "id")
+    ranges = units(s, d, "version_id", "start_order_index", "end_order_index").where("start_order_index is not null and end_order_index >= start_order_index").select("version_id", "unit_id", F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"))
     return relational.enclosing(points, ranges).select("id", "unit_id")
 
 
@@ -424,7 +440,7 @@ SELECT qid, source_kind, score, version_id, hit_id, order_index, locator, CAST(r
 def _all_hits(s: SparkSession, d: str) -> DataFrame:
     q = wanted(s, d)
     hits = _locator_hits(s, d)
-    u = units(s, d)
+    u = units(s, d, "version_id", "anchor_order_index", "locator_primary")
     more = q.join(u, "version_id").select("qid", F.lit("retrieval_unit_lexical").alias("source_kind"), F.lit(0.5).alias("score"), "version_id", F.col("unit_id").alias("hit_id"), F.col("anchor_order_index").alias("order_index"), F.col("locator_primary").alias("locator"))
     return hits.unionByName(more)
 
@@ -444,9 +460,9 @@ a2 AS (SELECT qid, source_kind, score, version_id, hit_id, order_index, locator
 
 
 def _pack(s: SparkSession, d: str) -> DataFrame:
-    u = units(s, d).where("start_order_index is not null and end_order_index >= start_order_index")
+    u = units(s, d, "version_id", "anchor_order_index", "start_order_index", "end_order_index", "locator_primary").where("start_order_index is not null and end_order_index >= start_order_index")
     ranges = u.select("version_id", F.col("unit_id").alias("hit_id"), F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"), F.col("anchor_order_index").alias("order_index"), F.col("locator_primary").alias("locator"))
-    around = nodes(s, d).select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"))
+    around = nodes(s, d, "version_id", "order_index", "locator_normalized").select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"))
     return evidence.evidence_pack(_all_hits(s, d), "qid", ranges, around, wanted(s, d))
 
 
@@ -487,7 +503,7 @@ unnest([CAST(x AS DOUBLE) FOR x IN [documents, active_documents, versions, with_
 
 
 def _panel(s: SparkSession, d: str) -> DataFrame:
-    return metrics.unpivoted(metrics.ingestion_panel(current(s, d), table(s, d, "document_cards"), nodes(s, d), table(s, d, "retrieval_units")))
+    return metrics.unpivoted(metrics.ingestion_panel(current(s, d), table(s, d, "document_cards"), nodes(s, d, "version_id", "node_type", "text", "parse_confidence"), table(s, d, "retrieval_units")))
 
 
 @query(f"WITH {_PANEL} SELECT metric, value FROM mt")

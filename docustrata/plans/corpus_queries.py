@@ -389,14 +389,16 @@ def discover_documents(s: SparkSession, d: str) -> DataFrame:
 
 # -- evidence --------------------------------------------------------------------------------------------------------------
 
-_WANT = "wa AS (SELECT DISTINCT id AS qid, version_id, locator_normalized AS wanted FROM document_nodes WHERE id IS NOT NULL AND node_type = 'subsection' AND right(id, 1) = '7' AND locator_normalized IS NOT NULL)"
+#: One question per version: its locator 2.1.
+_WANT = "wa AS (SELECT DISTINCT version_id AS qid, version_id, '2.1' AS wanted FROM document_nodes WHERE id IS NOT NULL AND version_id IS NOT NULL)"
 _LSC = """CASE WHEN wanted = '' OR (coalesce(locator, '') = '' AND NOT contains(lower(coalesce(heading_path, '')), lower(wanted))) THEN 0.0 WHEN locator = wanted THEN 1.06 WHEN starts_with(coalesce(locator, ''), wanted || '.') THEN 0.96
 WHEN coalesce(locator, '') <> '' AND starts_with(wanted, locator || '.') THEN 0.90 WHEN contains(lower(coalesce(heading_path, '')), lower(wanted)) THEN 0.82 ELSE 0.0 END"""
 
 
 def wanted(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "version_id", "node_type", "locator_normalized").where("node_type = 'subsection' and right(id, 1) = '7' and locator_normalized is not null")
-    return n.select(F.col("id").alias("qid"), "version_id", F.col("locator_normalized").alias("wanted"))
+    """Questions: locator 2.1 of every version."""
+    v = table(s, d, "document_nodes").where("id is not null and version_id is not null").select("version_id").distinct()
+    return v.select(F.col("version_id").alias("qid"), "version_id", F.lit("2.1").alias("wanted"))
 
 
 def _locator_hits(s: SparkSession, d: str) -> DataFrame:
@@ -413,16 +415,16 @@ def locator_match(s: SparkSession, d: str) -> DataFrame:
     return _locator_hits(s, d).select("qid", "source_kind", "score", "hit_id", "order_index")
 
 
-@query(f"WITH {_NODES}, {_WANT}, a AS (SELECT DISTINCT nd.version_id, nd.order_index AS anchor_order FROM nd JOIN wa ON wa.qid = nd.id) SELECT a.version_id, anchor_order, nd.order_index, nd.id, CAST(CASE WHEN nd.order_index = anchor_order THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM a JOIN nd ON nd.version_id = a.version_id AND nd.order_index BETWEEN anchor_order - 2 AND anchor_order + 2")
+@query(f"WITH {_NODES}, a AS (SELECT DISTINCT version_id, order_index AS anchor_order FROM nd WHERE locator_normalized = '2.1') SELECT a.version_id, anchor_order, nd.order_index, nd.id, CAST(CASE WHEN nd.order_index = anchor_order THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM a JOIN nd ON nd.version_id = a.version_id AND nd.order_index BETWEEN anchor_order - 2 AND anchor_order + 2")
 def neighbor_expand(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "version_id", "order_index")
-    anchors = n.join(wanted(s, d).select(F.col("qid").alias("id")), "id", "left_semi").select("version_id", "order_index").distinct()
+    n = nodes(s, d, "version_id", "order_index", "locator_normalized")
+    anchors = n.where("locator_normalized = '2.1'").select("version_id", "order_index").distinct()
     return relational.neighbours(anchors, n.select("version_id", "order_index", "id")).select("version_id", "anchor_order", "order_index", "id", "score")
 
 
-@query(f"WITH {_NODES}, {_UNITS}, {_WANT} SELECT nd.id, u.unit_id FROM nd JOIN wa ON wa.qid = nd.id JOIN u ON u.version_id = nd.version_id AND nd.order_index BETWEEN u.start_order_index AND u.end_order_index")
+@query(f"WITH {_NODES}, {_UNITS} SELECT nd.id, u.unit_id FROM nd JOIN u ON u.version_id = nd.version_id AND nd.order_index BETWEEN u.start_order_index AND u.end_order_index")
 def enclosing_blocks(s: SparkSession, d: str) -> DataFrame:
-    points = nodes(s, d, "version_id", "order_index").join(wanted(s, d).select(F.col("qid").alias("id")), "id", "left_semi").select("version_id", "order_index", "id")
+    points = nodes(s, d, "version_id", "order_index")
     ranges = units(s, d, "version_id", "start_order_index", "end_order_index").where("start_order_index is not null and end_order_index >= start_order_index").select("version_id", "unit_id", F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"))
     return relational.enclosing(points, ranges).select("id", "unit_id")
 

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.llm.lookalikes import python_form
-from docustrata.session import durable
+from docustrata.session import durable, target_partitions
 
 #: Reference entries are broadcast; more characters of them than this are refused rather than spread unchecked.
 REFERENCE_CHARS = 50_000_000
+#: Distinct values that a task searches about.
+VALUES_PER_TASK = 2_000
 #: Words that people put around a value without changing what it means.
 NOISE = frozenset("по согласно см изд издание ред редакция с поправкой поправками нормы свод правил о требованиях проект документ документа статус уточнено карточку карточка карточке".split())
 #: Words that may be left out or written as their first letter.
@@ -98,12 +100,13 @@ class WordTrie:
                         for w in child:
                             found[w] = min(found.get(w, 99), row[n])
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
+                # only cells within the allowed distance of the diagonal can count
+                new = [row[0] + 1] + [n + most] * n
+                for j in range(max(1, depth + 1 - most), min(n, depth + 1 + most) + 1):
                     cost = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (typed[j - 1] != ch))
                     if before is not None and j > 1 and typed[j - 1] == last and typed[j - 2] == ch:
                         cost = min(cost, before[j - 2] + 1)
-                    new.append(cost)
+                    new[j] = cost
                 if cut and n >= 3 and new[n] <= (0 if n < 4 else 1) and depth + 1 >= n - 1:
                     for w in set(self._below(child)) - self.joined:
                         found[w] = min(found.get(w, 99), new[n])
@@ -294,8 +297,10 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], ["list_name", "value", "entry_id", "distance", "candidates"])
 
-    distinct = values.where("list_name is not null and value is not null").select("list_name", "value").distinct()
-    return distinct.mapInArrow(run, "list_name string, value string, entry_id bigint, distance int, candidates array<bigint>")
+    distinct = durable(values.where("list_name is not null and value is not null").select("list_name", "value").distinct())
+    # a search costs far more than its row weighs, so tasks are dealt by number of values, not by bytes
+    parts = target_partitions(values.sparkSession, distinct.count(), VALUES_PER_TASK)
+    return distinct.repartition(parts).mapInArrow(run, "list_name string, value string, entry_id bigint, distance int, candidates array<bigint>")
 
 
 def typed_values(aliases: DataFrame, cards: DataFrame) -> DataFrame:

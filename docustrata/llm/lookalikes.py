@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docustrata.session import durable
+
 #: Latin letters and the Cyrillic letters they look like.
 LATIN = "ABCEHIJKMOPSTXYaceijopsxyhdqw"
 CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝ"
@@ -22,6 +24,10 @@ INVISIBLE = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Finds the first character that can be seen, so most texts are told from blank ones by one character.
 VISIBLE = rf"[^\s\x{{85}}{SPACES}{INVISIBLE[1:-1]}]"
+#: All but digits and letters that neither compose with accents nor are left out by a collation: texts equal under it agree in these.
+UNSTEADY = "[^0-9бвдлмнпрстфхцшщьБВДЛМНПРСТФХЦШЩЬ]+"
+#: Candidates (a key and a digest each) that are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 300_000
 #: Full-width forms stand at this distance from the ordinary characters.
 _WIDE = range(0xFF01, 0xFF5F)
 
@@ -56,14 +62,22 @@ def visual_classes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """One row per row: the key, class_id (the least key whose text looks the same), text_hash and is_canonical.
 
     Null texts form no class (class_id null); empty and blank texts do, by the blanks that are seen. Extra columns are ignored.
+    Texts are read once for their digests and blocks; only texts that share a block with another go on to the collation, and
+    from there on digests are moved, not texts.
     """
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    block = F.xxhash64(F.regexp_replace(visual_form(F.col("_text")), UNSTEADY, ""))
+    keyed = durable(rows.select("_id", F.sha2("_text", 256).alias("text_hash"), block.alias("block")))
     # equal texts are one row from here on, so a text with very many copies is mapped and compared once
-    texts = rows.where("_text is not null").groupBy(F.sha2("_text", 256).alias("text_hash")).agg(F.min("_id").alias("_first"), F.any_value("_text").alias("_text"))
-    formed = texts.select("text_hash", "_first", F.collate(visual_form(F.col("_text")), "UNICODE").alias("_form"))
-    classes = formed.groupBy("_form").agg(F.min("_first").alias("class_id"), F.collect_list("text_hash").alias("hashes"))
+    texts = keyed.where("text_hash is not null").groupBy("text_hash", "block").agg(F.min("_id").alias("_first"))
+    shared = texts.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
+    close = durable(texts.join(shared, "block", "left_semi").select(F.col("_first").alias("_id"), "text_hash"))
+    wanted = F.broadcast(close) if close.count() <= BROADCAST_ROWS else close
+    formed = rows.join(wanted, "_id").where(F.sha2("_text", 256) == F.col("text_hash")).select("_id", "text_hash", F.collate(visual_form(F.col("_text")), "UNICODE").alias("_form"))
+    classes = formed.groupBy("_form").agg(F.min("_id").alias("class_id"), F.collect_set("text_hash").alias("hashes"))
     members = classes.select("class_id", F.explode("hashes").alias("text_hash"))
-    joined = rows.select("_id", F.sha2("_text", 256).alias("text_hash")).join(members, "text_hash", "left")
+    known = texts.join(members, "text_hash", "left").select("text_hash", F.coalesce("class_id", "_first").alias("class_id"))
+    joined = keyed.select("_id", "text_hash").join(known, "text_hash", "left")
     return joined.select(F.col("_id").alias(key), "class_id", "text_hash", (F.col("_id") == F.col("class_id")).alias("is_canonical"))
 
 

@@ -24,10 +24,11 @@ INVISIBLE = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Finds the first character that can be seen, so most texts are told from blank ones by one character.
 VISIBLE = rf"[^\s\x{{85}}{SPACES}{INVISIBLE[1:-1]}]"
-#: All but digits and letters that neither compose with accents nor are left out by a collation: texts equal under it agree in these.
-UNSTEADY = "[^0-9бвдлмнпрстфхцшщьБВДЛМНПРСТФХЦШЩЬ]+"
+#: All but Cyrillic letters that nothing looks like, that compose with no accent and that a collation doesn't leave out: texts that
+#: look the same agree in these, so blocks can be made of the texts as they are. Texts without such letters share one block.
+UNSTEADY = "[^бвдлмнптфцшщьБДЛПФЦШЩЬ]+"
 #: Candidates (a key and a digest each) that are broadcast at most; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 #: Full-width forms stand at this distance from the ordinary characters.
 _WIDE = range(0xFF01, 0xFF5F)
 
@@ -66,7 +67,7 @@ def visual_classes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     from there on digests are moved, not texts.
     """
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    block = F.xxhash64(F.regexp_replace(visual_form(F.col("_text")), UNSTEADY, ""))
+    block = F.xxhash64(F.regexp_replace("_text", UNSTEADY, ""))
     keyed = durable(rows.select("_id", F.sha2("_text", 256).alias("text_hash"), block.alias("block")))
     # equal texts are one row from here on, so a text with very many copies is mapped and compared once
     texts = keyed.where("text_hash is not null").groupBy("text_hash", "block").agg(F.min("_id").alias("_first"))

@@ -11,7 +11,7 @@ from docustrata.operators.relational import top
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """One row per key and distinct token."""
-    return texts.select(F.col(key), F.explode(distinct_tokens(F.col(text))).alias("token"))
+    return texts.select(key, text).select(F.col(key), F.explode(distinct_tokens(F.col(text))).alias("token"))
 
 
 def document_frequencies(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docustrata.functions.text import normalize_code, squeeze
+from docustrata.session import spread
 
 #: Fixed value: lines that name a page.
 PAGE_LINE = r"(?i)^(?:\[\[ *PAGE[: ]+([0-9]+) *\]\]|\[ *PAGE +([0-9]+) *\]|--- *PAGE +([0-9]+) *---)$"
@@ -43,7 +44,7 @@ def prepared_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
         kept = F.struct(F.array_append(acc["rows"], F.struct(x.alias("line"), acc["at"].alias("char_start"), acc["page"].alias("page"))).alias("rows"), (acc["at"] + F.length(x) + 1).alias("at"), acc["page"].alias("page"))
         return F.when(x.rlike(PAGE_LINE), F.struct(acc["rows"].alias("rows"), acc["at"].alias("at"), page(x).alias("page"))).otherwise(kept)
 
-    rows = texts.select(F.col(key), F.aggregate(lines, start, step)["rows"].alias("_rows")).select(key, F.posexplode("_rows").alias("_i", "_r"))
+    rows = spread(texts.select(key, text)).select(F.col(key), F.aggregate(lines, start, step)["rows"].alias("_rows")).select(key, F.posexplode("_rows").alias("_i", "_r"))
     return rows.select(key, (F.col("_i") + 1).alias("order_index"), F.col("_r.line").alias("line"), F.col("_r.char_start").alias("char_start"), (F.col("_r.char_start") + F.length("_r.line")).alias("char_end"), F.col("_r.page").alias("page_number"))
 
 

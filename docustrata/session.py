@@ -50,3 +50,9 @@ def durable(df: DataFrame) -> DataFrame:
 def target_partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Enough partitions that none holds many more than ``per_partition`` rows, and at least two for each core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_partition), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all cores where it comes in fewer parts, as one small file does; larger scans pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

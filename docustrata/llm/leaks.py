@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docustrata.llm.lookalikes import python_form
+from docustrata.session import spread
 
 RUN = 12
 #: Passages are broadcast inside the search; more than this many characters of them are searched in several passes.
@@ -78,7 +79,7 @@ def find_leaks(documents: DataFrame, passages: DataFrame, run: int = RUN) -> Dat
                 hits = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for i in sorted(items(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], ["doc_id", "item_id"])
 
-        return documents.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, item_id bigint")
+        return spread(documents.select("doc_id", "text")).mapInArrow(scan, "doc_id bigint, item_id bigint")
 
     for row in passages.where("item_id is not null and passage is not null").select("item_id", "passage").toLocalIterator():
         portion.append((row.item_id, row.passage))

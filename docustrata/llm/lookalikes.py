@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docustrata.session import durable
+from docustrata.session import durable, spread
 
 #: Latin letters and the Cyrillic letters they look like.
 LATIN = "ABCEHIJKMOPSTXYaceijopsxyhdqw"
@@ -68,7 +68,7 @@ def visual_classes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     block = F.xxhash64(F.regexp_replace("_text", UNSTEADY, ""))
-    keyed = durable(rows.select("_id", F.sha2("_text", 256).alias("text_hash"), block.alias("block")))
+    keyed = durable(spread(rows).select("_id", F.sha2("_text", 256).alias("text_hash"), block.alias("block")))
     # equal texts are one row from here on, so a text with very many copies is mapped and compared once
     texts = keyed.where("text_hash is not null").groupBy("text_hash", "block").agg(F.min("_id").alias("_first"))
     shared = texts.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")

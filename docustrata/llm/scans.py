@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.llm.perceptron import Weights, predict, scores, train
-from docustrata.session import durable
+from docustrata.session import durable, spread
 
 LEXICON_SHARE = 1e-5
 LEAST_COUNT = 3
@@ -534,7 +534,7 @@ def repaired(texts: DataFrame) -> DataFrame:
     ``texts`` has table_name, version_id, record_id and text. Null and blank texts have no cases and are left out, as are null
     record_ids; rows that repeat give repeated rows. Lines are numbered from 1 as the text is cut at line feeds.
     """
-    texts = texts.where("record_id is not null and length(trim(text)) > 0").select("table_name", "version_id", "record_id", "text")
+    texts = spread(texts.where("record_id is not null and length(trim(text)) > 0").select("table_name", "version_id", "record_id", "text"))
     spark = texts.sparkSession
     counts = durable(texts.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docustrata.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,4 +134,4 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

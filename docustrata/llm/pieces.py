@@ -27,17 +27,19 @@ def stripped(c: Column) -> Column:
 BOUNDARIES = ((r"\r?\n[ \t]{0,2}\r?\n", 6), (r"(?:\r?\n|\r|\u2028)", 2), (r"[.!?…][»\")\]]?\s", 3), (r"[;:,]\s", 2), (r"\s[—–-]\s", 3))
 
 
-def _span(most: int) -> str:
-    least = max(1, int(most * LEAST_SHARE))
+def _span(most: int, beyond: int = 0) -> str:
+    """One span of at most ``most`` characters, which ends after more than ``beyond`` of them unless the text does."""
+    least = max(1, int(most * LEAST_SHARE), beyond)
     strong = [f".{{{least},{most - size}}}{end}" for end, size in BOUNDARIES if most - size >= least]
-    return "|".join([rf".{{1,{most}}}\z", *strong, *([rf".{{1,{most - 1}}}\s"] if most > 1 else []), f".{{1,{most}}}"])
+    blank = max(1, beyond)
+    return "|".join([rf".{{1,{most}}}\z", *strong, *([rf".{{{blank},{most - 1}}}\s"] if most > blank else []), f".{{1,{most}}}"])
 
 
 def split_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
-    """The first span may use the whole limit, later ones leave room for what they share with the piece before."""
+    """The first span may use the whole limit and is longer than what the second piece looks back over; later ones leave room for that."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
-    return rf"(?s)\A(?:{_span(limit)})|(?:{_span(limit - overlap)})"
+    return rf"(?s)\A(?:{_span(limit, overlap)})|(?:{_span(limit - overlap)})"
 
 
 def split_texts(items: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -53,6 +55,6 @@ def split_texts(items: DataFrame, key: str, text: str, limit: int = LIMIT, overl
     cut = one.withColumn("_spans", spans)
     ends = F.aggregate("_spans", F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0)) + F.length(s))))
     placed = cut.withColumn("_ends", ends).select("_key", "_text", F.posexplode("_ends").alias("_i", "_end"), "_ends")
-    start = F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.get("_ends", F.col("_i") - 1) - overlap)
+    start = F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.greatest(F.get("_ends", F.col("_i") - 1) - overlap, F.lit(0)))
     placed = placed.withColumn("_start", start)
     return placed.select(F.col("_key").alias(key), (F.col("_i") + 1).alias("piece_no"), F.col("_start").alias("char_start"), F.col("_end").alias("char_end"), F.substring("_text", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("piece"))

@@ -95,6 +95,24 @@ def test_pieces_end_at_the_strongest_boundary(spark):
         pieces.split_pattern(10, 10)
 
 
+def test_pieces_of_a_run_behind_an_early_blank(spark):
+    texts = {"run": "abc " + "".join(chr(97 + i % 26) for i in range(3000)), "edge": "а" * 199 + " " + "б" * 3000, "beyond": "а" * 200 + " " + "б" * 3000}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    for limit, overlap in ((1800, 200), (300, 250), (10, 9), (2, 1), (50, 0)):
+        got: dict = {}
+        for r in sorted(pieces.split_texts(df, "id", "text", limit, overlap).collect(), key=lambda r: r.piece_no):
+            got.setdefault(r.id, []).append(r)
+        for k, text in texts.items():
+            end = 0
+            for r in got[k]:
+                assert r.char_start == (end - overlap if end else 0) >= 0
+                assert 0 < len(r.piece) <= limit
+                assert r.piece == text[r.char_start : r.char_end]
+                assert r.char_end > end
+                end = r.char_end
+            assert end == len(text)
+
+
 # -- scans -----------------------------------------------------------------------------------------------------------------
 
 SCAN = "table_name string, version_id string, record_id string, text string, line_no int"

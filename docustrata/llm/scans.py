@@ -28,6 +28,9 @@ LEAST_COUNT = 3
 LONGEST = 40
 #: A word is a misreading where a word that differs in one place is this many times as frequent.
 RATIO = 50
+#: A word of at most so many letters (a part of a word, an abbreviation) lies beside too many others for every edit to count: besides
+#: replacements that give a word of four letters or more, only the operations likeliest to the editor are tried. All edits of longer ones are.
+SHORT = 4
 #: Bounds of the training data: rare words, synthetic pages, broken words.
 RARE_WORDS, PAGES, BREAKS = 6_000, 400, 4_000
 HYPHENS = "-\u2010\u00ad\u00ac"
@@ -113,22 +116,27 @@ class Lexicon:
         self.heads = {w[: w.rindex("-")] for w in self.counts if "-" in w} | {w[: w.index("-")] for w in self.counts if "-" in w}
 
     def beside(self, w: str) -> list[tuple[str, list[str]]]:
-        """Known words one misreading away, each with the editing operations that lead to it (one per character, one at the end)."""
-        found = []
-        keep = ["K"] * (len(w) + 1)
-        for i in range(len(w)):
-            for v in self.masks.get(f"{w[:i]}*{w[i + 1 :]}", ()):
-                found.append((v, [*keep[:i], f"R{v[i]}", *keep[i + 1 :]]))
-            if i + 1 < len(w):
-                for v in self.masks.get(f"{w[:i]}*{w[i + 2 :]}", ()):
-                    found.append((v, [*keep[:i], f"R{v[i]}", "D", *keep[i + 2 :]]))
-            if len(w) > 4 and w[:i] + w[i + 1 :] in self.counts:
-                found.append((w[:i] + w[i + 1 :], [*keep[:i], "D", *keep[i + 1 :]]))
-        if len(w) > 4:
-            for i in range(len(w) + 1):
-                for v in self.masks.get(f"{w[:i]}*{w[i:]}", ()):
-                    found.append((v, [*keep[:i], f"I{v[i]}", *keep[i + 1 :]]))
-        return found
+        """Known words one misreading away, each with the editing operations that lead to it."""
+        return beside(w, self.counts, self.masks)
+
+
+def beside(w: str, known: dict[str, int], masks: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    """Known words one misreading away, each with the editing operations that lead to it (one per character, one at the end)."""
+    found = []
+    keep = ["K"] * (len(w) + 1)
+    for i in range(len(w)):
+        for v in masks.get(f"{w[:i]}*{w[i + 1 :]}", ()):
+            found.append((v, [*keep[:i], f"R{v[i]}", *keep[i + 1 :]]))
+        if i + 1 < len(w):
+            for v in masks.get(f"{w[:i]}*{w[i + 2 :]}", ()):
+                found.append((v, [*keep[:i], f"R{v[i]}", "D", *keep[i + 2 :]]))
+        if len(w) > 4 and w[:i] + w[i + 1 :] in known:
+            found.append((w[:i] + w[i + 1 :], [*keep[:i], "D", *keep[i + 1 :]]))
+    if len(w) > 4:
+        for i in range(len(w) + 1):
+            for v in masks.get(f"{w[:i]}*{w[i:]}", ()):
+                found.append((v, [*keep[:i], f"I{v[i]}", *keep[i + 1 :]]))
+    return found
 
 
 # -- character editor ------------------------------------------------------------------------------------------------------
@@ -166,33 +174,30 @@ def editor_examples(lexicon: Lexicon, rare: list[str]) -> list[tuple[list[str],
     return examples
 
 
-def corrected(w: str, weights: Weights, known: dict[str, int]) -> str | None:
-    """The known word the editor makes of an unknown one: by its best operations, else by its best single ones; None if it makes none."""
-    ranked = []
-    for i in range(len(w) + 1):
-        s = scores(weights, _char_features(w, i))
-        ranked.append(sorted(s.items(), key=lambda x: (-x[1], x[0]))[:6] or [("K", 0.0)])
-    greedy = [r[0][0] for r in ranked]
+def corrected(w: str, weights: Weights, known: dict[str, int], masks: dict[str, list[str]]) -> str | None:
+    """The known word the editor makes of an unknown one: by its best operations, else by the best single edit that gives one; None if none does."""
+    at = [scores(weights, _char_features(w, i)) for i in range(len(w) + 1)]
+    greedy = [min(s, key=lambda op: (-s[op], op)) if s else "K" for s in at]
     made = _apply(w, greedy)
     if made != w and made in known:
         return made
-    single = []
-    for i, options in enumerate(ranked):
-        kept = dict(options).get("K", options[-1][1])
-        for op, s in options:
-            if op != "K":
-                single.append((s - kept, i, op))
-    single.sort(key=lambda x: (-x[0], x[1], x[2]))
+    edits = beside(w, known, masks)
     keep = ["K"] * (len(w) + 1)
-    for _, i, op in single[:24]:
-        ops = [*keep[:i], op, *keep[i + 1 :]]
-        if (made := _apply(w, ops)) in known:
-            return made
-        if op[0] == "R" and i + 1 < len(w):
-            ops[i + 1] = "D"
-            if (made := _apply(w, ops)) in known:
-                return made
-    return None
+    if len(w) <= SHORT:
+        likely = [(s.get("K", 0.0) - s[op], i, op) for i, s in enumerate(at) for op in sorted(s, key=lambda op: (-s[op], op))[:6] if op != "K"]
+        for _, i, op in sorted(likely)[:24]:
+            doubled = [[*keep[:i], op, "D", *keep[i + 2 :]]] if op[0] == "R" and i + 1 < len(w) else []
+            edits += [(made, ops) for ops in ([*keep[:i], op, *keep[i + 1 :]], *doubled) if (made := _apply(w, ops)) in known]
+    if not edits:
+        return None
+
+    def rank(edit: tuple[str, list[str]]) -> tuple:
+        """An operation that the editor never learned counts as its worst one; of two words of one operation the one that deletes nothing more."""
+        i, op = next((i, op) for i, op in enumerate(edit[1]) if op != "K")
+        worst = min(at[i].values(), default=0.0)
+        return at[i].get("K", worst) - at[i].get(op, worst), i, op, len(w) - len(edit[0]), edit[0]
+
+    return min(edits, key=rank)[0]
 
 
 # -- line joins ------------------------------------------------------------------------------------------------------------
@@ -386,7 +391,7 @@ class Model:
 
     def __init__(self, counts: dict[str, int], rare: list[str]) -> None:
         lexicon = Lexicon(counts)
-        self.known, self.heads = lexicon.counts, lexicon.heads
+        self.known, self.heads, self.masks = lexicon.counts, lexicon.heads, dict(lexicon.masks)
         self.editor = train(editor_examples(lexicon, rare), "K")
         self.joins = train(join_examples(lexicon), "join")
         self.furniture = train(page_examples(lexicon), "body")
@@ -399,7 +404,7 @@ class Repairer:
     """Applies the models to texts."""
 
     def __init__(self, fields: dict) -> None:
-        self.known, self.heads, self.editor, self.joins, self.weights = (fields[k] for k in ("known", "heads", "editor", "joins", "furniture"))
+        self.known, self.heads, self.masks, self.editor, self.joins, self.weights = (fields[k] for k in ("known", "heads", "masks", "editor", "joins", "furniture"))
         self.memory: dict[str, str | None] = {}
         self.fine: set[str] = set()
 
@@ -411,7 +416,7 @@ class Repairer:
         if low not in self.memory:
             if len(self.memory) > 300_000:
                 self.memory.clear()
-            self.memory[low] = corrected(low, self.editor, self.known)
+            self.memory[low] = corrected(low, self.editor, self.known, self.masks)
         made = self.memory[low]
         if made is not None:
             return made.upper() if word.isupper() else made.capitalize() if word[0].isupper() else made

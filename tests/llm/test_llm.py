@@ -163,6 +163,22 @@ def test_perceptron_learns():
     assert predict({}, ["f0"], "none") == "none"
 
 
+def test_every_single_edit_is_tried():
+    known = dict.fromkeys((f"{a}{b}конструкц{c}" for a in "бвгдклмн" for b in "аеиоу" for c in "ия"), 100) | {"железобетонирование": 100, "вода": 100}
+    masks = dict(scans.Lexicon(known).masks)
+    labels = [f"R{c}" for c in "бвгдежзийклмн"]
+    weights = {"bias": {"K": 9.0, "D": -9.0} | {op: 8.0 - i / 10 for i, op in enumerate(labels)}}
+    word = "железобетонирование"
+    for i, ch in enumerate(word):
+        assert scans.corrected(f"{word[:i]}ъ{word[i + 1 :]}", weights, known, masks) == word
+        assert scans.corrected(f"{word[:i]}{word[i + 1 :]}", weights, known, masks) == word
+        assert scans.corrected(f"{word[:i]}ъъ{word[i + 1 :]}", weights, known, masks) == word
+        assert scans.corrected(f"{word[:i]}ъ{word[i:]}", weights, known, masks) == word
+    assert scans.corrected("железобетонъъровъние", weights, known, masks) is None
+    assert scans.corrected("воца", weights, known, masks) == "вода"
+    assert scans.corrected("экран", weights, known, masks) is None
+
+
 # -- canonical values ------------------------------------------------------------------------------------------------------
 
 ENTRIES = [(1, "designation", "ГОСТ Р 863-2001"), (2, "designation", "СП 150.1402.2019"), (3, "designation", "СНиП 419-09-1996"), (11, "title", "Плитная камера сейсмической трубы для аэродромного уклона"), (12, "title", "Арматурный зазор осадочного здания для насосного соединения"), (21, "card_status", "имеет силу"), (22, "card_status", "не имеет силы"), (23, "card_status", "имеет силу с изменениями"), (24, "card_status", "вводится в действие")]

@@ -21,6 +21,8 @@ from docustrata.session import durable, target_partitions
 
 #: Reference entries are broadcast; more characters of them than this are refused rather than spread unchecked.
 REFERENCE_CHARS = 50_000_000
+#: So many letters a word may have more than the typed one and still have its own, larger distance: more than any allowed distance can add.
+REACH = 3
 #: Distinct values that a task searches about.
 VALUES_PER_TASK = 2_000
 #: Words that people put around a value without changing what it means.
@@ -65,7 +67,7 @@ class WordTrie:
         self.root: dict = {}
         self.known: dict[str, set[int]] = {}
         self.joined: set[int] = set()
-        self._memory: dict[tuple[str, bool], dict[int, int]] = {}
+        self._memory: dict[tuple[str, bool, int], dict[int, int]] = {}
 
     def add(self, spelling: str, word: int) -> None:
         self.known.setdefault(spelling, set()).add(word)
@@ -74,22 +76,21 @@ class WordTrie:
             at = at.setdefault(ch, {})
         at.setdefault("", set()).add(word)
 
-    def search(self, typed: str, cut: bool) -> dict[int, int]:
-        """Words and their distances; ``cut``: the typed word is the start of an abbreviated one."""
-        key = typed, cut
+    def search(self, typed: str, cut: bool, reach: int = 1) -> dict[int, int]:
+        """Words and their distances; ``cut``: the typed word is the start of an abbreviated one. The distance allowed is that of the
+        longer of the two, of a word more than ``reach`` letters longer than the typed one that of ``reach`` letters more."""
+        key = typed, cut, reach
         if key not in self._memory:
             if len(self._memory) > 200_000:
                 self._memory.clear()
-            self._memory[key] = self._search(typed, cut)
+            self._memory[key] = self._search(typed, cut, reach)
         return self._memory[key]
 
-    def _search(self, typed: str, cut: bool) -> dict[int, int]:
-        if typed in self.known and not cut:
-            return dict.fromkeys(self.known[typed], 0)
+    def _search(self, typed: str, cut: bool, reach: int) -> dict[int, int]:
         if typed.isdigit():
-            return {}
+            return dict.fromkeys(self.known.get(typed, ()), 0)
         n = len(typed)
-        most = allowed(n + 1)
+        most = allowed(n + reach)
         found: dict[int, int] = {}
         todo = [(self.root, "", list(range(n + 1)), None, 0)]
         while todo:
@@ -112,6 +113,8 @@ class WordTrie:
                         found[w] = min(found.get(w, 99), new[n])
                 if min(new) <= most:
                     todo.append((child, ch, new, row, depth + 1))
+        if typed in self.known and not cut:  # a word that is right as it stands isn't two written together, of which one would be made up
+            found = {w: d for w, d in found.items() if d == 0 or w not in self.joined}
         return found
 
     def _below(self, node: dict) -> Iterator[int]:
@@ -180,21 +183,22 @@ class EntryTrie:
         if tail:
             return [(1, self.words.contracted(head, tail), len(head) + len(tail)), *self._plain([(head + tail, "", False)], 0)]
         options = self._plain(tokens, i)
-        if i + 1 < len(tokens) and not options[0][1] and not head.isdigit() and not tokens[i + 1][0].isdigit() and not tokens[i + 1][1]:
+        if i + 1 < len(tokens) and 0 not in options[0][1].values() and not head.isdigit() and not tokens[i + 1][0].isdigit() and not tokens[i + 1][1]:
             joined = head + tokens[i + 1][0]
-            options.append((2, self.words.search(joined, False), len(joined)))
+            options.append((2, self.words.search(joined, False, REACH), len(joined)))
         return options
 
     def _plain(self, tokens: list[tuple], i: int) -> list[tuple[int, dict[int, int], int]]:
         head, _, dot = tokens[i]
-        words = self.words.search(head, False)
+        words = self.words.search(head, False, REACH)
         if dot:
-            words = self.words.search(head, True) | words
+            cut = self.words.search(head, True, REACH)
+            words = {w: min(d, words.get(w, d)) for w, d in cut.items()} | {w: d for w, d in words.items() if w not in cut}
         options = [(1, words, len(head))]
         if head not in self.words.known:  # a word of no meaning written before the next one
             for n in sorted(NOISE):
                 if len(n) > 1 and head.startswith(n) and len(head) > len(n) + 1:
-                    options.append((1, self.words.search(head[len(n) :], dot), len(head)))
+                    options.append((1, self.words.search(head[len(n) :], dot, REACH), len(head)))
         return options
 
     def walk(self, tokens: list[tuple]) -> dict[int, int]:

@@ -218,6 +218,22 @@ def test_word_automaton_matches_brute_force():
         assert trie.search(typed, False) == want
 
 
+def test_known_words_have_neighbours_and_long_words_their_distance():
+    trie = canonical.EntryTrie([(1, "Плита кровли насоса"), (2, "Плиты кровли насоса"), (3, "Плита кровли котлована"), (4, "Ось моста")])
+    assert trie.matches("плита кровли насоса") == {1: 0, 2: 1}
+    assert trie.matches("плиты кровли котлована") == {3: 1}
+    assert trie.matches("плита кровли коловна") == {3: 2}
+    assert trie.matches("ось мст") == {4: 2}
+    rng = random.Random(9)
+    words = canonical.WordTrie()
+    spellings = sorted({rand_text(rng, rng.randint(3, 12), "абв") for _ in range(150)})
+    for i, w in enumerate(spellings):
+        words.add(w, i)
+    for typed in [*spellings[:60], *(rand_text(rng, rng.randint(3, 12), "абвг") for _ in range(60))]:
+        assert words.search(typed, False, canonical.REACH) == words.search(typed, False, 30)
+        assert typed not in spellings or words.search(typed, False)[spellings.index(typed)] == 0
+
+
 def test_mapped_values_tables(spark):
     aliases = spark.createDataFrame([("A1", "D", "гост р 863-2001", None, "display_code", 1), ("A1", "D", "гост р 863-2001", None, "display_code", 1), ("A2", "D", " ", "сп 150 1402 2019", "display_code", 1), ("A3", None, None, None, "title", 1), ("A4", None, "ГОСТ Р 863-2001", "x", "display_code", 1), ("A5", None, "ы" * 30_000, None, "title", 1), ("A6", None, "x", None, None, 1)], "alias_id string, document_id string, alias_raw string, alias_normalized string, alias_type string, entry_id int")
     cards = spark.createDataFrame([("K1", "имеет силу!"), ("K2", None), ("K3", "???")], "card_id string, card_status_raw string")

@@ -9,6 +9,8 @@ over unread by any join. Counts can be taken after each step.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,8 @@ class OrphanLedger:
         self.parents: DataFrame | None = None
         self.gone: DataFrame | None = None
         self.refs: DataFrame | None = None
+        #: Where a replay stands: rows before this time have been fed, all rows where it is None.
+        self.until: datetime | None = None
 
     def _judge(self, refs: DataFrame, live: DataFrame) -> DataFrame:
         first = live.groupBy(*KEY).agg(F.min("created_at").alias("first_live"))
@@ -94,7 +98,7 @@ class OrphanLedger:
 
 
 def replay(references: DataFrame, registry: DataFrame, max_steps: int = 4) -> Iterator[OrphanLedger]:
-    """Feed whole tables to a ledger in at most ``max_steps`` spans of time; yields the ledger after each step.
+    """Feed whole tables to a ledger in at most ``max_steps`` spans of time; yields the ledger after each step, its ``until`` the end of the span.
 
     The last span is open, so later deletions and rows without a time fall in it.
     """
@@ -114,6 +118,7 @@ def replay(references: DataFrame, registry: DataFrame, max_steps: int = 4) -> It
     for a, b in zip(edges, edges[1:]):
         deleted = parents.where("deleted_at is not null").where(within("deleted_at", a, b))
         ledger.advance(refs.where(within("created_at", a, b)), parents.where(within("created_at", a, b)), deleted)
+        ledger.until = b
         yield ledger
 
 
@@ -122,3 +127,13 @@ def final_ledger(references: DataFrame, registry: DataFrame) -> OrphanLedger:
     for ledger in replay(references, registry):  # noqa: B007
         pass
     return ledger
+
+
+def periodic_counts(references: DataFrame, registry: DataFrame, max_steps: int = 4) -> DataFrame:
+    """The snapshot after every step: step (from 1), until (end of its span, null for the last), field_name, period, n_references, n_orphans."""
+    parts = []
+    for step, ledger in enumerate(replay(references, registry, max_steps), 1):
+        until = F.lit(ledger.until).cast(ledger.refs.schema["created_at"].dataType)
+        # a few rows, kept so that the step's state need not be
+        parts.append(durable(ledger.snapshot().select(F.lit(step).alias("step"), until.alias("until"), "field_name", "period", "n_references", "n_orphans")))
+    return reduce(DataFrame.unionByName, parts)

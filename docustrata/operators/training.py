@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docustrata.operators.hierarchy import hierarchy
 from docustrata.operators.history import document_history
-from docustrata.operators.orphans import final_ledger
+from docustrata.operators.orphans import final_ledger, periodic_counts
 from docustrata.sources.tables import table
 
 
@@ -22,6 +22,11 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     return final_ledger(table(spark, folder, "document_references"), table(spark, folder, "document_registry")).snapshot()
 
 
+def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans per field and month of created_at, after every step: step, until, field_name, period, n_references, n_orphans."""
+    return periodic_counts(table(spark, folder, "document_references"), table(spark, folder, "document_registry"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of equal states: document_id, valid_from, valid_to."""
     runs = document_history(table(spark, folder, "document_snapshots"))
@@ -55,4 +60,4 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("node_id", "root_id", "tree_depth", "entry", "exit", "n_descendants", "path", "heading_path", verdict.alias("stored_path"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_steps": p1_steps, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths}

@@ -52,6 +52,38 @@ def test_ledger_resolves_and_reopens(spark):
     assert (row.period, row.n_references, row.n_orphans) == ("2024-02", 1, 1)
 
 
+def test_counts_after_every_step_match_brute_force(spark):
+    import __spark_entry__ as entry
+    from docustrata.operators.orphans import periodic_counts
+
+    assert "p1_steps" in entry.queries()
+    rng = random.Random(2)
+    codes = [f"СП {i}" for i in range(12)]
+    regs = [(f"D{i % 12}", codes[i % 12], day(rng.randrange(400)), day(rng.randrange(400)) if rng.random() < 0.5 else None) for i in range(30)]
+    refs = [(f"R{i}", rng.choice([*codes, None]), rng.choice(["D1", "D5", None]), rng.choice([None, day(rng.randrange(500))]), "x") for i in range(150)]
+    tables = spark.createDataFrame(refs, REF), spark.createDataFrame(regs, REG)
+    rows = periodic_counts(*tables).collect()
+    untils = {r.step: r.until for r in rows}
+    assert sorted(untils) == [1, 2, 3, 4]
+    assert untils[4] is None
+    assert untils[1] < untils[2] < untils[3]
+    for step, until in untils.items():
+        fed = [r for r in refs if until is None or (r[3] is not None and r[3] < until)]
+        arrived = [(*r[:3], r[3] if r[3] and (until is None or r[3] < until) else None) for r in regs if until is None or r[2] < until]
+        open_now = orphans_by_hand(fed, arrived)
+        want: dict = {}
+        for r in fed:
+            for field, value in (("referenced_code_normalized", r[1]), ("matched_document_id", r[2])):
+                if value is not None:
+                    n = want.setdefault((field, r[3].strftime("%Y-%m") if r[3] else None), [0, 0])
+                    n[0] += 1
+                    n[1] += (r[0], field) in open_now
+        assert {(r.field_name, r.period): [r.n_references, r.n_orphans] for r in rows if r.step == step} == want
+    last = {(r.field_name, r.period, r.n_references, r.n_orphans) for r in rows if r.step == 4}
+    assert last == {tuple(r) for r in final_ledger(*tables).snapshot().collect()}
+    assert periodic_counts(tables[0].limit(0), tables[1].limit(0)).count() == 0
+
+
 def test_orphans_of_empty_tables(spark):
     for ledger in replay(spark.createDataFrame([], REF), spark.createDataFrame([], REG)):
         assert ledger.orphans().count() == 0

@@ -7,6 +7,9 @@ and combining accents; each class takes its member with the least id as its cano
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝ"
 #: Greek letters and the Cyrillic letters they look like.
 GREEK = "ΑΒΕΗΙΚΜΝΟΡΤΥΧΖοϲϳ"
 GREEK_TO = "АВЕНІКМNОРТУХZосј"
+#: Greek capitals beyond those that the queries' SQL maps.
+GREEK_MORE, GREEK_MORE_TO = "ΓΠΦ", "ГПФ"
 #: Code points shown as nothing (soft hyphen, joiners, zero widths, directions, fillers, variation selectors, tags).
 INVISIBLE = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}\x{1d173}-\x{1d17a}\x{e0000}-\x{e0fff}]"
 #: Spaces of other widths.
@@ -26,7 +31,7 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 VISIBLE = rf"[^\s\x{{85}}{SPACES}{INVISIBLE[1:-1]}]"
 #: All but Cyrillic letters that nothing looks like, that compose with no accent and that a collation doesn't leave out: texts that
 #: look the same agree in these, so blocks can be made of the texts as they are. Texts without such letters share one block.
-UNSTEADY = "[^бвдлмнптфцшщьБДЛПФЦШЩЬ]+"
+UNSTEADY = "[^бвдлмнптфцшщьБДЛЦШЩЬ]+"
 #: Candidates (a key and a digest each) that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Full-width forms stand at this distance from the ordinary characters.
@@ -40,23 +45,50 @@ def _pairs() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
+#: What the SQL maps too.
 FROM, TO = _pairs()
+_ALL_FROM, _ALL_TO = FROM + GREEK_MORE, TO + GREEK_MORE_TO
+
+
+def _composed() -> dict[str, str]:
+    """Precomposed letters whose base has a look-alike, taken apart: as they are, the mapping would pass them over."""
+    bases = set(LATIN + GREEK + GREEK_MORE)
+    apart = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0x80, 0x3000)}
+    return {c: d for c, d in apart.items() if c != d and d[0] in bases}
+
+
+COMPOSED = _composed()
+_ACCENT = re.compile("[\u0300-\u036f]")
+#: Ranges that hold them: a class of few ranges is searched far faster than one of many letters.
+_COMPOSED = "\u00c0-\u0233\u0386-\u03d4\u1e00-\u1fff\u212a\u212b"
+
+
+def _apart(c: Column) -> Column:
+    """The text with such letters taken apart; only texts that hold letters of their ranges are cut at them."""
+    table = F.create_map(*(F.lit(x) for pair in COMPOSED.items() for x in pair))
+    runs = F.regexp_extract_all(c, F.lit(f"[^{_COMPOSED}]+|[{_COMPOSED}]"), F.lit(0))
+    return F.when(c.rlike(f"[{_COMPOSED}]"), F.array_join(F.transform(runs, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(c)
 
 
 def visual_form(c: Column) -> Column:
     """The mapped text; composed and combining accents still differ here and are equal under the collation."""
-    return F.translate(F.regexp_replace(c, INVISIBLE, ""), FROM, TO)
+    return F.translate(_apart(F.regexp_replace(c, INVISIBLE, "")), _ALL_FROM, _ALL_TO)
 
 
 def python_form(text: str) -> str:
-    """The same mapping for use inside a worker, composed; equal forms look the same."""
-    import re
-    import unicodedata
+    """The same mapping for use inside a worker, composed; equal forms look the same.
 
+    A mapped letter whose accent no Cyrillic letter has is composed to the precomposed one it looks like, so that it stays one letter.
+    """
     if "_t" not in python_form.__dict__:
-        python_form._t = str.maketrans(FROM, TO)
+        single = str.maketrans(_ALL_FROM, _ALL_TO)
+        apart = {c: d.translate(single) for c, d in COMPOSED.items()}
+        python_form._t = single | str.maketrans(apart)
         python_form._r = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m[1].zfill(8), INVISIBLE))
-    return unicodedata.normalize("NFC", python_form._r.sub("", text).translate(python_form._t))
+        python_form._j = {n: c for c, d in sorted(apart.items(), reverse=True) if len(n := unicodedata.normalize("NFC", d)) > 1}
+        python_form._m = re.compile("|".join(sorted(python_form._j, key=len, reverse=True)))
+    form = unicodedata.normalize("NFC", python_form._r.sub("", text).translate(python_form._t))
+    return python_form._m.sub(lambda m: python_form._j[m[0]], form) if _ACCENT.search(form) else form
 
 
 def visual_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -311,6 +311,21 @@ def test_lookalike_pairs(spark):
     assert lookalikes.visual_pairs(df.limit(0)).count() == 0
 
 
+def test_lookalikes_of_greek_capitals_and_precomposed_letters(spark):
+    groups = [["Площадь ПФГ", "Площадь ΠΦΓ", "Площадь ΠФΓ"], ["всё Ёлка", "всë Ëлка", "вс\u0065\u0308 \u0045\u0308лка"], ["Їжак", "Ïжак"], ["café", "cafe\u0301", "саfе\u0301"], ["Ά", "A\u0301", "Á"], ["Ḱ", "К\u0301", "Ќ"]]
+    apart = ["все Елка", "Площадь ПФ", "Іжак", "cafe", "cafè", "А", "К"]
+    texts = [t for g in groups for t in g] + apart
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {tuple(r) for r in lookalikes.visual_pairs(df).collect()}
+    assert got == {(texts.index(a), texts.index(b)) for g in groups for a in g for b in g if texts.index(a) < texts.index(b)}
+    forms = [r.f for r in df.orderBy("doc_id").select(lookalikes.visual_form(df.text).alias("f")).collect()]
+    assert [lookalikes.python_form(f) for f in forms] == [lookalikes.python_form(t) for t in texts]
+    for g in groups:
+        assert len({lookalikes.python_form(t) for t in g}) == len({tuple(leaks.words_of(t)) for t in g}) == 1
+    assert [len(leaks.words_of(t)) for t in ("élan café", "e\u0301lan cafe\u0301")] == [2, 2]
+    assert lookalikes.python_form("Плёнка") == lookalikes.python_form("Плëнка") == "Плёнка"
+
+
 def test_column_and_python_forms_agree(spark):
     rng = random.Random(8)
     texts = [rand_text(rng, 80, LETTERS + "ABCxyzΟΡΤСсｆ． ﻿­") for _ in range(60)]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docustrata.operators.hierarchy import hierarchy
+from docustrata.operators.hierarchy import descendants_of, hierarchy
 from docustrata.operators.history import document_history
 from docustrata.operators.orphans import final_ledger, periodic_counts
+from docustrata.session import durable
 from docustrata.sources.tables import table
 
 
@@ -22,9 +23,10 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     return final_ledger(table(spark, folder, "document_references"), table(spark, folder, "document_registry")).snapshot()
 
 
-def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphans per field and month of created_at, after every step: step, until, field_name, period, n_references, n_orphans."""
-    return periodic_counts(table(spark, folder, "document_references"), table(spark, folder, "document_registry"))
+def p1_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans per field and month of created_at at the end of every span: as_of (a day, 'end' for the last), field_name, period, n_references, n_orphans."""
+    counts = periodic_counts(table(spark, folder, "document_references"), table(spark, folder, "document_registry"))
+    return counts.select(F.coalesce(F.date_format("as_of", "yyyy-MM-dd"), F.lit("end")).alias("as_of"), "field_name", "period", "n_references", "n_orphans")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,4 +62,11 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("node_id", "root_id", "tree_depth", "entry", "exit", "n_descendants", "path", "heading_path", verdict.alias("stored_path"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_steps": p1_steps, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths}
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All descendants of every node whose number is divisible by 20: ancestor_id, node_id."""
+    nodes = table(spark, folder, "document_nodes").select("id", "parent_node_id", "version_id", "order_index")
+    tree = durable(hierarchy(nodes))
+    return descendants_of(tree, tree.where(F.regexp_extract("node_id", "[0-9]+", 0).cast("bigint") % 20 == 0))
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_snapshots": p1_snapshots, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set a temporary one only where none is named (tests)."""
+    """Keep the cluster's shared checkpoint folder; only a local session (tests) that names none gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
@@ -36,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
         return
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     folder = tempfile.mkdtemp(prefix="docustrata-checkpoint-")
     atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir(folder)
@@ -47,6 +52,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written state beside the checkpoints, where every executor reaches it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def target_partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Enough partitions that none holds many more than ``per_partition`` rows, and at least two for each core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_partition), 1)
@@ -55,4 +66,12 @@ def target_partitions(spark: SparkSession, rows: int, per_partition: int) -> int
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan to all cores where it comes in fewer parts, as one small file does; larger scans pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(shared: Any, name: str, make: Callable[[dict], Any]) -> Any:
+    """What ``make`` builds of a broadcast dictionary, once in each worker: it is kept beside the fields, which outlive a task."""
+    fields = shared.value
+    if name not in fields:
+        fields[name] = make(fields)
+    return fields[name]

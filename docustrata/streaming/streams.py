@@ -53,22 +53,21 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def orphan_batches(ledger: OrphanLedger, after: Callable[[OrphanLedger, int], None]) -> Callable[[DataFrame, int], None]:
+def orphan_batches(ledger: OrphanLedger, after: Callable[[OrphanLedger, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over change rows: kind (reference, registered, deleted) and the columns of both tables.
 
-    A batch that comes again after a failure must not reach the ledger twice: the number of the last batch is kept.
+    The ledger's folder holds the number of the last finished batch, so a batch that comes again is passed over, also by a ledger
+    that a restarted driver opened on the same folder.
     """
-    done = -1
 
     def step(batch: DataFrame, number: int) -> None:
-        nonlocal done
-        if number <= done:
+        if number <= ledger.number:
             return
         batch.persist()
         refs = reference_keys(batch.where("kind = 'reference'"))
-        ledger.advance(refs, parent_rows(batch.where("kind = 'registered'")), parent_rows(batch.where("kind = 'deleted'")))
+        ledger.advance(refs, parent_rows(batch.where("kind = 'registered'")), parent_rows(batch.where("kind = 'deleted'")), number)
         batch.unpersist()
-        done = number
-        after(ledger, number)
+        if after:
+            after(ledger, number)
 
     return step

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docustrata.operators import jobs
-from docustrata.operators.orphans import OrphanLedger, reference_keys
+from docustrata.operators.orphans import OrphanLedger
 from docustrata.sources import artifacts, files
 from docustrata.streaming import streams
 
@@ -67,7 +67,7 @@ def test_chat_stream_keeps_the_tail(spark, tmp_path):
     assert spark.sql("select * from tails_out").first().turns == "9,10,11"
 
 
-def test_orphan_batches(spark):
+def test_orphan_batches(spark, tmp_path):
     schema = "kind string, id string, referenced_code_normalized string, matched_document_id string, created_at timestamp, document_id string, normalized_code string, deleted_at timestamp"
     import datetime as dt
 
@@ -75,7 +75,7 @@ def test_orphan_batches(spark):
     first = spark.createDataFrame([("reference", "R1", "СП 1", None, t, None, None, None)], schema)
     second = spark.createDataFrame([("registered", None, None, None, t, "D1", "СП 1", None)], schema)
     seen = []
-    step = streams.orphan_batches(OrphanLedger(reference_keys(first)), lambda ledger, n: seen.append((n, ledger.orphans().count())))
+    step = streams.orphan_batches(OrphanLedger(spark, str(tmp_path / "ledger")), lambda ledger, n: seen.append((n, ledger.orphans().count())))
     for n, batch in ((0, first), (1, second), (1, second)):
         step(batch, n)
     assert seen == [(0, 1), (1, 0)]

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from docustrata.operators.hierarchy import descendants_of, hierarchy
 from docustrata.operators.history import document_history
-from docustrata.operators.orphans import OrphanLedger, final_ledger, parent_rows, reference_keys, replay
+from docustrata.operators.orphans import OrphanLedger, final_ledger, parent_rows, periodic_counts, reference_keys, replay
 
 REF = "id string, referenced_code_normalized string, matched_document_id string, created_at timestamp, field_name string"
 REG = "document_id string, normalized_code string, created_at timestamp, deleted_at timestamp"
@@ -37,33 +38,61 @@ def test_orphans_match_brute_force(spark):
     assert got == orphans_by_hand(refs, regs)
 
 
-def test_ledger_resolves_and_reopens(spark):
+def test_ledger_resolves_reopens_and_recovers(spark, tmp_path):
     refs = reference_keys(spark.createDataFrame([("R1", "СП 1", None, day(50), "")], REF))
     parents = parent_rows(spark.createDataFrame([("D1", "СП 1", day(10), day(90))], REG))
-    none = parents.limit(0)
-    ledger = OrphanLedger(refs)
+    none, folder = parents.limit(0), str(tmp_path / "ledger")
+    ledger = OrphanLedger(spark, folder, buckets=3, hot=refs.select("field_name", "ref_key"))
     ledger.advance(refs, none, none)
     assert ledger.orphans().count() == 1
     ledger.advance(refs.limit(0), parents, none)
     assert ledger.orphans().count() == 0
+    ledger = OrphanLedger(spark, folder, buckets=3)  # after a restart, with a hot key that is none any more
+    assert (ledger.step, ledger.number) == (2, 1)
+    ledger.advance(refs, none, none, number=1)  # comes again
+    (tmp_path / "ledger" / "refs" / "step=3").mkdir()  # what a lost step left
     ledger.advance(refs.limit(0), none, parents)
+    ledger.advance(refs.limit(0), none, none)
     assert ledger.orphans().count() == 1
-    row = ledger.snapshot().first()
-    assert (row.period, row.n_references, row.n_orphans) == ("2024-02", 1, 1)
+    for again in (OrphanLedger(spark, folder, buckets=3), ledger):
+        row = again.snapshot().first()
+        assert (row.period, row.n_references, row.n_orphans) == ("2024-02", 1, 1)
+    assert [(r.step, r.n_orphans) for r in ledger.snapshots().orderBy("step").collect()] == [(1, 1), (2, 0), (3, 1), (4, 1)]
+    ledger.compact()
+    ledger = OrphanLedger(spark, folder, buckets=3)
+    assert len(ledger.steps) == 1
+    ledger.advance(refs.limit(0), parent_rows(spark.createDataFrame([("D2", "СП 1", day(40), None)], REG)), none)
+    assert ledger.orphans().count() == 0
+    assert ledger.snapshot().first().n_orphans == 0
 
 
-def test_counts_after_every_step_match_brute_force(spark):
-    import __spark_entry__ as entry
-    from docustrata.operators.orphans import periodic_counts
+def test_a_step_reads_touched_buckets_only(spark, tmp_path):
+    rows = [(f"R{i}", f"СП {i}", None, day(50), "") for i in range(200)]
+    refs, folder = reference_keys(spark.createDataFrame(rows, REF)), str(tmp_path / "ledger")
+    none = parent_rows(spark.createDataFrame([], REG))
+    ledger = OrphanLedger(spark, folder, buckets=16)
+    ledger.advance(refs, none, none)
+    for kept in (tmp_path / "ledger" / "refs" / "step=1").iterdir():
+        if kept.name.startswith("bucket=") and kept.name != f"bucket={(one := refs.where("ref_key = 'СП 7'").select(ledger._bucket()).first().bucket)}":
+            shutil.rmtree(kept)  # nothing there may be asked for
+    ledger.advance(refs.limit(0), parent_rows(spark.createDataFrame([("D7", "СП 7", day(1), None)], REG)), none)
+    assert {r.name for r in (tmp_path / "ledger" / "refs" / "step=2").iterdir() if "=" in r.name} == {f"bucket={one}"}
+    assert ledger.snapshot().first().n_orphans == 199
+
 
-    assert "p1_steps" in entry.queries()
+def test_codes_that_normalize_to_nothing_name_nothing(spark):
+    refs = spark.createDataFrame([("R1", " ,", None, day(1), ""), ("R2", "\u00a0;:", " ", day(1), ""), ("R3", "СП 1 ,", None, day(1), "")], REF)
+    assert [r.ref_key for r in reference_keys(refs).collect()] == ["СП 1"]
+
+
+def test_counts_after_every_step_match_brute_force(spark):
     rng = random.Random(2)
     codes = [f"СП {i}" for i in range(12)]
     regs = [(f"D{i % 12}", codes[i % 12], day(rng.randrange(400)), day(rng.randrange(400)) if rng.random() < 0.5 else None) for i in range(30)]
     refs = [(f"R{i}", rng.choice([*codes, None]), rng.choice(["D1", "D5", None]), rng.choice([None, day(rng.randrange(500))]), "x") for i in range(150)]
     tables = spark.createDataFrame(refs, REF), spark.createDataFrame(regs, REG)
-    rows = periodic_counts(*tables).collect()
-    untils = {r.step: r.until for r in rows}
+    rows = periodic_counts(*tables, 4).collect()
+    untils = {r.step: r.as_of for r in rows}
     assert sorted(untils) == [1, 2, 3, 4]
     assert untils[4] is None
     assert untils[1] < untils[2] < untils[3]

@@ -5,7 +5,8 @@ possible. Within a block leaves are peeled; what can't be peeled lies on a cycle
 Euler tours of its local roots. Where a node has children in other blocks (a port) the tour is cut into segments; the
 segments of all blocks form linked lists, which are ranked by pointer jumping over the segments only: far fewer than nodes.
 A list that never ends belongs to a cycle across blocks. Entry and exit positions of the whole tour follow by adding a
-segment's offset, and give depth, descendants (nested intervals) and ancestors (enclosing intervals).
+segment's offset, and give depth, descendants (nested intervals) and ancestors (enclosing intervals). Paths are put together last,
+by streaming over each block in tour order with the labels of the open nodes on a stack.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from docustrata.session import durable, target_partitions
 
 #: Nodes a block holds about; bounds the memory of a task (some 400 bytes a node).
 BLOCK = 40_000
-_OUT = "node string, parent string, local_root string, cyclic boolean, seg_in string, off_in bigint, dep_in bigint, seg_out string, off_out bigint, lens bigint, deps bigint, next_seg string, kind int, path string"
+#: Characters of paths that a batch holds about.
+BATCH_CHARS = 4_000_000
+_SEP = " > "
+_OUT = "block int, pos int, open int, node string, parent string, label string, local_root string, cyclic boolean, seg_in string, off_in bigint, dep_in bigint, seg_out string, off_out bigint, lens bigint, deps bigint, next_seg string, kind int, path string"
 
 
 def _peel(parent: dict[str, str | None]) -> tuple[list[str], set[str]]:
@@ -61,7 +65,7 @@ def _tours(nodes: pa.Table, ports: pa.Table) -> pa.Table:
     """One block: rows of kind 0 are nodes, of kind 1 segments.
 
     ``ports`` has the block's nodes with children elsewhere (role 'down', the blocks that hold them) and its outside parents
-    (role 'up', the next block that hangs below the same parent).
+    (role 'up', the next block that hangs below the same parent). Only nodes with children elsewhere have their path below the local root.
     """
     c = _columns(nodes)
     if not c["node"]:
@@ -83,6 +87,8 @@ def _tours(nodes: pa.Table, ports: pa.Table) -> pa.Table:
             roots.append(n)
             if n not in cyclic and p in up:
                 hanging[p].append(n)
+    labelled = any(c["label"])
+    pos = 0
     follows = {}  # the segment after a local root's last one
     for p, own in hanging.items():
         for a, b in zip(own, own[1:]):
@@ -98,34 +104,37 @@ def _tours(nodes: pa.Table, ports: pa.Table) -> pa.Table:
         bad = r in cyclic
         seg, n_seg, at, depth, base = f"{r}/0", 0, 0, 0, 0  # depth: open nodes since the root; base: those at the segment's start
         into: dict[str, tuple] = {}
-        paths = {}
+        labels: list[str | None] = []  # of the open nodes
         todo: list[tuple[str, int]] = [(r, 0)]
         while todo:
             n, step = todo.pop()
             if step == 0:
-                p = parent[n]
-                paths[n] = [x for x in (*(paths[p] if n != r else ()), label[n]) if x] if label[n] else (paths[p] if n != r else [])
+                labels.append(label[n])
                 depth += 1
                 at += 1
-                into[n] = (seg, at - 1, depth - base - 1)
+                into[n] = (seg, at - 1, depth - base - 1, pos, depth - 1)
+                pos += 1
                 todo.append((n, 1))
                 todo.extend((x, 0) for x in reversed(children[n]))
             else:
-                if n in down and not bad:
+                port = n in down and not bad
+                path = _SEP.join(filter(None, labels)) if port and labelled else None
+                labels.pop()
+                if port:
                     emit(kind=1, seg_in=seg, lens=at, deps=depth - base, next_seg=f"{n}@{down[n]}", local_root=r)
                     n_seg, at, base = n_seg + 1, 0, depth
                     seg = f"{n}!"
                 depth -= 1
                 at += 1
-                s, o, d = into[n]
-                emit(kind=0, node=n, parent=parent[n], local_root=r, cyclic=bad, seg_in=s, off_in=o, dep_in=d, seg_out=seg, off_out=at - 1, path="\x1f".join(paths[n]))
+                s, o, d, i, open_ = into.pop(n)
+                emit(kind=0, block=block, pos=i, open=open_, node=n, parent=parent[n], label=label[n], local_root=r, cyclic=bad, seg_in=s, off_in=o, dep_in=d, seg_out=seg, off_out=at - 1, path=path)
         emit(kind=1, seg_in=seg, lens=at, deps=depth - base, next_seg=follows.get(r), local_root=r, cyclic=bad)
     for p, own in hanging.items():  # the way into this block's children of an outside parent
         emit(kind=1, seg_in=f"{p}@{block}", lens=0, deps=0, next_seg=f"{own[0]}/0", local_root=own[0])
     return pa.table(out, _SCHEMA)
 
 
-_SCHEMA = pa.schema([("node", pa.string()), ("parent", pa.string()), ("local_root", pa.string()), ("cyclic", pa.bool_()), ("seg_in", pa.string()), ("off_in", pa.int64()), ("dep_in", pa.int64()), ("seg_out", pa.string()), ("off_out", pa.int64()), ("lens", pa.int64()), ("deps", pa.int64()), ("next_seg", pa.string()), ("kind", pa.int32()), ("path", pa.string())])
+_SCHEMA = pa.schema([("block", pa.int32()), ("pos", pa.int32()), ("open", pa.int32()), ("node", pa.string()), ("parent", pa.string()), ("label", pa.string()), ("local_root", pa.string()), ("cyclic", pa.bool_()), ("seg_in", pa.string()), ("off_in", pa.int64()), ("dep_in", pa.int64()), ("seg_out", pa.string()), ("off_out", pa.int64()), ("lens", pa.int64()), ("deps", pa.int64()), ("next_seg", pa.string()), ("kind", pa.int32()), ("path", pa.string())])
 
 
 def _rank(segments: DataFrame) -> DataFrame:
@@ -152,10 +161,11 @@ def hierarchy(nodes: DataFrame, node: str = "id", parent: str = "parent_node_id"
 
     A parent that is null, blank or the id of no row makes the node a root of depth 0. Nodes on a cycle or below one have root_id
     '', tree_depth -1 and null entry, exit, n_descendants and path. Rows with a null id are left out; an id with several rows counts
-    once (of differing rows the least by order and parent). ``order`` decides the order of siblings and which nodes share a block;
+    once (of differing rows the least by order and parent). Without ``label`` paths are null. ``order`` decides the order of siblings and which nodes share a block;
     any order gives the same roots and depths. Labels that are null or empty are left out of paths.
     """
-    label = F.lit(None).cast("string") if label is None else label
+    wanted = label is not None
+    label = label if wanted else F.lit(None).cast("string")
     keys = [f"o{i}" for i in range(len(order))]
     fields = [*[F.col(c).alias(k) for c, k in zip(order, keys)], F.when(~is_blank(F.col(parent)), F.col(parent)).alias("parent"), label.alias("label")]
     single = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(F.struct(*fields)).alias("v")).select("node", "v.*")
@@ -178,13 +188,11 @@ def hierarchy(nodes: DataFrame, node: str = "id", parent: str = "parent_node_id"
     ends = ranked.where("last is not null").join(root_of, "last").select("seg_in", "rest", "net", "root")
     length = ends.where(F.col("seg_in") == F.concat("root", F.lit("/0"))).select("root", F.col("rest").alias("whole"))
     starts = ends.join(length, "root").select("seg_in", "root", (F.col("whole") - F.col("rest")).alias("start"), (-F.col("net")).alias("depth0"))
-    prefixes = _prefixes(rows, segments, keys)
     a, b = starts, starts.select(F.col("seg_in").alias("seg_out"), F.col("start").alias("start_out"))
-    found = rows.join(a, "seg_in", "left").join(b, "seg_out", "left").join(prefixes, "local_root", "left")
+    found = rows.drop("path").join(a, "seg_in", "left").join(b, "seg_out", "left")
     ok = F.col("root").isNotNull() & ~F.col("cyclic")
-    full = F.concat_ws("\x1f", F.nullif("prefix", F.lit("")), F.nullif("path", F.lit("")))
     entry, leave = F.col("start") + F.col("off_in"), F.col("start_out") + F.col("off_out")
-    return found.select(
+    out = [
         F.col("node").alias("node_id"),
         F.col("parent").alias("parent_id"),
         F.when(ok, F.col("root")).otherwise("").alias("root_id"),
@@ -193,8 +201,38 @@ def hierarchy(nodes: DataFrame, node: str = "id", parent: str = "parent_node_id"
         F.when(ok, leave).alias("exit"),
         F.when(ok, ((leave - entry - 1) / 2).cast("bigint")).alias("n_descendants"),
         (~ok).alias("is_cyclic"),
-        F.when(ok, F.replace(full, F.lit("\x1f"), F.lit(" > "))).alias("path"),
-    )
+    ]
+    if not wanted:
+        return found.select(*out, F.lit(None).cast("string").alias("path"))
+    # what stands before a block's paths goes to the row of the local root only
+    found = found.join(_prefixes(rows).withColumnRenamed("local_root", "node"), "node", "left").select(*out, "block", "pos", "open", "label", "prefix")
+    ordered = found.repartition("block").sortWithinPartitions("block", "pos")
+    return ordered.mapInArrow(_paths, "node_id string, parent_id string, root_id string, tree_depth int, entry bigint, exit bigint, n_descendants bigint, is_cyclic boolean, path string")
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of nodes in tour order; holds the labels of the open nodes and one batch of paths, however deep a tree is."""
+    labels: list[str | None] = []
+    names = ["node_id", "parent_id", "root_id", "tree_depth", "entry", "exit", "n_descendants", "is_cyclic"]
+    for batch in batches:
+        start, size, made = 0, 0, []
+
+        def cut(end: int) -> pa.RecordBatch:
+            part = batch.slice(start, end - start)  # noqa: B023
+            return pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(made, pa.string())], [*names, "path"])  # noqa: B023
+
+        for i, (bad, open_, label, prefix) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_cyclic", "open", "label", "prefix")))):
+            del labels[open_ + 1 :]  # the first is what stands before the block's paths
+            if not open_:
+                labels[:] = [prefix]
+            labels.append(label)
+            made.append(None if bad else _SEP.join(filter(None, labels)))
+            size += len(made[-1] or "")
+            if size > BATCH_CHARS:
+                yield cut(i + 1)
+                start, size, made = i + 1, 0, []
+        if made:
+            yield cut(batch.num_rows)
 
 
 def _sorted_tours(keys: list[str]):
@@ -204,7 +242,7 @@ def _sorted_tours(keys: list[str]):
     return run
 
 
-def _prefixes(rows: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+def _prefixes(rows: DataFrame) -> DataFrame:
     """For each local root below a port its ancestors' labels, by pointer jumping over local roots."""
     below = rows.where("node = local_root and parent is not null and not cyclic").select("local_root", "parent")
     over = rows.where("not cyclic").select(F.col("node").alias("parent"), F.col("local_root").alias("jump"), F.col("path").alias("prefix"))
@@ -212,17 +250,31 @@ def _prefixes(rows: DataFrame, segments: DataFrame, keys: list[str]) -> DataFram
     left, before = state.where("jump is not null").count(), -1
     while left and left != before:
         far = state.select(F.col("local_root").alias("jump"), F.col("jump").alias("j2"), F.col("prefix").alias("p2"))
-        state = durable(state.join(far, "jump", "left").select("local_root", F.col("j2").alias("jump"), F.concat_ws("\x1f", F.nullif("p2", F.lit("")), F.nullif("prefix", F.lit(""))).alias("prefix")))
+        state = durable(state.join(far, "jump", "left").select("local_root", F.col("j2").alias("jump"), F.concat_ws(_SEP, F.nullif("p2", F.lit("")), F.nullif("prefix", F.lit(""))).alias("prefix")))
         before, left = left, state.where("jump is not null").count()
     return state.select("local_root", "prefix")
 
 
-def descendants_of(tree: DataFrame, wanted: DataFrame, bands: int = 4096) -> DataFrame:
-    """Pairs (ancestor_id, node_id) for the ids in ``wanted`` (column node_id): all nodes nested in their intervals.
+def descendants_of(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Pairs (ancestor_id, node_id) for the ids in ``wanted`` (column node_id; all nodes if none is given): all nodes nested in their intervals.
 
-    The interval join is an equi-join on root and band of ``bands`` tour positions; a node is looked for in one band.
+    The interval join is an equi-join: an interval is cut into its aligned parts (at most two of each power of two), and a node asks
+    for the one part of each size that holds its entry. Every row that the join makes is a pair of the result.
     """
-    tops = tree.join(wanted.select("node_id").distinct(), "node_id", "left_semi").where("not is_cyclic").select(F.col("node_id").alias("ancestor_id"), "root_id", F.col("entry").alias("a"), F.col("exit").alias("z"))
-    tops = tops.withColumn("band", F.explode(F.sequence(F.floor(F.col("a") / bands), F.floor(F.col("z") / bands))))
-    inner = tree.where("not is_cyclic").select("node_id", "root_id", "entry", F.floor(F.col("entry") / bands).alias("band"))
-    return tops.join(inner, ["root_id", "band"]).where("entry > a and entry < z").select("ancestor_id", "node_id")
+    sound = tree.where("not is_cyclic").select("node_id", "root_id", "entry", "exit")
+    longest = sound.agg(F.max("exit")).first()[0] or 0
+    sizes = F.sequence(F.lit(0), F.lit(max(1, int(longest).bit_length())))
+    tops = sound if wanted is None else sound.join(wanted.select("node_id").distinct(), "node_id", "left_semi")
+    none = F.array().cast("array<struct<size:int,at:bigint>>")
+
+    def step(acc: Column, size: Column) -> Column:
+        lo, hi, open_ = acc["lo"], acc["hi"], acc["lo"] <= acc["hi"]
+        part = lambda c: F.array(F.struct(size.cast("int").alias("size"), c.alias("at")))
+        low = F.when(open_ & (lo % 2 == 1), part(lo)).otherwise(none)
+        high = F.when(open_ & (hi % 2 == 0) & ((lo % 2 == 0) | (hi > lo)), part(hi)).otherwise(none)
+        return F.struct(F.shiftright(lo + lo % 2, 1).alias("lo"), (F.shiftright(hi + 1, 1) - 1).alias("hi"), F.concat(acc["parts"], low, high).alias("parts"))
+
+    start = F.struct((F.col("entry") + 1).alias("lo"), (F.col("exit") - 1).alias("hi"), none.alias("parts"))
+    cut = tops.where("exit > entry + 1").select(F.col("node_id").alias("ancestor_id"), "root_id", F.explode(F.aggregate(sizes, start, step)["parts"]).alias("p")).select("ancestor_id", "root_id", "p.size", "p.at")
+    asked = sound.where("node_id <> root_id").select("node_id", "root_id", "entry", F.explode(sizes).alias("size")).select("node_id", "root_id", "size", F.expr("shiftright(entry, size)").alias("at"))
+    return cut.join(asked, ["root_id", "size", "at"]).select("ancestor_id", "node_id")

@@ -53,20 +53,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, interval and descendants of every node, and whether the stored heading_path agrees."""
+    """Root, depth and path of every node, and whether the stored heading_path agrees."""
     nodes = table(spark, folder, "document_nodes")
     tree = hierarchy(nodes, label=node_label())
     stored = nodes.where("id is not null").groupBy(F.col("id").alias("node_id")).agg(F.min("heading_path").alias("heading_path"))
     joined = tree.join(stored, "node_id", "left")
     verdict = F.when(F.col("is_cyclic"), "cyclic").when(F.col("heading_path").isNull(), "missing").when(F.col("heading_path") == F.col("path"), "equal").otherwise("differs")
-    return joined.select("node_id", "root_id", "tree_depth", "entry", "exit", "n_descendants", "path", "heading_path", verdict.alias("stored_path"))
+    return joined.select("node_id", "root_id", "tree_depth", "path", "heading_path", verdict.alias("stored_path"))
+
+
+def p5_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """How many descendants each node has, and how long its interval on the tour is: node_id, n_descendants, span."""
+    nodes = table(spark, folder, "document_nodes").select("id", "parent_node_id", "version_id", "order_index")
+    return hierarchy(nodes).where("not is_cyclic").select("node_id", "n_descendants", (F.col("exit") - F.col("entry")).alias("span"))
 
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """All descendants of every node whose number is divisible by 20: ancestor_id, node_id."""
+    """All descendants of every node: ancestor_id, node_id."""
     nodes = table(spark, folder, "document_nodes").select("id", "parent_node_id", "version_id", "order_index")
-    tree = durable(hierarchy(nodes))
-    return descendants_of(tree, tree.where(F.regexp_extract("node_id", "[0-9]+", 0).cast("bigint") % 20 == 0))
+    return descendants_of(durable(hierarchy(nodes)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_snapshots": p1_snapshots, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_snapshots": p1_snapshots, "p2_found": p2_found, "p2_history": p2_history, "p5_found": p5_found, "p5_paths": p5_paths, "p5_intervals": p5_intervals, "p5_descendants": p5_descendants}

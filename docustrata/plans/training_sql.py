@@ -20,6 +20,12 @@ h AS (SELECT *, lead(f) OVER (PARTITION BY document_id ORDER BY i) AS x FROM u)"
 _TREE = """d AS (SELECT id, min(nullif(CASE WHEN trim(parent_node_id, ' ' || chr(9) || chr(10)) = '' THEN NULL ELSE parent_node_id END, '')) AS p FROM document_nodes WHERE id IS NOT NULL GROUP BY 1), e AS (SELECT d.id, q.id AS p FROM d LEFT JOIN d q ON q.id = d.p),
 t AS (SELECT id, id AS root, 0 AS depth FROM e WHERE p IS NULL UNION ALL SELECT e.id, t.root, t.depth + 1 FROM t JOIN e ON e.p = t.id)"""
 
+_TR = lambda x: f"trim({x}, ' ')"
+_PATHS = f"""v AS (SELECT id, min(struct_pack(a := version_id, b := order_index, c := CASE WHEN {sql.blank('parent_node_id')} THEN NULL ELSE parent_node_id END, l := CASE WHEN nullif({_TR('title')}, '') IS NOT NULL THEN concat_ws(' ', nullif({_TR('label')}, ''), nullif({_TR('title')}, '')) WHEN node_type = 'title' THEN {_TR('text')} END)) AS m, min(heading_path) AS heading_path FROM document_nodes WHERE id IS NOT NULL GROUP BY 1),
+d AS (SELECT id, m.c AS p, nullif(m.l, '') AS l, heading_path FROM v), e AS (SELECT d.id, q.id AS p, d.l FROM d LEFT JOIN d q ON q.id = d.p),
+t AS (SELECT id, id AS root, 0 AS depth, coalesce(l, '') AS path FROM e WHERE p IS NULL UNION ALL SELECT e.id, t.root, t.depth + 1, concat_ws(' > ', nullif(t.path, ''), e.l) FROM t JOIN e ON e.p = t.id)"""
+_BELOW = "w AS (SELECT id AS ancestor_id, id FROM t UNION ALL SELECT ancestor_id, e.id FROM w JOIN e ON e.p = w.id)"
+
 ORACLES = {
     "p1_found": f"WITH {_REF} SELECT DISTINCT id AS reference_id, field_name FROM j WHERE o",
     "p1_counts": f"WITH {_REF} SELECT field_name, strftime(created_at, '%Y-%m') AS period, count(*) AS n_references, count(*) FILTER (WHERE o) AS n_orphans FROM j GROUP BY 1, 2",
@@ -27,4 +33,7 @@ ORACLES = {
     "p2_found": f"WITH {_SNAP} SELECT document_id, strftime(f, '%Y-%m-%d') AS valid_from, coalesce(strftime(x, '%Y-%m-%d'), '9999-12-31') AS valid_to FROM h",
     "p2_history": f"WITH {_SNAP} SELECT document_id, s AS status_normalized, v AS current_version_id, a AS text_actualized_at, f AS valid_from, coalesce(x, DATE '9999-12-31') AS valid_to, c AS n_snapshots, x IS NULL AS is_current FROM h",
     "p5_found": f"WITH RECURSIVE {_TREE} SELECT d.id AS node_id, coalesce(t.root, '') AS root_id, CAST(coalesce(t.depth, -1) AS INT) AS tree_depth FROM d LEFT JOIN t USING (id)",
+    "p5_paths": f"WITH RECURSIVE {_PATHS} SELECT id AS node_id, coalesce(root, '') AS root_id, CAST(coalesce(depth, -1) AS INT) AS tree_depth, path, heading_path, CASE WHEN root IS NULL THEN 'cyclic' WHEN heading_path IS NULL THEN 'missing' WHEN heading_path = path THEN 'equal' ELSE 'differs' END AS stored_path FROM d LEFT JOIN t USING (id)",
+    "p5_descendants": f"WITH RECURSIVE {_TREE}, {_BELOW} SELECT ancestor_id, id AS node_id FROM w WHERE ancestor_id <> id",
+    "p5_intervals": f"WITH RECURSIVE {_TREE}, {_BELOW} SELECT ancestor_id AS node_id, count(*) - 1 AS n_descendants, 2 * count(*) - 1 AS span FROM w GROUP BY 1",
 }

@@ -172,8 +172,9 @@ def test_hierarchy_matches_brute_force(spark, seed, block):
             below[x].add(n)
     assert {r.node_id: r.n_descendants for r in tree.where("not is_cyclic").collect()} == {n: len(below[n]) for n in names if want[n][1] >= 0}
     wanted = tree.where("node_id in ('n0', 'n3')").select("node_id")
-    pairs = {tuple(r) for r in descendants_of(tree, wanted, bands=8).collect()}
-    assert pairs == {(a, x) for a in ("n0", "n3") if want[a][1] >= 0 for x in below[a]}
+    pairs = [tuple(r) for r in descendants_of(tree, wanted).collect()]
+    assert sorted(pairs) == sorted((a, x) for a in ("n0", "n3") if want[a][1] >= 0 for x in below[a])
+    assert sorted(tuple(r) for r in descendants_of(tree).collect()) == sorted((a, x) for a in names if want[a][1] >= 0 for x in below[a])
 
 
 def test_hierarchy_long_chain_over_many_blocks(spark):
@@ -182,6 +183,27 @@ def test_hierarchy_long_chain_over_many_blocks(spark):
     assert {r.node_id: (r.root_id, r.tree_depth) for r in got.collect()} == {f"n{i:04}": ("n0000", i) for i in range(600)}
 
 
+def test_paths_of_a_deep_labelled_chain_are_streamed(spark, monkeypatch):
+    from docustrata.operators import hierarchy as module
+
+    n = 3000
+    rows = [(f"n{i:05}", "v", i, f"n{i - 1:05}" if i else None, f"L{i}", 0, "") for i in range(n)]
+    for block in (1000, 100_000):
+        got = module.hierarchy(spark.createDataFrame(rows, NODE), label=F.col("label"), block=block)
+        lengths = {r.node_id: r.n for r in got.select("node_id", F.length("path").alias("n")).collect()}
+        want = 0
+        for i in range(n):
+            want += len(f"L{i}") + (3 if i else 0)
+            assert lengths[f"n{i:05}"] == want
+    import pyarrow as pa
+
+    monkeypatch.setattr(module, "BATCH_CHARS", 100)
+    batch = pa.RecordBatch.from_pydict({"node_id": ["a", "b", "c"], "parent_id": [None, "a", "b"], "root_id": ["a"] * 3, "tree_depth": [0, 1, 2], "entry": [0, 1, 2], "exit": [5, 4, 3], "n_descendants": [2, 1, 0], "is_cyclic": [False] * 3, "open": [0, 1, 2], "label": ["x" * 90, "y", None], "prefix": ["p", None, None]})
+    parts = list(module._paths(iter([batch])))
+    assert [p.num_rows for p in parts] == [2, 1]
+    assert parts[1].column("path").to_pylist() == ["p > " + "x" * 90 + " > y"]
+
+
 def test_hierarchy_of_no_rows_and_null_ids(spark):
     assert hierarchy(spark.createDataFrame([], NODE)).count() == 0
     assert hierarchy(spark.createDataFrame([(None, "v", 1, None, None, 0, "")], NODE)).count() == 0

@@ -52,9 +52,14 @@ def split_texts(items: DataFrame, key: str, text: str, limit: int = LIMIT, overl
     bare = items.where(F.col(key).isNotNull() & (F.length(text) > limit)).select(F.col(key).alias("_key"), stripped(F.col(text)).alias("_text"))
     one = bare.where(F.length("_text") > limit).groupBy("_key").agg(F.max("_text").alias("_text"))
     spans = F.regexp_extract_all("_text", F.lit(split_pattern(limit, overlap)), F.lit(0))
-    cut = one.withColumn("_spans", spans)
-    ends = F.aggregate("_spans", F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0)) + F.length(s))))
-    placed = cut.withColumn("_ends", ends).select("_key", "_text", F.posexplode("_ends").alias("_i", "_end"), "_ends")
-    start = F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.greatest(F.get("_ends", F.col("_i") - 1) - overlap, F.lit(0)))
-    placed = placed.withColumn("_start", start)
-    return placed.select(F.col("_key").alias(key), (F.col("_i") + 1).alias("piece_no"), F.col("_start").alias("char_start"), F.col("_end").alias("char_end"), F.substring("_text", F.col("_start") + 1, F.col("_end") - F.col("_start")).alias("piece"))
+    # one fold over the spans makes all pieces: each is the tail of what came before and its own span, so no row carries the whole text
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"), F.array().cast("array<struct<char_start:int,char_end:int,piece:string>>").alias("pieces"))
+
+    def step(acc: Column, span: Column) -> Column:
+        end = acc["end"] + F.length(span)
+        piece = F.struct((acc["end"] - F.length(acc["tail"])).alias("char_start"), end.alias("char_end"), F.concat(acc["tail"], span).alias("piece"))
+        tail = F.right(F.concat(acc["tail"], span), F.lit(overlap)) if overlap else F.lit("")
+        return F.struct(end.alias("end"), tail.alias("tail"), F.array_append(acc["pieces"], piece).alias("pieces"))
+
+    cut = one.select("_key", F.posexplode(F.aggregate(spans, start, step, lambda acc: acc["pieces"])).alias("_i", "_p"))
+    return cut.select(F.col("_key").alias(key), (F.col("_i") + 1).alias("piece_no"), "_p.char_start", "_p.char_end", "_p.piece")

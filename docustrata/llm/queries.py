@@ -101,6 +101,20 @@ def _long(name: str, key: str) -> str:
     return f"SELECT DISTINCT '{name}' AS table_name, {key} AS item_id FROM {name} WHERE {key} IS NOT NULL AND length({bare}) > {pieces.LIMIT}"
 
 
+def _pieces() -> str:
+    """The pieces by a walk over each text: at each end the farthest boundary of the strongest kind, found by trying every position."""
+    white = "[ \\t\\n\\v\\f\\r]"
+    ends = ((r"\r?\n[ \t]{0,2}\r?\n", 6), (r"(?:\r?\n|\r|\x{2028})", 2), (r'[.!?…][»")\]]?' + white, 3), ("[;:,]" + white, 2), (white + "[—–-]" + white, 3))
+    strong = ", ".join(f"CASE WHEN most - {size} >= least THEN list_max(list_transform(list_filter(range(least, most - {size} + 1), lambda i: regexp_matches(substr(t, pos + i + 1, {size}), {_quoted('^(?:' + end + ')')})), lambda i: i * 10 + length(regexp_extract(substr(t, pos + i + 1, {size}), {_quoted('^(?:' + end + ')')})))) END" for end, size in ends)
+    blank = f"CASE WHEN most > short THEN list_max(list_transform(list_filter(range(short, most), lambda i: regexp_matches(substr(t, pos + i + 1, 1), {_quoted(white)})), lambda i: i * 10 + 1)) END"
+    edge = pieces.EDGE.replace(r"\s", r"\s\x0b")
+    bare = "regexp_replace(text, " + _quoted("^" + edge + "|" + edge + r"\z") + ", '', 'g')"
+    texts = " UNION ALL ".join(f"SELECT '{n}' AS table_name, {k} AS item_id, max({bare}) AS t FROM {n} WHERE {k} IS NOT NULL AND length({bare}) > 1800 GROUP BY 2" for n, k in (("document_nodes", "id"), ("retrieval_units", "unit_id")))
+    return f"""WITH RECURSIVE x AS ({texts}), c AS (SELECT table_name, item_id, t, length(t) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS no FROM x
+UNION ALL SELECT table_name, item_id, t, n, greatest(pos - 200, 0), pos + CASE WHEN n - pos <= most THEN n - pos ELSE coalesce(v // 10 + v % 10, most) END, no + 1 FROM (SELECT *, coalesce({strong}, {blank}) AS v FROM (SELECT *, CASE WHEN no = 0 THEN 1800 ELSE 1600 END AS most, CASE WHEN no = 0 THEN 720 ELSE 640 END AS least, CASE WHEN no = 0 THEN 200 ELSE 1 END AS short FROM c WHERE pos < n)))
+SELECT table_name, item_id, CAST(no AS INT) AS piece_no, CAST(start AS INT) AS char_start, CAST(pos AS INT) AS char_end, substr(t, start + 1, pos - start) AS piece FROM c WHERE no > 0"""
+
+
 def _runs(name: str, key: str, column: str) -> str:
     words = f"regexp_extract_all(lower(nfc_normalize({_mapped(column)})), " + _quoted(r"[\p{L}\p{N}]+") + ")"
     return f"SELECT {key}, unnest(list_transform(range(1, greatest(len(w) - {leaks.RUN - 2}, 1)), lambda i: array_to_string(w[i:i + {leaks.RUN - 1}], ' '))) AS run FROM (SELECT {key}, {words} AS w FROM {name})"
@@ -110,6 +124,7 @@ _SEEN = _quoted(r"[^\s\x0b\x1c-\x1f\x{85}\x{2028}\x{2029}" + lookalikes.SPACES +
 
 ORACLES: dict[str, str] = {
     "p4_found": f"{_long('document_nodes', 'id')} UNION ALL {_long('retrieval_units', 'unit_id')}",
+    "p4_pieces": _pieces(),
     "p9_found": f"WITH d AS ({_runs('documents', 'doc_id', 'text')}), e AS ({_runs('eval_passages', 'item_id', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run) WHERE len(string_split(run, ' ')) = {leaks.RUN}",
     "p10_found": f"WITH f AS (SELECT doc_id, text, nfc_normalize({_mapped('text')}) AS form FROM documents WHERE regexp_matches(text, {_SEEN})) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p10_canonical": f"WITH f AS (SELECT doc_id, {_mapped('text')} AS m, nfc_normalize({_mapped('text')}) AS form FROM documents), c AS (SELECT form, min(doc_id) AS class_id FROM f WHERE form IS NOT NULL GROUP BY 1) SELECT f.doc_id, class_id, sha256(g.m) AS form_hash FROM f LEFT JOIN c USING (form) LEFT JOIN f g ON g.doc_id = c.class_id",

@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docustrata.operators.skew import HOT_SHARE, replicated, salted
 from docustrata.session import durable, spread
 
 #: Latin letters and the Cyrillic letters they look like.
@@ -29,11 +30,11 @@ INVISIBLE = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Finds the first character that can be seen, so most texts are told from blank ones by one character.
 VISIBLE = rf"[^\s\x{{85}}{SPACES}{INVISIBLE[1:-1]}]"
-#: All but Cyrillic letters that nothing looks like, that compose with no accent and that a collation doesn't leave out: texts that
-#: look the same agree in these, so blocks can be made of the texts as they are. Texts without such letters share one block.
-UNSTEADY = "[^бвдлмнптфцшщьБДЛЦШЩЬ]+"
-#: Candidates (a key and a digest each) that are broadcast at most; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: All but digits and letters that nothing looks like and that a collation doesn't leave out: texts that look the same agree in
+#: these once letters with accents are taken apart, so blocks can be made of nearly all texts as they are.
+UNSTEADY = "[^0-9бвдлмнптфцшщьБДЛЦШЩЬbfgklmnrtuvzDFGLQRUVW]+"
+#: Candidates (a key and a digest, about so many bytes each) that are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_BYTES, CANDIDATE_BYTES = 16_000_000, 100
 #: Full-width forms stand at this distance from the ordinary characters.
 _WIDE = range(0xFF01, 0xFF5F)
 
@@ -58,9 +59,16 @@ def _composed() -> dict[str, str]:
 
 
 COMPOSED = _composed()
+#: The bare letter of every precomposed one of the same ranges.
+BARE = {chr(c): d[0] for c in (*range(0xC0, 0x234), *range(0x386, 0x3D5), *range(0x1E00, 0x2000), 0x212A, 0x212B) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c)}
 _ACCENT = re.compile("[\u0300-\u036f]")
 #: Ranges that hold them: a class of few ranges is searched far faster than one of many letters.
 _COMPOSED = "\u00c0-\u0233\u0386-\u03d4\u1e00-\u1fff\u212a\u212b"
+#: Width forms, for str.translate.
+WIDE = {c: chr(c - 0xFEE0) for c in _WIDE}
+#: Each letter and the one it is mapped to.
+LIKE = {**dict(zip(LATIN, CYRILLIC)), **dict(zip(GREEK, GREEK_TO)), **dict(zip(GREEK_MORE, GREEK_MORE_TO))}
+INVISIBLE_RE = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m[1].zfill(8), INVISIBLE))
 
 
 def _apart(c: Column) -> Column:
@@ -75,6 +83,12 @@ def visual_form(c: Column) -> Column:
     return F.translate(_apart(F.regexp_replace(c, INVISIBLE, "")), _ALL_FROM, _ALL_TO)
 
 
+def block_key(c: Column) -> Column:
+    """A hash that texts which look the same have in common. Few texts hold letters with accents or width forms, which become bare ones first."""
+    rare = F.translate(c, _ALL_FROM + "".join(BARE), _ALL_TO + "".join(BARE.values()))
+    return F.xxhash64(F.regexp_replace(F.when(c.rlike(f"[{_COMPOSED}\uff01-\uff5e]"), rare).otherwise(c), UNSTEADY, ""))
+
+
 def python_form(text: str) -> str:
     """The same mapping for use inside a worker, composed; equal forms look the same.
 
@@ -84,10 +98,9 @@ def python_form(text: str) -> str:
         single = str.maketrans(_ALL_FROM, _ALL_TO)
         apart = {c: d.translate(single) for c, d in COMPOSED.items()}
         python_form._t = single | str.maketrans(apart)
-        python_form._r = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m[1].zfill(8), INVISIBLE))
         python_form._j = {n: c for c, d in sorted(apart.items(), reverse=True) if len(n := unicodedata.normalize("NFC", d)) > 1}
         python_form._m = re.compile("|".join(sorted(python_form._j, key=len, reverse=True)))
-    form = unicodedata.normalize("NFC", python_form._r.sub("", text).translate(python_form._t))
+    form = unicodedata.normalize("NFC", INVISIBLE_RE.sub("", text).translate(python_form._t))
     return python_form._m.sub(lambda m: python_form._j[m[0]], form) if _ACCENT.search(form) else form
 
 
@@ -96,21 +109,22 @@ def visual_classes(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     Null texts form no class (class_id null); empty and blank texts do, by the blanks that are seen. Extra columns are ignored.
     Texts are read once for their digests and blocks; only texts that share a block with another go on to the collation, and
-    from there on digests are moved, not texts.
+    from there on digests are moved, not texts. A text with very many copies is one row until its class is joined to its copies, salted.
     """
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    block = F.xxhash64(F.regexp_replace("_text", UNSTEADY, ""))
-    keyed = durable(spread(rows).select("_id", F.sha2("_text", 256).alias("text_hash"), block.alias("block")))
-    # equal texts are one row from here on, so a text with very many copies is mapped and compared once
-    texts = keyed.where("text_hash is not null").groupBy("text_hash", "block").agg(F.min("_id").alias("_first"))
-    shared = texts.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
+    digest = F.unhex(F.sha2("_text", 256))
+    keyed = durable(spread(rows).select("_id", digest.alias("text_hash"), block_key(F.col("_text")).alias("block")))
+    texts = keyed.where("text_hash is not null").groupBy("text_hash", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"))
+    shared = texts.groupBy("block").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("block")
     close = durable(texts.join(shared, "block", "left_semi").select(F.col("_first").alias("_id"), "text_hash"))
-    wanted = F.broadcast(close) if close.count() <= BROADCAST_ROWS else close
-    formed = rows.join(wanted, "_id").where(F.sha2("_text", 256) == F.col("text_hash")).select("_id", "text_hash", F.collate(visual_form(F.col("_text")), "UNICODE").alias("_form"))
+    wanted = F.broadcast(close) if close.count() * CANDIDATE_BYTES <= BROADCAST_BYTES else close
+    formed = rows.join(wanted, "_id").where(digest == F.col("text_hash")).select("_id", "text_hash", F.collate(visual_form(F.col("_text")), "UNICODE").alias("_form"))
     classes = formed.groupBy("_form").agg(F.min("_id").alias("class_id"), F.collect_set("text_hash").alias("hashes"))
     members = classes.select("class_id", F.explode("hashes").alias("text_hash"))
-    known = texts.join(members, "text_hash", "left").select("text_hash", F.coalesce("class_id", "_first").alias("class_id"))
-    joined = keyed.select("_id", "text_hash").join(known, "text_hash", "left")
+    known = texts.join(members, "text_hash", "left").select("text_hash", "n", F.coalesce("class_id", "_first").alias("class_id"))
+    hot = texts.where(F.col("n") > max(1000, keyed.count() * HOT_SHARE)).select("text_hash")
+    copied = replicated(known.select("text_hash", "class_id"), hot, ["text_hash"])
+    joined = salted(keyed.select("_id", "text_hash"), hot, ["text_hash"], "_id").join(copied, ["text_hash", "_salt"], "left")
     return joined.select(F.col("_id").alias(key), "class_id", "text_hash", (F.col("_id") == F.col("class_id")).alias("is_canonical"))
 
 
@@ -121,12 +135,29 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
     return classes.join(chosen, "class_id", "left").select(key, "class_id", "canonical_text")
 
 
+def _seen_classes(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, float]:
+    """Classes of the texts that aren't blank, each class's size and number of copies of each text, and from which size on a class is hot."""
+    classes = durable(visual_classes(documents.where(F.col(text).rlike(VISIBLE)), key, text))
+    copies = classes.groupBy("class_id", "text_hash").agg(F.count(F.lit(1)).alias("n_copies"))
+    mixed = copies.withColumn("n_members", F.sum("n_copies").over(Window.partitionBy("class_id"))).where("n_members > n_copies")
+    return classes, mixed, max(1000, classes.count() * HOT_SHARE)
+
+
+def visual_links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: the key, class_id and n_links, the number of rows whose text differs but looks the same; null and blank texts have none."""
+    classes, mixed, many = _seen_classes(documents, key, text)
+    hot = mixed.where(F.col("n_copies") > many).select("text_hash")
+    links = replicated(mixed.select("text_hash", (F.col("n_members") - F.col("n_copies")).alias("n_links")), hot, ["text_hash"])
+    linked = salted(classes, hot, ["text_hash"], key).join(links, ["text_hash", "_salt"], "left").select(F.col(key).alias("_k"), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rest = documents.where(~F.coalesce(F.col(text).rlike(VISIBLE), F.lit(False))).select(F.col(key).alias("_k"), F.lit(None).cast(documents.schema[key].dataType).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return linked.unionByName(rest).withColumnRenamed("_k", key)
+
+
 def visual_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of keys (smaller first) whose texts differ but look the same; blank texts are left out."""
-    filled = documents.where(F.col(text).rlike(VISIBLE))
-    classes = visual_classes(filled, key, text)
-    mixed = classes.groupBy("class_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("class_id")
-    members = classes.join(mixed, "class_id", "left_semi").select("class_id", "text_hash", F.col(key).alias("k"))
-    left = members.select("class_id", F.col("text_hash").alias("h1"), F.col("k").alias("a"))
-    right = members.select("class_id", F.col("text_hash").alias("h2"), F.col("k").alias("b"))
-    return left.join(right, "class_id").where("a < b and h1 <> h2").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+    """Pairs of keys (smaller first) whose texts differ but look the same; blank texts are left out. visual_links has them as one row for each key."""
+    classes, mixed, many = _seen_classes(documents, key, text)
+    members = classes.join(mixed.select("text_hash"), "text_hash", "left_semi").select("class_id", "text_hash", F.col(key).alias("k"))
+    hot = mixed.where(F.col("n_members") > many).select("class_id").distinct()
+    left = salted(members.select("class_id", F.col("text_hash").alias("h1"), F.col("k").alias("a")), hot, ["class_id"], "a")
+    right = replicated(members.select("class_id", F.col("text_hash").alias("h2"), F.col("k").alias("b")), hot, ["class_id"])
+    return left.join(right, ["class_id", "_salt"]).where("a < b and h1 <> h2").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))

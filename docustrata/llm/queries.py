@@ -77,22 +77,39 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.visual_pairs(table(spark, folder, "documents"))
 
 
+def p10_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class and with how many others it is a pair."""
+    return lookalikes.visual_links(table(spark, folder, "documents"))
+
+
 def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class and a digest of its one consistent form."""
     forms = lookalikes.canonical_texts(table(spark, folder, "documents"))
     return forms.select("doc_id", "class_id", F.sha2("canonical_text", 256).alias("form_hash"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_mapped": p7_mapped, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_mapped": p7_mapped, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_links": p10_links, "p10_canonical": p10_canonical}
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _mapped(column: str) -> str:
-    removed = f"regexp_replace({column}, " + _quoted(lookalikes.INVISIBLE) + ", '', 'g')"
-    return f"translate({removed}, {_quoted(lookalikes.FROM)}, {_quoted(lookalikes.TO)})"
+#: The SQL's own statement of problem 10, which shares no table with the operator: pairs of letters that look alike, each with the one that stands for both.
+_ALIKE = "AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ aа cс eе iі jј oо pр sѕ xх yу hһ dԁ qԛ wԝ ΑА ΒВ ΕЕ ΗН ΙІ ΚК ΜМ ΟО ΡР ΤТ ΥУ ΧХ ΓГ ΠП ΦФ ΝN ΖZ οо ϲс ϳј ëё ËЁ ïї ÏЇ".split()
+#: The same without regard to case: small letters, of which b looks like в as B looks like В.
+_ALIKE_SMALL = "aа bв cс eе hн iі jј kк mм oо pр sѕ tт xх yу dԁ qԛ wԝ һн αа βв εе ηн ιі κк μм οо ρр τт υу χх γг πп φф νn ζz ϲс ϳј ëё ïї".split()
+_UNSEEN = "[\\x{0}-\\x{8}\\x{e}-\\x{1f}\\x{7f}-\\x{84}\\x{86}-\\x{9f}\\x{ad}\\x{34f}\\x{61c}\\x{115f}\\x{1160}\\x{17b4}\\x{17b5}\\x{180b}-\\x{180f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{206f}\\x{3164}\\x{fe00}-\\x{fe0f}\\x{feff}\\x{ffa0}\\x{fff9}-\\x{fffb}\\x{1d173}-\\x{1d17a}\\x{e0000}-\\x{e0fff}]"
+
+
+def _mapped(column: str, pairs: list[str] = _ALIKE, compose: bool = True) -> str:
+    """Without what isn't seen, spaces and width forms as ordinary ones, composed, look-alikes as one letter."""
+    spaces = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+    wide, plain = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+    seen = f"translate(regexp_replace({column}, {_quoted(_UNSEEN)}, '', 'g'), {_quoted(spaces + wide)}, {_quoted(' ' * len(spaces) + plain)})"
+    seen = seen if pairs is _ALIKE else f"lower({seen})"
+    composed = f"nfc_normalize({seen})" if compose else seen
+    return f"translate({composed}, {_quoted(''.join(p[0] for p in pairs))}, {_quoted(''.join(p[1] for p in pairs))})"
 
 
 def _long(name: str, key: str) -> str:
@@ -116,16 +133,17 @@ SELECT table_name, item_id, CAST(no AS INT) AS piece_no, CAST(start AS INT) AS c
 
 
 def _runs(name: str, key: str, column: str) -> str:
-    words = f"regexp_extract_all(lower(nfc_normalize({_mapped(column)})), " + _quoted(r"[\p{L}\p{N}]+") + ")"
-    return f"SELECT {key}, unnest(list_transform(range(1, greatest(len(w) - {leaks.RUN - 2}, 1)), lambda i: array_to_string(w[i:i + {leaks.RUN - 1}], ' '))) AS run FROM (SELECT {key}, {words} AS w FROM {name})"
+    words = f"regexp_extract_all({_mapped(column, _ALIKE_SMALL)}, " + _quoted(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*") + ")"
+    return f"SELECT {key}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {key}, {words} AS w FROM {name})"
 
 
-_SEEN = _quoted(r"[^\s\x0b\x1c-\x1f\x{85}\x{2028}\x{2029}" + lookalikes.SPACES + lookalikes.INVISIBLE[1:-1] + "]")
+_SEEN = _quoted(r"[^\s\x0b\x1c-\x1f\x{85}\x{2028}\x{2029}" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))) + _UNSEEN[1:-1] + "]")
 
 ORACLES: dict[str, str] = {
     "p4_found": f"{_long('document_nodes', 'id')} UNION ALL {_long('retrieval_units', 'unit_id')}",
     "p4_pieces": _pieces(),
-    "p9_found": f"WITH d AS ({_runs('documents', 'doc_id', 'text')}), e AS ({_runs('eval_passages', 'item_id', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run) WHERE len(string_split(run, ' ')) = {leaks.RUN}",
-    "p10_found": f"WITH f AS (SELECT doc_id, text, nfc_normalize({_mapped('text')}) AS form FROM documents WHERE regexp_matches(text, {_SEEN})) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
-    "p10_canonical": f"WITH f AS (SELECT doc_id, {_mapped('text')} AS m, nfc_normalize({_mapped('text')}) AS form FROM documents), c AS (SELECT form, min(doc_id) AS class_id FROM f WHERE form IS NOT NULL GROUP BY 1) SELECT f.doc_id, class_id, sha256(g.m) AS form_hash FROM f LEFT JOIN c USING (form) LEFT JOIN f g ON g.doc_id = c.class_id",
+    "p9_found": f"WITH d AS ({_runs('documents', 'doc_id', 'text')}), e AS ({_runs('eval_passages', 'item_id', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run) WHERE len(string_split(run, ' ')) = 12",
+    "p10_found": f"WITH f AS (SELECT doc_id, text, {_mapped('text')} AS form FROM documents WHERE regexp_matches(text, {_SEEN})) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_links": f"WITH f AS (SELECT doc_id, text, {_mapped('text')} AS form FROM documents WHERE regexp_matches(text, {_SEEN})), c AS (SELECT form, min(doc_id) AS class_id, count(*) AS n FROM f GROUP BY 1), t AS (SELECT text, count(*) AS m FROM f GROUP BY 1) SELECT doc_id, class_id, n - m AS n_links FROM f JOIN c USING (form) JOIN t USING (text) UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE NOT coalesce(regexp_matches(text, {_SEEN}), false)",
+    "p10_canonical": f"WITH f AS (SELECT doc_id, {_mapped('text')} AS form, {_mapped('text', compose=False)} AS m FROM documents), c AS (SELECT form, min(doc_id) AS class_id FROM f WHERE form IS NOT NULL GROUP BY 1) SELECT f.doc_id, class_id, sha256(g.m) AS form_hash FROM f LEFT JOIN c USING (form) LEFT JOIN f g ON g.doc_id = c.class_id",
 }

@@ -294,6 +294,20 @@ def test_leaks_match_brute_force(spark):
     assert leaks.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_without_regard_to_case_and_look_alikes(spark):
+    english = "The Quick brown KITTEN jumps over many small boxes while Tom HELPS Bob make extra copies"
+    russian = "Высота камеры и тёплый насос имеют особый вход у края моста Ростехнадзор принимает объект"
+    items = spark.createDataFrame([(1, english), (2, russian)], "item_id bigint, passage string")
+    like = str.maketrans("аеосрхуАВЕКМНОРСТХ", "aeocpxyABEKMHOPCTX")  # made by hand
+    forms = [english, english.upper(), english.lower(), english.title(), english.swapcase(), english.replace(" ", "\u00a0\n"), english.replace("e", "e\u200b"), "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in english)]
+    forms += [x for t in (russian, russian.upper(), russian.lower(), russian.title()) for x in (t, t.translate(like), unicodedata.normalize("NFD", t), t.replace(" ", ", "))]
+    off = [" ".join(english.split()[:11]), english.replace("over", "0ver"), russian.replace("тёплый", "теплый").replace("объект", "субъект").replace("Высота", "Ширина").replace("моста", "дома")]
+    docs = spark.createDataFrame(list(enumerate([*forms, *off])), "doc_id bigint, text string")
+    got = {tuple(r) for r in leaks.find_leaks(docs, items).collect()}
+    assert got == {(i, 1 if i < 8 else 2) for i in range(len(forms))}
+    assert leaks.split_words("a_b c\u00add \u0301e e\u0301f ²") == ["a", "b", "cd", "e", "e\u0301f", "²"]
+
+
 # -- look-alikes -----------------------------------------------------------------------------------------------------------
 
 
@@ -326,6 +340,30 @@ def test_lookalikes_of_greek_capitals_and_precomposed_letters(spark):
     assert lookalikes.python_form("Плёнка") == lookalikes.python_form("Плëнка") == "Плёнка"
 
 
+def test_lookalikes_of_latin_words(spark):
+    """The pairs are made by hand or by the standard's own decomposition, not from the operator's tables."""
+    words = ["café plan", "schön", "Gdańsk", "naïve façade", "Ångström", "Čeština źdźbło", "ĺúčny ŕáno"]
+    rows = [w for w in words] + [unicodedata.normalize("NFD", w) for w in words] + ["Total 15 mm", "Тоtаl 15 mm", "Тotal １５ ｍm", "Total\u202f15\u2009m\u200dm", "Total 16 mm", "total 15 mm", "cafe plan", "Gdansk"]
+    n = len(words)
+    want = {(i, i + n) for i in range(n)} | {(2 * n + a, 2 * n + b) for a in range(4) for b in range(a + 1, 4)}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {tuple(r) for r in lookalikes.visual_pairs(df).collect()} == want
+    keys = [r.k for r in df.orderBy("doc_id").select(lookalikes.block_key(df.text).alias("k")).collect()]
+    assert all(keys[a] == keys[b] for a, b in want)
+    assert len(set(keys)) >= n + 2  # Latin texts don't share one block
+
+
+def test_lookalike_links_count_the_pairs(spark, monkeypatch):
+    texts = ["Том А", "Toм A"] * 20 + ["Том А"] * 40 + ["один", "два", " ", None, "два"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_links string")
+    pairs = [tuple(r) for r in lookalikes.visual_pairs(df).collect()]
+    assert len(pairs) == len(set(pairs)) == 60 * 20
+    links = {r.doc_id: r.n_links for r in lookalikes.visual_links(df).collect()}
+    assert links == {i: sum(i in p for p in pairs) for i in range(len(texts))}
+    monkeypatch.setattr(lookalikes, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in lookalikes.visual_pairs(df).collect()) == sorted(pairs)
+
+
 def test_column_and_python_forms_agree(spark):
     rng = random.Random(8)
     texts = [rand_text(rng, 80, LETTERS + "ABCxyzΟΡΤСсｆ． ﻿­") for _ in range(60)]

@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one and projected on the main directions of cluster centres, which are fitted on a bounded sample.
 Each of CURVES Hilbert curves runs through another random rotation and shift of the projections. All (curve, key) rows are range-
-partitioned and sorted in Spark; windows of neighbouring keys are compared densely, each vector keeps its best k of a window, and the
-lists of all curves merge. Work per vector is CURVES windows, whatever the size of the table.
+partitioned and sorted in Spark; windows of neighbouring keys, which overlap, are compared densely on vectors of one byte a number,
+each vector keeps its best of a window, and the lists of all curves merge. The merged candidates are reranked: each pair of them is
+compared once on the stored vectors. Work per vector is CURVES windows, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docustrata.operators.relational import top
 from docustrata.session import durable
 
 K = 5
 CURVES = 16
-#: Vectors compared with each other at once, and vectors a task sorts.
-WINDOW = 4096
-TASK_ROWS = 6 * WINDOW
-#: Vectors per table from which the directions and ranges are fitted; every vector is indexed.
+#: Vectors whose neighbours are sought at once, and the share of a window that is looked at beyond either end of it.
+WINDOW, MARGIN = 3328, 8
+#: Vectors a task sorts; only at its ends a window has no margin.
+TASK_ROWS = 12 * WINDOW
+#: Entries of a window's list and of the merged one beyond k: what the rerank chooses from.
+LIST_MORE, MERGED_MORE = 1, 3
+#: Vectors per table, about, from which the directions and ranges are fitted; every vector is indexed.
 SAMPLE = 20_000
 _DIRECTIONS, _AXES, _BITS = 16, 8, 7
 
@@ -101,30 +106,47 @@ class Curves:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """One row per key: _id and the unit vector _v of the rows with exactly ``dims`` numbers, all finite and not all nought."""
-    fine = F.size(vector) == dims
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e18)))
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).where(finite).select(F.col(key).alias("_id"), F.col(vector).alias("_e"), norm.alias("_norm")).where("_norm > 0")
-    return rows.groupBy("_id").agg(F.max("_e").alias("_v"))
+    """One row per key: _id and the vector _v of the rows with exactly ``dims`` numbers, all finite and not all nought."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dims)).where(finite & F.exists(vector, lambda x: x != 0))
+    return rows.select(F.col(key).alias("_id"), F.col(vector).alias("_e")).groupBy("_id").agg(F.max("_e").alias("_v"))
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
-    return flat / np.linalg.norm(flat.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+    """Vectors of length one; scaled by their largest number first, so none is too large or small for its length to be told."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(1, keepdims=True)
+    return (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _best(block: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and similarities of the k best others of each row, padded with -1."""
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _binary(_unit(batch.column(3)))], ["t", "vid", "_id", "u"])
+
+
+def _best(block: np.ndarray, lo: int, hi: int, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and similarities of the k best others in the block of each of its rows lo to hi, padded with -1."""
     n = len(block)
     take = min(k, n - 1)
-    who, how = np.full((n, k), -1, np.int64), np.full((n, k), -9, np.float32)
-    for lo in range(0, n if take else 0, 1024):
-        s = block[lo : lo + 1024] @ block.T
-        rows = np.arange(len(s))
-        s[rows, lo + rows] = -9
+    who, how = np.full((hi - lo, k), -1, np.int64), np.full((hi - lo, k), -1, np.float32)
+    for a in range(lo, hi if take else lo, 1024):
+        b = min(a + 1024, hi)
+        s = block[a:b] @ block.T
+        rows = np.arange(b - a)
+        s[rows, a + rows] = -9
         top = np.argpartition(s, n - take - 1, axis=1)[:, n - take :]
-        who[lo : lo + len(s), :take], how[lo : lo + len(s), :take] = numbers[top], np.take_along_axis(s, top, 1)
+        who[a - lo : b - lo, :take], how[a - lo : b - lo, :take] = numbers[top], np.take_along_axis(s, top, 1)
     return who, how
 
 
@@ -135,12 +157,16 @@ def _windows(k: int, window: int):
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             numbers = t["vid"].to_numpy()
-            flat = np.frombuffer(b"".join(t["v"].to_pylist()), np.float16).reshape(len(numbers), -1)
-            count = max(1, round(len(numbers) / window))
-            for part in np.array_split(np.arange(len(numbers)), count):
-                who, how = _best(flat[part].astype(np.float32), numbers[part], k)
-                both = np.concatenate([who.view(np.uint8).reshape(len(part), -1), how.view(np.uint8).reshape(len(part), -1)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[part]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())], ["vid", "best"])
+            flat = _matrix(t["v"], np.int8)
+            edges = np.linspace(0, len(numbers), max(1, round(len(numbers) / window)) + 1).astype(int)
+            for lo, hi in zip(edges, edges[1:]):
+                first, end = max(0, lo - window // MARGIN), min(len(numbers), hi + window // MARGIN)
+                block = flat[first:end].astype(np.float32)
+                block /= np.linalg.norm(block, axis=1, keepdims=True)
+                who, how = _best(block, lo - first, hi - first, numbers[first:end], k)
+                step = np.clip(np.rint((how + 1) * 32767), 0, 65535).astype(np.uint16)  # similarities in steps of 3e-5
+                both = np.concatenate([who.view(np.uint8).reshape(hi - lo, -1), step.view(np.uint8).reshape(hi - lo, -1)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi]), _binary(both)], ["vid", "best"])
             held.clear()
 
         curve = None
@@ -160,34 +186,44 @@ def _windows(k: int, window: int):
     return run
 
 
-def _merge(k: int):
+def _merge(k: int, keep: int):
+    """Lists of ``k`` from all curves to the ``keep`` best distinct candidates of each vector, as pairs with the smaller number first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            counts = np.diff(lists.offsets.to_numpy())
-            raw = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.uint8).reshape(-1, k * 12)
-            own = np.repeat(batch.column(0).to_numpy(), counts)
-            who, how = raw[:, : k * 8].copy().view(np.int64).ravel(), raw[:, k * 8 :].copy().view(np.float32).ravel()
-            own = np.repeat(own, k)
+            raw = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.uint8).reshape(-1, k * 10)
+            own = np.repeat(np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), k)
+            who, how = raw[:, : k * 8].copy().view(np.int64).ravel(), raw[:, k * 8 :].copy().view(np.uint16).ravel().astype(np.int32)
+            some = who >= 0
+            own, who, how = own[some], who[some], how[some]
             order = np.lexsort((who, -how, own))
-            own, who, how = own[order], who[order], how[order]
-            keep = who >= 0
-            own, who, how = own[keep], who[keep], how[keep]
-            # the same neighbour from several curves has scores equal up to rounding
-            seen = np.lexsort((who, own))
+            own, who = own[order], who[order]
+            # the same neighbour from several curves has the same score up to rounding: its first place counts
+            seen = np.lexsort((np.arange(len(own)), who, own))
             first = np.ones(len(seen), bool)
             first[1:] = (own[seen][1:] != own[seen][:-1]) | (who[seen][1:] != who[seen][:-1])
             only = np.zeros(len(seen), bool)
             only[seen[first]] = True
-            own, who, how = own[only], who[only], how[only]
+            own, who = own[only], who[only]
             new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-            rank = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-            top = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(own[top]), pa.array(who[top]), pa.array((rank[top] + 1).astype(np.int32)), pa.array(how[top].astype(np.float64))], ["vid", "nvid", "rank", "similarity"])
+            place = np.arange(len(own))
+            top = place - np.maximum.accumulate(np.where(new, place, 0)) < keep
+            own, who = own[top], who[top]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, who)), pa.array(np.maximum(own, who))], ["a", "b"])
 
     return run
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarities of pairs of stored vectors, each pair in both directions."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = batch.column(0), batch.column(1)
+            s = pa.array(np.einsum("ij,ij->i", _matrix(batch.column(2), np.float32).astype(np.float64), _matrix(batch.column(3), np.float32).astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]), pa.concat_arrays([b, a]), pa.concat_arrays([s, s])], ["vid", "nvid", "similarity"])
+
+
 def nearest(tables: list[tuple[str, DataFrame, str, str]], dims: int, k: int = K, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """The k nearest by cosine similarity within each table: table_name, id, neighbour_id, rank, similarity.
 
@@ -197,41 +233,41 @@ def nearest(tables: list[tuple[str, DataFrame, str, str]], dims: int, k: int = K
     very many copies is spread over windows like any others.
     """
     parts = [usable(rows, key, vector, dims).select(F.lit(i).alias("t"), "_id", "_v") for i, (_, rows, key, vector) in enumerate(tables)]
-    prepared = durable(reduce(DataFrame.unionByName, parts).withColumn("vid", F.monotonically_increasing_id()))
+    numbered = reduce(DataFrame.unionByName, parts).withColumn("vid", F.monotonically_increasing_id()).select("t", "vid", "_id", "_v")
+    prepared = durable(numbered.mapInArrow(_units, f"t int, vid bigint, _id {numbered.schema['_id'].dataType.simpleString()}, u binary"))
     sizes = {r.t: r.n for r in prepared.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     fitted = {}
     for t, n in sizes.items():
-        some = prepared.where(F.col("t") == t).select("_v")
-        some = some.orderBy(F.xxhash64("_v")).limit(SAMPLE) if n > SAMPLE else some
-        got = some.toArrow()["_v"].combine_chunks()
-        fitted[t] = vars(Curves(_unit(got), curves))
+        # each row is in the sample or not by the hash of its key: no task gathers more than its share
+        some = prepared.where((F.col("t") == t) & (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))))
+        fitted[t] = vars(Curves(_matrix(some.select("u").toArrow()["u"].combine_chunks(), np.float32).reshape(-1, dims), curves))
     shared = prepared.sparkSession.sparkContext.broadcast(fitted)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table, numbers, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unit(batch.column(2))
+            table, numbers, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.float32)
             for t in np.unique(table):
-                mine = table == t
-                own, vectors = numbers[mine], unit[mine]
-                packed = vectors.astype(np.float16)
-                size = packed.shape[1] * 2
-                stored = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(own), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                own, vectors = numbers[table == t], unit[table == t]
+                stored = _binary(np.rint(vectors * (127 / np.abs(vectors).max(1, keepdims=True))).astype(np.int8))
                 fit = Curves.of(shared.value[t])
                 for c in range(curves):
                     lane = pa.array(np.full(len(own), int(t) * curves + c, np.int32))
                     yield pa.RecordBatch.from_arrays([lane, pa.array(fit.keys(vectors, c)), pa.array(own), stored], ["lane", "key", "vid", "v"])
 
-    rows = prepared.select("t", "vid", "_v").mapInArrow(spread, "lane int, key bigint, vid bigint, v binary")
+    rows = prepared.select("t", "vid", "u").mapInArrow(spread, "lane int, key bigint, vid bigint, v binary")
     count = max(1, -(-sum(sizes.values()) * curves // TASK_ROWS))
     ordered = rows.repartitionByRange(count, "lane", "key", "vid").sortWithinPartitions("lane", "key", "vid").select("lane", "vid", "v")
-    lists = ordered.mapInArrow(_windows(k, window), "vid bigint, best binary")
-    merged = lists.groupBy("vid").agg(F.collect_list("best").alias("lists")).mapInArrow(_merge(k), "vid bigint, nvid bigint, rank int, similarity double")
+    lists = ordered.mapInArrow(_windows(k + LIST_MORE, window), "vid bigint, best binary")
+    candidates = lists.groupBy("vid").agg(F.collect_list("best").alias("lists")).mapInArrow(_merge(k + LIST_MORE, k + MERGED_MORE), "a bigint, b bigint").distinct()
+    stored = prepared.select("vid", "u")
+    pairs = candidates.join(stored.toDF("a", "ua"), "a").join(stored.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
+    ranked = top(pairs.mapInArrow(_compare, "vid bigint, nvid bigint, similarity double"), ["vid"], [F.desc("similarity"), F.asc("nvid")], k, "rank")
     names = F.element_at(F.array(*[F.lit(n) for n, *_ in tables]), F.col("t") + 1)
     ids = prepared.select("vid", names.alias("table_name"), F.col("_id").alias("id"))
     others = prepared.select(F.col("vid").alias("nvid"), F.col("_id").alias("neighbour_id"))
-    return merged.join(ids, "vid").join(others, "nvid").select("table_name", "id", "neighbour_id", "rank", "similarity")
+    return ranked.join(ids, "vid").join(others, "nvid").select("table_name", "id", "neighbour_id", "rank", "similarity")
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

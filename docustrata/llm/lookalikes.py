@@ -30,9 +30,6 @@ INVISIBLE = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Finds the first character that can be seen, so most texts are told from blank ones by one character.
 VISIBLE = rf"[^\s\x{{85}}{SPACES}{INVISIBLE[1:-1]}]"
-#: All but digits and letters that nothing looks like and that a collation doesn't leave out: texts that look the same agree in
-#: these once letters with accents are taken apart, so blocks can be made of nearly all texts as they are.
-UNSTEADY = "[^0-9бвдлмнптфцшщьБДЛЦШЩЬbfgklmnrtuvzDFGLQRUVW]+"
 #: Candidates (a key and a digest, about so many bytes each) that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_BYTES, CANDIDATE_BYTES = 16_000_000, 100
 #: Full-width forms stand at this distance from the ordinary characters.
@@ -59,8 +56,6 @@ def _composed() -> dict[str, str]:
 
 
 COMPOSED = _composed()
-#: The bare letter of every precomposed one of the same ranges.
-BARE = {chr(c): d[0] for c in (*range(0xC0, 0x234), *range(0x386, 0x3D5), *range(0x1E00, 0x2000), 0x212A, 0x212B) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c)}
 _ACCENT = re.compile("[\u0300-\u036f]")
 #: Ranges that hold them: a class of few ranges is searched far faster than one of many letters.
 _COMPOSED = "\u00c0-\u0233\u0386-\u03d4\u1e00-\u1fff\u212a\u212b"
@@ -71,6 +66,28 @@ LIKE = {**dict(zip(LATIN, CYRILLIC)), **dict(zip(GREEK, GREEK_TO)), **dict(zip(G
 INVISIBLE_RE = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m[1].zfill(8), INVISIBLE))
 
 
+def _hidden() -> str:
+    """The characters of INVISIBLE, one by one."""
+    spans = re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", INVISIBLE)
+    return "".join(chr(c) for a, b in spans for c in range(int(a, 16), int(b or a, 16) + 1))
+
+
+HIDDEN = _hidden()
+
+
+def _bare() -> tuple[str, str]:
+    """For translate: precomposed characters, and the bare mapped letters in their place; then what is left out, marks and all that is seen as nothing or a blank."""
+    single = dict(zip(_ALL_FROM, _ALL_TO))
+    parts = {chr(c): d for c in (*range(0x80, 0x3100), *range(0xF900, 0xFB50)) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c)}
+    letters = single | {c: single.get(d[0], d[0]) for c, d in parts.items()}
+    gone = {x for d in parts.values() for x in d[1:]} | {chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))} | set(HIDDEN + SPACES + " ")
+    kept = {c: x for c, x in letters.items() if c not in gone and x not in gone}
+    return "".join([*kept, *sorted(gone | (letters.keys() - kept.keys()))]), "".join(kept.values())
+
+
+_BARE_FROM, _BARE_TO = _bare()
+
+
 def _apart(c: Column) -> Column:
     """The text with such letters taken apart; only texts that hold letters of their ranges are cut at them."""
     table = F.create_map(*(F.lit(x) for pair in COMPOSED.items() for x in pair))
@@ -80,13 +97,12 @@ def _apart(c: Column) -> Column:
 
 def visual_form(c: Column) -> Column:
     """The mapped text; composed and combining accents still differ here and are equal under the collation."""
-    return F.translate(_apart(F.regexp_replace(c, INVISIBLE, "")), _ALL_FROM, _ALL_TO)
+    return F.translate(_apart(c), _ALL_FROM + HIDDEN, _ALL_TO)
 
 
 def block_key(c: Column) -> Column:
-    """A hash that texts which look the same have in common. Few texts hold letters with accents or width forms, which become bare ones first."""
-    rare = F.translate(c, _ALL_FROM + "".join(BARE), _ALL_TO + "".join(BARE.values()))
-    return F.xxhash64(F.regexp_replace(F.when(c.rlike(f"[{_COMPOSED}\uff01-\uff5e]"), rare).otherwise(c), UNSTEADY, ""))
+    """A hash that texts which look the same have in common: of the mapped text without accents and blanks, by one pass of a table."""
+    return F.xxhash64(F.translate(c, _BARE_FROM, _BARE_TO))
 
 
 def python_form(text: str) -> str:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docustrata.functions.text import normalize_code, squeeze
+from docustrata.functions.text import let, normalize_code, squeeze
 from docustrata.session import spread
 
 #: Fixed value: lines that name a page.
@@ -28,47 +32,101 @@ RULES = (
 REFERENCE = "(?:СП|SP|ГОСТ|GOST|СНИП|СНиП|SNIP) *[A-Za-zА-Яа-яЁё]? *[0-9][0-9./-]*"
 
 
+def _lines(c: Column) -> Column:
+    """The non-blank lines of a text, squeezed, whatever its line breaks."""
+    unified = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n|\r", "\n")
+    return F.filter(F.transform(F.split(unified, "\n"), squeeze), lambda x: x != "")
+
+
+def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Kept lines of each text: key, order_index from 1, line. Blank lines and page lines are dropped; no shuffle."""
+    kept = F.filter(_lines(F.col(text)), lambda x: ~x.rlike(PAGE_LINE))
+    rows = spread(texts.select(key, text)).select(F.col(key), F.posexplode(kept).alias("_i", "line"))
+    return rows.select(key, (F.col("_i") + 1).alias("order_index"), "line")
+
+
 def prepared_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Kept lines of each text: key, order_index from 1, line, char_start, char_end, page_number (of the last page line before it).
 
     Blank lines and page lines are dropped; offsets count kept lines with one line feed between. A text's lines stay in one row until
-    they are numbered, so no window over all rows is needed.
+    they are numbered, so nothing is shuffled; running sums are taken over whole batches, in time that grows with the lines.
     """
-    unified = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n|\r", "\n")
-    lines = F.filter(F.transform(F.split(unified, "\n"), squeeze), lambda x: x != "")
     page = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x, PAGE_LINE, i), F.lit("")) for i in (1, 2, 3)]).cast("int")
-    empty = F.array().cast("array<struct<line:string,char_start:int,page:int>>")
-    start = F.struct(empty.alias("rows"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("page"))
+    lines = F.transform(_lines(F.col(text)), lambda x: F.struct(x.alias("line"), F.length(x).alias("n"), F.when(x.rlike(PAGE_LINE), F.coalesce(page(x), F.lit(-1))).alias("page")))
+    kind = texts.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, order_index int, line string, char_start int, char_end int, page_number int"
+    return spread(texts.select(key, text)).select(key, lines.alias("_l")).mapInArrow(_placed(key), schema)
+
+
+def _placed(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            line, size = flat.field("line"), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            mark = flat.field("page").to_pylist()
+            is_page = np.array([m is not None for m in mark])
+            number = np.array([m if m is not None else -1 for m in mark])
+            # the last page line of the same text, at or before each line
+            at = np.maximum.accumulate(np.where(is_page, np.arange(len(owner)), -1))
+            known = (at >= 0) & (owner[np.maximum(at, 0)] == owner)
+            page = np.where(known, number[np.maximum(at, 0)], -1)
+            own, size, page = owner[~is_page], size[~is_page], page[~is_page]
+            first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+            ends = np.cumsum(size + 1)
+            start = ends - (size + 1)
+            start = start - start[begin] if len(own) else start
+            columns = [batch.column(0).take(pa.array(own)), pa.array((np.arange(len(own)) - begin + 1).astype(np.int32)), line.filter(pa.array(~is_page)), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array(page.astype(np.int32), mask=page < 0)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "order_index", "line", "char_start", "char_end", "page_number"])
+
+    return run
+
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.struct(F.array_append(acc["rows"], F.struct(x.alias("line"), acc["at"].alias("char_start"), acc["page"].alias("page"))).alias("rows"), (acc["at"] + F.length(x) + 1).alias("at"), acc["page"].alias("page"))
-        return F.when(x.rlike(PAGE_LINE), F.struct(acc["rows"].alias("rows"), acc["at"].alias("at"), page(x).alias("page"))).otherwise(kept)
+def classified(lines: DataFrame) -> DataFrame:
+    """Add node_type, label and title by the first rule that fits; a text's first line is its title.
 
-    rows = spread(texts.select(key, text)).select(F.col(key), F.aggregate(lines, start, step)["rows"].alias("_rows")).select(key, F.posexplode("_rows").alias("_i", "_r"))
-    return rows.select(key, (F.col("_i") + 1).alias("order_index"), F.col("_r.line").alias("line"), F.col("_r.char_start").alias("char_start"), (F.col("_r.char_start") + F.length("_r.line")).alias("char_end"), F.col("_r.page").alias("page_number"))
+    The number of the rule is found once, and only in lines that some rule fits; label and title are then read by that rule alone.
+    """
+    any_rule = "|".join(f"(?:{p})" for _, p, *_ in RULES)
+    rule = F.when(F.col("order_index") == 1, F.lit(0)).when(~F.col("line").rlike(any_rule), F.lit(len(RULES) + 1))
+    for i, (_, pattern, *_) in enumerate(RULES, 1):
+        rule = rule.when(F.col("line").rlike(pattern), i)
+
+    def read(x: Column, n: Column) -> Column:
+        missing = F.lit(None).cast("string")
+        got = lambda p, g: F.nullif(F.trim(F.regexp_extract(x, p, g)), F.lit(""))
+        kind, label, title = F.when(n == 0, F.lit("title")), F.when(n == 0, missing), F.when(n == 0, x)
+        for i, (name, pattern, lab, tit) in enumerate(RULES, 1):
+            kind = kind.when(n == i, name)
+            label = label.when(n == i, got(pattern, lab) if lab else missing)
+            title = title.when(n == i, F.coalesce(got(pattern, tit), x) if tit else x)
+        return F.struct(kind.otherwise("paragraph").alias("node_type"), label.alias("label"), title.alias("title"))
+
+    told = lines.withColumn("_c", let(rule, lambda n: read(F.col("line"), n)))
+    return told.select(*lines.columns, "_c.node_type", "_c.label", "_c.title")
+
+
+def _opened(nodes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Add _s, _b, _p, _u: the last section, subsection, point and subpoint before a node, as structs of ``columns``; one window for all."""
+    before = Window.partitionBy(key).orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda kind: F.last(F.when(F.col("node_type") == kind, F.struct(*columns)), ignorenulls=True).over(before)
+    return nodes.withColumns({"_s": last("section"), "_b": last("subsection"), "_p": last("point"), "_u": last("subpoint")})
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """Add node_type, label and title by the first rule that fits; a text's first line is its title."""
-    x = F.col("line")
-    kind, label, title = F.when(F.col("order_index") == 1, "title"), F.when(F.col("order_index") == 1, F.lit(None).cast("string")), F.when(F.col("order_index") == 1, x)
-    for name, pattern, lab, tit in RULES:
-        fits = x.rlike(pattern)
-        got = lambda g: F.nullif(F.trim(F.regexp_extract(x, pattern, g)), F.lit(""))  # noqa: E731, B023
-        kind = kind.when(fits, name)
-        label = label.when(fits, got(lab) if lab else F.lit(None).cast("string"))
-        title = title.when(fits, F.coalesce(got(tit), x) if tit else x)
-    return lines.withColumns({"node_type": kind.otherwise("paragraph"), "label": label, "title": title})
+def _chain() -> tuple[Column, ...]:
+    """Order of the last section, subsection, point and subpoint (0 for none), and which of the latter three are still open."""
+    s, b, p, u = (F.coalesce(F.col(f"{c}.order_index"), F.lit(0)) for c in ("_s", "_b", "_p", "_u"))
+    return s, b, p, u, b > s, p > F.greatest(s, b), u > F.greatest(s, b, p)
 
 
 def tree(nodes: DataFrame, key: str) -> DataFrame:
     """Add parent_order_index: by the last open section, subsection, point and subpoint before a node."""
-    before = Window.partitionBy(key).orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda kind: F.coalesce(F.last(F.when(F.col("node_type") == kind, F.col("order_index")), ignorenulls=True).over(before), F.lit(0))
-    open_ = nodes.withColumns({"_s": last("section"), "_b": last("subsection"), "_p": last("point"), "_u": last("subpoint")})
-    s, b, p, u = (F.col(c) for c in ("_s", "_b", "_p", "_u"))
+    s, b, p, u, in_b, in_p, in_u = _chain()
     sec = F.when(s > 0, s).otherwise(1)
-    in_b, in_p, in_u = b > s, p > F.greatest(s, b), u > F.greatest(s, b, p)
     kind = F.col("node_type")
     parent = (
         F.when(kind == "title", F.lit(None).cast("int"))
@@ -78,21 +136,23 @@ def tree(nodes: DataFrame, key: str) -> DataFrame:
         .when(kind == "subpoint", F.when(in_p, p).when(in_b, b).otherwise(sec))
         .otherwise(F.when(in_u, u).when(in_p, p).when(in_b, b).otherwise(sec))
     )
-    return open_.withColumn("parent_order_index", parent.cast("int")).drop("_s", "_b", "_p", "_u")
+    return _opened(nodes, key, ["order_index"]).withColumn("parent_order_index", parent.cast("int")).drop("_s", "_b", "_p", "_u")
 
 
 def heading_paths(nodes: DataFrame, key: str) -> DataFrame:
     """Add heading_path: the labels from the title down to the node's own heading, joined by ' > '.
 
-    Types nest five deep at most, so a path is put together by at most four joins of a node with its parent.
+    What is open at a node was open at its open ancestors too, so one window over the last section, subsection, point and subpoint with
+    their labels gives the whole path; nothing is joined.
     """
     own = F.when(F.col("node_type") == "title", F.col("title")).when(F.col("node_type") != "paragraph", F.concat_ws(" ", "label", "title"))
-    labelled = nodes.withColumn("_own", own)
-    up = labelled.select(key, F.col("order_index").alias("_at"), F.col("_own").alias("_l"), F.col("parent_order_index").alias("_next"))
-    out = labelled.withColumns({"_parts": F.array("_own"), "_at": F.col("parent_order_index")})
-    for _ in range(4):
-        out = out.join(up, [key, "_at"], "left").withColumns({"_parts": F.concat(F.array("_l"), F.col("_parts"))}).drop("_at", "_l").withColumnRenamed("_next", "_at")
-    return out.withColumn("heading_path", F.array_join(F.array_compact("_parts"), " > ")).drop("_own", "_parts", "_at")
+    opened = _opened(nodes.withColumn("_own", own), key, ["order_index", "_own"])
+    *_, in_b, in_p, in_u = _chain()
+    kind = F.col("node_type")
+    level = F.when(kind == "title", 0).when(kind.isin("section", "appendix", "table", "note"), 1).when(kind == "subsection", 2).when(kind == "point", 3).when(kind == "subpoint", 4).otherwise(5)
+    title = F.first("_own").over(Window.partitionBy(key).orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0))
+    above = [F.when(level > 0, title), F.when(level > 1, F.col("_s._own")), F.when((level > 2) & in_b, F.col("_b._own")), F.when((level > 3) & in_p, F.col("_p._own")), F.when((level > 4) & in_u, F.col("_u._own"))]
+    return opened.withColumn("heading_path", F.array_join(F.array_compact(F.array(*above, F.col("_own"))), " > ")).drop("_own", "_s", "_b", "_p", "_u")
 
 
 def references(nodes: DataFrame, keys: list[str], title: str, text: str) -> DataFrame:

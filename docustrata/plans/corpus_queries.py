@@ -112,10 +112,12 @@ _LINES = f"""ls AS (SELECT doc_id, list_filter({sql.lines('text')}, lambda l: NO
 li AS (SELECT doc_id, unnest(l) AS line, CAST(generate_subscripts(l, 1) AS INT) AS order_index FROM ls)"""
 
 
-@query(f"WITH {_LINES} SELECT doc_id, order_index, sha256(line) AS line_hash, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS char_start FROM li")
+@query(f"""WITH al AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {sql.lines('text')} AS l FROM documents)), pg AS (SELECT *, CASE WHEN regexp_matches(line, '{_PAGE}') THEN CAST(regexp_extract(line, '[0-9]+') AS INT) END AS pn FROM al),
+ap AS (SELECT *, last_value(pn IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page_number FROM pg), kp AS (SELECT * FROM ap WHERE pn IS NULL)
+SELECT doc_id, CAST(row_number() OVER w AS INT) AS order_index, sha256(line) AS line_hash, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS char_start, page_number FROM kp WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
 def prepare_lines(s: SparkSession, d: str) -> DataFrame:
     lines = structure.prepared_lines(table(s, d, "documents"), "doc_id", "text")
-    return lines.select("doc_id", "order_index", F.sha2("line", 256).alias("line_hash"), "char_start")
+    return lines.select("doc_id", "order_index", F.sha2("line", 256).alias("line_hash"), "char_start", "page_number")
 
 
 def _classes() -> str:
@@ -130,7 +132,7 @@ def _classes() -> str:
 
 @query(f"WITH {_LINES}, {_classes()} SELECT doc_id, order_index, node_type, label, sha256(coalesce(title, '')) AS title_hash FROM cl")
 def classify_lines(s: SparkSession, d: str) -> DataFrame:
-    c = structure.classified(structure.prepared_lines(table(s, d, "documents"), "doc_id", "text"))
+    c = structure.classified(structure.numbered_lines(table(s, d, "documents"), "doc_id", "text"))
     return c.select("doc_id", "order_index", "node_type", "label", F.sha2(F.coalesce("title", F.lit("")), 256).alias("title_hash"))
 
 
@@ -141,20 +143,20 @@ WHEN node_type = 'subsection' THEN sc WHEN node_type = 'point' THEN CASE WHEN b
 ELSE CASE WHEN u > greatest(s, b, p) THEN u WHEN p > greatest(s, b) THEN p WHEN b > s THEN b ELSE sc END END AS INT) AS parent_order_index FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE 1 END AS sc FROM op))"""
 
 
-def _tree(s: SparkSession, d: str) -> DataFrame:
-    return structure.tree(structure.classified(structure.prepared_lines(table(s, d, "documents"), "doc_id", "text")), "doc_id")
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    return structure.classified(structure.numbered_lines(table(s, d, "documents"), "doc_id", "text")).drop("line")
 
 
 @query(f"WITH {_LINES}, {_classes()}, {_TREE} SELECT doc_id, order_index, parent_order_index FROM tr")
 def node_tree(s: SparkSession, d: str) -> DataFrame:
-    return _tree(s, d).select("doc_id", "order_index", "parent_order_index")
+    return structure.tree(_classified(s, d), "doc_id").select("doc_id", "order_index", "parent_order_index")
 
 
 @query(f"""WITH RECURSIVE {_LINES}, {_classes()}, {_TREE}, ow AS (SELECT *, CASE WHEN node_type = 'title' THEN title WHEN node_type <> 'paragraph' THEN concat_ws(' ', label, title) END AS own FROM tr),
 up AS (SELECT doc_id, order_index, own AS path, parent_order_index AS nxt FROM ow UNION ALL SELECT up.doc_id, up.order_index, concat_ws(' > ', ow.own, up.path), ow.parent_order_index FROM up JOIN ow ON ow.doc_id = up.doc_id AND ow.order_index = up.nxt)
 SELECT doc_id, order_index, sha256(coalesce(path, '')) AS path_hash FROM up WHERE nxt IS NULL""")
 def heading_paths(s: SparkSession, d: str) -> DataFrame:
-    return structure.heading_paths(_tree(s, d), "doc_id").select("doc_id", "order_index", F.sha2("heading_path", 256).alias("path_hash"))
+    return structure.heading_paths(_classified(s, d), "doc_id").select("doc_id", "order_index", F.sha2("heading_path", 256).alias("path_hash"))
 
 
 _REFS = f"""rf AS (SELECT DISTINCT doc_id, {sql.code("regexp_replace(r, '[.,;:]+$', '')")} AS code FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{structure.REFERENCE}')) AS r FROM documents))"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docustrata.functions.codes import alias_form, code_variants, family, is_legacy, is_placeholder, year
 from docustrata.functions.scores import distance_score
 from docustrata.functions.text import let, locator, squeeze, tokens
-from docustrata.operators.lexical import overlaps
+from docustrata.operators.lexical import best_overlaps
 from docustrata.operators.relational import prefix_matches, top
 from docustrata.session import durable
 
@@ -124,7 +124,8 @@ def discovered(questions: DataFrame, cards: DataFrame, dense: DataFrame | None,
 
     Dense hits gain 0.15; the best hit of a document is kept.
     """
-    worded = overlaps(questions, cards, qid, qtext, "document_id", "card_text").select(qid, "document_id", F.bround(F.col("n_common") / F.col("n_query"), 4).alias("score"), F.lit("document_card_lexical").alias("source_kind"))
+    # a document's place among the worded ones is at most k where it is among the k best of all
+    worded = best_overlaps(questions, cards, qid, qtext, "document_id", "card_text", k).select(qid, "document_id", "score", F.lit("document_card_lexical").alias("source_kind"))
     if dense is not None:
         worded = worded.unionByName(dense.select(qid, "document_id", F.bround(distance_score(F.col("distance")) + 0.15, 4).alias("score"), F.lit("document_card_dense").alias("source_kind")))
     best = worded.groupBy(qid, "document_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "source_kind")).alias("b")).select(qid, "document_id", (-F.col("b.s")).alias("score"), F.col("b.source_kind").alias("source_kind"))

@@ -67,7 +67,7 @@ q AS (SELECT DISTINCT item_id, unnest({sql.tokens('question')}) AS token FROM ev
 c AS (SELECT item_id, hit_id, round_even(count(*) / any_value(n), 4) AS score FROM p JOIN q USING (token) JOIN n USING (item_id) GROUP BY 1, 2)
 SELECT item_id, source_kind, version_id, hit_id, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hit_id) AS INT) AS rk FROM c) JOIN pool USING (hit_id) WHERE rk <= 30""")
 def version_search(s: SparkSession, d: str) -> DataFrame:
-    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d, "version_id", "text"), nodes(s, d, "version_id", "text"))
+    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d, "version_id", "anchor_order_index", "locator_primary", "text"), nodes(s, d, "version_id", "order_index", "locator_normalized", "text"))
 
 
 _DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))"

@@ -23,18 +23,20 @@ KIND_BONUS = {
 LOCATOR_BONUS = 0.05
 MERGED, SURVIVORS, PACK, CONTEXT_HITS, WINDOW = 36, 16, 8, 4, 2
 #: Columns of a hit; hit_id names the node or unit and is unique within its kind.
-HIT = ["source_kind", "score", "version_id", "hit_id", "order_index", "locator"]
+HIT = ["source_kind", "score", "version_id", "hit_id", "order_index", "locator", "heading_path"]
 
 
-def locator_hits(asked: DataFrame, items: DataFrame, qid: str, kind: str, k: int = 30) -> DataFrame:
-    """Items (version_id, hit_id, order_index, locator, heading_path) that answer a question's locator (qid, version_id, wanted): hits.
+def locator_hits(asked: DataFrame, items: DataFrame, qid: str, k: int = 30) -> DataFrame:
+    """Items (kind, version_id, hit_id, order_index, locator, heading_path) that answer a question's locator (qid, version_id, wanted): hits.
 
-    Kind is ``kind``_locator for the same locator, ``kind``_locator_context for one near it. Null locators and headings count as ''.
+    The source kind is the item's with _locator for the same locator, _locator_context for one near it; k for each question, version and
+    locator. Null locators and headings count as ''.
     """
     joined = asked.join(items, "version_id")
     score = locator_score(F.col("wanted"), F.col("locator"), F.col("heading_path"))
-    hits = joined.select(qid, F.when(F.col("locator") == F.col("wanted"), F.lit(f"{kind}_locator")).otherwise(F.lit(f"{kind}_locator_context")).alias("source_kind"), score.alias("score"), "version_id", "hit_id", "order_index", "locator").where("score > 0")
-    return top(hits, [qid], order(), k).drop("rk")
+    kind = F.concat("kind", F.when(F.col("locator") == F.col("wanted"), "_locator").otherwise("_locator_context"))
+    hits = joined.select(qid, "wanted", kind.alias("source_kind"), score.alias("score"), "version_id", "hit_id", "order_index", "locator", "heading_path").where("score > 0")
+    return top(hits, [qid, "version_id", "wanted"], order(), k).select(qid, *HIT)
 
 
 def order() -> list[Column]:
@@ -64,13 +66,13 @@ def merged(hits: DataFrame, qid: str, with_locators: DataFrame | None = None, me
 def with_context(hits: DataFrame, qid: str, blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hits (from merged) with what lies around the first four of them that are nodes: enclosing blocks at score + 0.12 up to 1.1, nodes beside at 0.8.
 
-    blocks: version_id, hit_id, start_order, end_order, order_index, locator; nodes: version_id, hit_id, order_index, locator.
+    blocks: version_id, hit_id, start_order, end_order, order_index, locator, heading_path; nodes: version_id, hit_id, order_index, locator, heading_path.
     """
     seeds = top(hits.where("startswith(source_kind, 'document_node') and order_index is not null"), [qid], [F.asc("rk")], CONTEXT_HITS, "_seed")
-    around = enclosing(seeds.select(qid, "version_id", "order_index", F.col("score").alias("_s")), blocks.select("version_id", "hit_id", "start_order", "end_order", F.col("order_index").alias("block_order"), F.col("locator")))
-    context = around.groupBy(qid, "version_id", "hit_id", F.col("block_order").alias("order_index"), "locator").agg(F.max(F.bround(F.least(F.lit(1.1), F.col("_s") + 0.12), 4)).alias("score")).withColumn("source_kind", F.lit("retrieval_unit_context"))
+    around = enclosing(seeds.select(qid, "version_id", "order_index", F.col("score").alias("_s")), blocks.select("version_id", "hit_id", "start_order", "end_order", F.col("order_index").alias("block_order"), "locator", "heading_path"))
+    context = around.groupBy(qid, "version_id", "hit_id", F.col("block_order").alias("order_index"), "locator", "heading_path").agg(F.max(F.bround(F.least(F.lit(1.1), F.col("_s") + 0.12), 4)).alias("score")).withColumn("source_kind", F.lit("retrieval_unit_context"))
     asked = seeds.select(qid, "version_id", F.col("order_index").alias("_anchor"), F.explode(F.sequence(F.col("order_index") - WINDOW, F.col("order_index") + WINDOW)).alias("order_index"))
-    near = asked.join(nodes.select("version_id", "order_index", "hit_id", "locator"), ["version_id", "order_index"]).groupBy(qid, "version_id", "hit_id", "order_index", "locator").agg(F.max(F.when(F.col("order_index") == F.col("_anchor"), F.lit(1.0)).otherwise(F.lit(0.8))).alias("score")).withColumn("source_kind", F.lit("document_node"))
+    near = asked.join(nodes.select("version_id", "order_index", "hit_id", "locator", "heading_path"), ["version_id", "order_index"]).groupBy(qid, "version_id", "hit_id", "order_index", "locator", "heading_path").agg(F.max(F.when(F.col("order_index") == F.col("_anchor"), F.lit(1.0)).otherwise(F.lit(0.8))).alias("score")).withColumn("source_kind", F.lit("document_node"))
     return hits.select(qid, *HIT).unionByName(context.select(qid, *HIT)).unionByName(near.select(qid, *HIT))
 
 
@@ -85,12 +87,13 @@ def evidence_pack(hits: DataFrame, qid: str, blocks: DataFrame, nodes: DataFrame
 def evidence_quality(pack: DataFrame, qid: str, documents_of: DataFrame) -> DataFrame:
     """Per question: n_items, n_units, n_documents, dominant (hits of the most frequent document), has_locator, quality.
 
-    A unit counts 4, a node 1, a locator 1 more. documents_of: version_id, document_id.
+    A unit counts 4, a node 1, a locator 1 more, a heading path 1 more. documents_of: version_id, document_id.
     """
     joined = pack.join(documents_of, "version_id", "left")
     is_unit = F.startswith("source_kind", F.lit("retrieval_unit"))
     has = F.length(F.coalesce("locator", F.lit(""))) > 0
-    per = joined.groupBy(qid, "document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_unit).alias("u"), F.max(has.cast("int")).alias("l"), F.sum(F.when(is_unit, 4).otherwise(1) + has.cast("int")).alias("q"))
+    headed = F.length(F.coalesce("heading_path", F.lit(""))) > 0
+    per = joined.groupBy(qid, "document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_unit).alias("u"), F.max(has.cast("int")).alias("l"), F.sum(F.when(is_unit, 4).otherwise(1) + has.cast("int") + headed.cast("int")).alias("q"))
     return per.groupBy(qid).agg(F.sum("n").alias("n_items"), F.sum("u").alias("n_units"), F.count("document_id").alias("n_documents"), F.max("n").alias("dominant"), (F.max("l") == 1).alias("has_locator"), F.sum("q").alias("quality"))
 
 

@@ -112,13 +112,13 @@ def search_counts(queries: DataFrame, texts: DataFrame, qid: str = "item_id", qt
 
 
 def version_pool(units: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What is searched of each version: its units where it has any, else its nodes: source_kind, version_id, hit_id, order_index, locator, text.
+    """What is searched of each version: its units where it has any, else its nodes: source_kind, version_id, hit_id, order_index, locator, heading_path, text.
 
-    units: unit_id, version_id, anchor_order_index, locator_primary, text; nodes: id, version_id, order_index, locator_normalized, text.
+    units: unit_id, version_id, start_order_index, locator_primary, heading_path, text; nodes: id, version_id, order_index, locator_normalized, heading_path, text.
     """
     rest = nodes.join(units.select("version_id").distinct(), "version_id", "left_anti")
-    kind = lambda k, i, o, c: [F.lit(k).alias("source_kind"), "version_id", F.col(i).alias("hit_id"), F.col(o).alias("order_index"), F.col(c).alias("locator"), "text"]
-    return units.select(*kind("retrieval_unit_lexical", "unit_id", "anchor_order_index", "locator_primary")).unionByName(rest.select(*kind("document_node", "id", "order_index", "locator_normalized")))
+    kind = lambda k, i, o, c: [F.lit(k).alias("source_kind"), "version_id", F.col(i).alias("hit_id"), F.col(o).alias("order_index"), F.col(c).alias("locator"), "heading_path", "text"]
+    return units.select(*kind("retrieval_unit_lexical", "unit_id", "start_order_index", "locator_primary")).unionByName(rest.select(*kind("document_node", "id", "order_index", "locator_normalized")))
 
 
 def search_versions(queries: DataFrame, units: DataFrame, nodes: DataFrame, qid: str = "item_id", qtext: str = "question", k: int = 30) -> DataFrame:
@@ -136,5 +136,5 @@ def scoped_overlaps(asked: DataFrame, pool: DataFrame, qid: str, k: int) -> Data
     own = F.array_distinct("tokens")
     joined = pool.where(F.col("version_id").isNotNull()).join(asked.select(qid, "version_id", own.alias("_asked")), "version_id")
     common: Column = F.size(F.array_intersect("_asked", distinct_tokens(F.col("text"))))
-    scored = joined.select(qid, "source_kind", F.bround(common / F.nullif(F.size("_asked"), F.lit(0)), 4).alias("score"), "version_id", "hit_id", "order_index", "locator").where("score > 0")
+    scored = joined.select(qid, "source_kind", F.bround(common / F.nullif(F.size("_asked"), F.lit(0)), 4).alias("score"), "version_id", "hit_id", "order_index", "locator", "heading_path").where("score > 0")
     return top(scored, [qid], [F.desc("score"), F.asc("source_kind"), F.asc("hit_id")], k)

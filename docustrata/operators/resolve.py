@@ -19,15 +19,6 @@ CODE = rf"(?iu){BEFORE}((?:{PREFIX}) *[A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9.
 NUMERIC = rf"(?iu){BEFORE}((?:пункт|раздел|глава|таблица|табл\.?|section|chapter|table|п\.?) *[0-9]+(?:\.[0-9]+)*)"
 APPENDIX = rf"(?iu){BEFORE}((?:приложение|прил\.?|appendix) *[A-Za-zА-Яа-я])(?:[^A-Za-zА-Яа-яЁё0-9_]|$)"
 COMPACT = rf"(?iu)({BEFORE})({PREFIX})([0-9])"
-#: Parameters: token stems that speak for document families, with the bonus of each family.
-TOPICS = (
-    (("нагруз", "сочетан", "надежн", "предельн", "воздейств", "коэффициент"), (("СП 20", 0.2), ("ГОСТ 27751", 0.28))),
-    (("тепло", "утепл", "теплопередач", "огражда", "стен", "конденс"), (("СП 50", 0.2),)),
-    (("эвакуац", "выход", "пожар", "огнестойк", "дым", "ширин", "отделк"), (("СП 1", 0.28), ("СП 2", 0.2), ("ФЗ 123", 0.28))),
-    (("кровл", "водосток", "уклон"), (("СП 17", 0.28),)),
-    (("фундамент", "основан", "грунт", "свай", "осад"), (("СП 22", 0.2), ("СП 24", 0.2))),
-    (("арматур", "железобет", "бетон", "плит", "колонн"), (("СП 63", 0.2),)),
-)
 
 
 def parsed(questions: DataFrame, qid: str, text: str) -> DataFrame:
@@ -82,8 +73,14 @@ def code_bonus(codes: Column, candidate: Column) -> Column:
     return let(F.struct(candidate.alias("c"), family(candidate).alias("f"), year(candidate).alias("y")), fold)
 
 
-def topic_bonus(found: Column, candidate: Column, topics=TOPICS) -> Column:
-    """Bonus of the family that the question's tokens speak for; a candidate has one family, so at most one applies."""
+def topic_bonus(found: Column, candidate: Column, topics: tuple = ()) -> Column:
+    """Bonus of the family that the question's tokens speak for; a candidate has one family, so at most one applies.
+
+    ``topics``: the caller's own table, rows of (token stems, ((family's code, bonus), ...)).
+    """
+
+    if not topics:
+        return F.lit(0.0)
 
     def of(own: Column) -> Column:
         cases = [F.lit(0.0)]
@@ -96,7 +93,7 @@ def topic_bonus(found: Column, candidate: Column, topics=TOPICS) -> Column:
     return let(family(candidate), of)
 
 
-def reranked(candidates: DataFrame, qid: str, k: int = 6, topics=TOPICS) -> DataFrame:
+def reranked(candidates: DataFrame, qid: str, k: int = 6, topics: tuple = ()) -> DataFrame:
     """Rank candidates (qid, document_id, score, display_code, title, is_active, is_outdated, codes, tokens): qid, document_id, score, rk.
 
     Bonuses for the code, the topic, an active version (0.1) and the newest edition of a family (0.16, where no year was asked for);

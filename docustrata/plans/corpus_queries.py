@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docustrata.functions import text
 from docustrata.functions.codes import code_aliases
-from docustrata.operators import blocks, evidence, lexical, metrics, relational, resolve, structure, vector, versions
+from docustrata.operators import blocks, evidence, lexical, metrics, relational, resolve, retrieval, structure, vector, versions
 from docustrata.functions import scores
 from docustrata.plans import sql
+from docustrata.session import durable
 from docustrata.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -67,7 +68,7 @@ q AS (SELECT DISTINCT item_id, unnest({sql.tokens('question')}) AS token FROM ev
 c AS (SELECT item_id, hit_id, round_even(count(*) / any_value(n), 4) AS score FROM p JOIN q USING (token) JOIN n USING (item_id) GROUP BY 1, 2)
 SELECT item_id, source_kind, version_id, hit_id, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hit_id) AS INT) AS rk FROM c) JOIN pool USING (hit_id) WHERE rk <= 30""")
 def version_search(s: SparkSession, d: str) -> DataFrame:
-    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d, "version_id", "anchor_order_index", "locator_primary", "text"), nodes(s, d, "version_id", "order_index", "locator_normalized", "text"))
+    return lexical.search_versions(table(s, d, "eval_passages"), units(s, d, "version_id", "start_order_index", "locator_primary", "heading_path", "text"), nodes(s, d, "version_id", "order_index", "locator_normalized", "heading_path", "text"))
 
 
 _DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))"
@@ -360,9 +361,11 @@ def resolve_document(s: SparkSession, d: str) -> DataFrame:
     return relational.top(_resolved(s, d), ["item_id"], [F.desc("score"), F.asc("document_id")], 6).select("item_id", "document_id", "score", "reason", "rk")
 
 
+#: The queries' own topics: token stems, and families with their bonus.
+TOPICS = ((("мост", "насос", "кабел"), (("СНиП 545", 0.2), ("ГОСТ Р 863", 0.28))), (("стен", "темпер"), (("СП 150", 0.2),)))
 _YEAR = lambda x: f"CAST(nullif(regexp_extract({x}, '(?:19|20)[0-9]{{2}}'), '') AS INT)"
 _LEG = lambda x: f"(starts_with(upper({x}), 'СНИП') OR starts_with(upper({x}), 'SNIP'))"
-_TOPIC = "greatest(0.0, " + ", ".join(f"CASE WHEN len(list_filter(tk, lambda t: regexp_matches(t, '^(?:{'|'.join(stems)})'))) > 0 AND fm = {sql.family(chr(39) + name + chr(39))} THEN {bonus} ELSE 0.0 END" for stems, families in resolve.TOPICS for name, bonus in families) + ")"
+_TOPIC = "greatest(0.0, " + ", ".join(f"CASE WHEN len(list_filter(tk, lambda t: regexp_matches(t, '^(?:{'|'.join(stems)})'))) > 0 AND fm = {sql.family(chr(39) + name + chr(39))} THEN {bonus} ELSE 0.0 END" for stems, families in TOPICS for name, bonus in families) + ")"
 _RERANK = f"""{_RES}, oc AS (SELECT item_id, unnest(c) AS n, generate_subscripts(c, 1) AS o FROM (SELECT item_id, list_transform(regexp_extract_all(q, '{_RX['code']}', 1), lambda x: {sql.code('x')}) AS c FROM nq)),
 op AS (SELECT *, split_part(n, ' ', 1) AS a, CASE WHEN instr(n, ' ') > 0 THEN substr(n, instr(n, ' ') + 1) ELSE '' END AS r FROM oc WHERE n <> ''), oy AS (SELECT *, regexp_replace(r, '[-./][0-9]{{4}}$', '') AS y, split_part(r, '.', 1) AS f FROM op),
 ol AS (SELECT item_id, o, [n, CASE WHEN r <> '' THEN a || r END, CASE WHEN y <> '' AND y <> r THEN a || ' ' || y END, CASE WHEN y <> '' AND y <> r THEN a || y END, CASE WHEN r <> '' AND f <> '' THEN a || ' ' || f END, CASE WHEN r <> '' AND f <> '' THEN a || f END] AS l FROM oy),
@@ -379,7 +382,7 @@ def rerank_candidates(s: SparkSession, d: str) -> DataFrame:
     status = F.lower(F.coalesce("status_normalized", F.lit("")))
     docs = current(s, d).select("document_id", "display_code", "title", (status == "active").alias("is_active"), (status == "inactive").alias("is_outdated"))
     c = _resolved(s, d).join(docs, "document_id").join(questions(s, d).select("item_id", "codes", "tokens"), "item_id")
-    return resolve.reranked(c, "item_id")
+    return resolve.reranked(c, "item_id", topics=TOPICS)
 
 
 @query(f"""WITH {_CARDS}, q AS (SELECT DISTINCT item_id, unnest({sql.tokens('question')}) AS token FROM eval_passages), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1), p AS (SELECT DISTINCT document_id, unnest({sql.tokens('card_text')}) AS token FROM card),
@@ -389,41 +392,98 @@ def discover_documents(s: SparkSession, d: str) -> DataFrame:
     return resolve.discovered(table(s, d, "eval_passages"), cards(s, d), None).select("item_id", "document_id", "score", "rk")
 
 
-# -- evidence --------------------------------------------------------------------------------------------------------------
+# -- evidence: the held-out questions as they are, and one question for each document, which names it and a locator ----------
+
+_NO = "CAST(right(document_id, 6) AS INT)"
+_ASKED = f"ask AS (SELECT 'E' || item_id AS item_id, question AS t FROM eval_passages UNION ALL SELECT document_id, 'Что установлено в ' || display_code || ', п. ' || (1 + {_NO} % 9) || CASE WHEN {_NO} % 2 = 0 THEN '.' || (1 + {_NO} % 7) ELSE '' END || '?' FROM cur WHERE display_code IS NOT NULL)"
+
+
+def asked_questions(s: SparkSession, d: str) -> DataFrame:
+    """The parsed questions: of eval_passages, which name no document, and of every current document."""
+    no = F.right("document_id", F.lit(6)).cast("int")
+    place = F.concat((1 + no % 9).cast("string"), F.when(no % 2 == 0, F.concat(F.lit("."), (1 + no % 7).cast("string"))).otherwise(""))
+    own = current(s, d).where("display_code is not null").select(F.col("document_id").alias("item_id"), F.concat(F.lit("Что установлено в "), "display_code", F.lit(", п. "), place, F.lit("?")).alias("t"))
+    held = table(s, d, "eval_passages").select(F.concat(F.lit("E"), F.col("item_id").cast("string")).alias("item_id"), F.col("question").alias("t"))
+    return durable(resolve.parsed(held.unionByName(own), "item_id", "t"))
+
+
+_FULL_UNITS = "fu AS (SELECT * FROM (SELECT DISTINCT unit_id, version_id, unit_type, start_order_index, locator_primary, heading_path, CAST(embedding AS DOUBLE[]) AS e FROM retrieval_units WHERE unit_id IS NOT NULL) WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)"
+
+
+def evidence_units(s: SparkSession, d: str) -> DataFrame:
+    return relational.unique(table(s, d, "retrieval_units"), "unit_id", "version_id", "unit_type", "start_order_index", "end_order_index", "locator_primary", "heading_path", "text", "embedding")
+
+
+def evidence_nodes(s: SparkSession, d: str) -> DataFrame:
+    return nodes(s, d, "version_id", "order_index", "locator_normalized", "heading_path", "text")
 
-#: One question per version: its locator 2.1.
-_WANT = "wa AS (SELECT DISTINCT version_id AS qid, version_id, '2.1' AS wanted FROM document_nodes WHERE id IS NOT NULL AND version_id IS NOT NULL)"
-_LSC = """CASE WHEN wanted = '' OR (coalesce(locator, '') = '' AND NOT contains(lower(coalesce(heading_path, '')), lower(wanted))) THEN 0.0 WHEN locator = wanted THEN 1.06 WHEN starts_with(coalesce(locator, ''), wanted || '.') THEN 0.96
-WHEN coalesce(locator, '') <> '' AND starts_with(wanted, locator || '.') THEN 0.90 WHEN contains(lower(coalesce(heading_path, '')), lower(wanted)) THEN 0.82 ELSE 0.0 END"""
 
+_SPARSE = f"""qt AS (SELECT item_id, unnest({sql.tokens('q')}) AS token FROM nq), qh AS (SELECT item_id, sha256(token) AS x, count(*) AS n FROM qt GROUP BY item_id, token),
+qs AS (SELECT item_id, CAST('0x' || substr(x, 1, 8) AS BIGINT) % 64 AS dim, sum((CASE WHEN CAST('0x' || substr(x, 9, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (1 + CAST('0x' || substr(x, 11, 2) AS BIGINT) / CAST(255 AS DOUBLE)) * n) AS w FROM qh GROUP BY 1, 2),
+qv AS (SELECT item_id, list_transform(range(0, 64), lambda i: coalesce(m[i], 0.0)) AS v FROM (SELECT item_id, map(list(dim), list(w)) AS m FROM qs GROUP BY 1))"""
+_COSV = "list_sum(list_transform(list_zip(v, e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda y: y * y))) * sqrt(list_sum(list_transform(e, lambda y: y * y))))"
+_RERANK_TAIL = _RERANK[_RERANK.index("oc AS ("):].replace("FROM res JOIN cur", "FROM cand JOIN cur").replace("SELECT res.item_id, document_id", "SELECT cand.item_id, document_id")
+_CAND = f"""{_CARDS}, {_RES.replace(_ASK, _ASKED)}, {_FULL_UNITS}, {_SPARSE},
+ot AS (SELECT DISTINCT item_id, unnest({sql.tokens('q')}) AS token FROM nq WHERE item_id NOT IN (SELECT item_id FROM res)), oz AS (SELECT item_id, count(*) AS n FROM ot GROUP BY 1), ct AS (SELECT DISTINCT document_id, unnest({sql.tokens('card_text')}) AS token FROM card),
+cw AS (SELECT item_id, document_id, round_even(count(*) / any_value(n), 4) AS score FROM ct JOIN ot USING (token) JOIN oz USING (item_id) GROUP BY 1, 2), vd AS (SELECT current_version_id AS version_id, min(document_id) AS document_id FROM cur WHERE current_version_id IS NOT NULL GROUP BY 1),
+cd0 AS (SELECT item_id, unit_id, version_id, round_even({_COSV}, 4) AS c FROM qv, fu WHERE unit_type = 'document_card' AND item_id IN (SELECT item_id FROM ot)), cd AS (SELECT item_id, document_id, round_even(round_even(greatest(0.0, c), 4) + 0.15, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, unit_id) AS k FROM cd0) JOIN vd USING (version_id) WHERE k <= 30),
+ds AS (SELECT item_id, document_id, max(score) AS score FROM (SELECT * FROM cw UNION ALL SELECT * FROM cd) GROUP BY 1, 2), dt AS (SELECT item_id, document_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id) AS k FROM ds) WHERE k <= 8),
+cand AS (SELECT item_id, document_id, score FROM res UNION ALL SELECT * FROM dt), {_RERANK_TAIL}, rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, leg, display_code, document_id) AS INT) AS rk FROM rs),
+cn AS (SELECT item_id, document_id, display_code, score, rk FROM rr WHERE rk <= CASE WHEN item_id IN (SELECT item_id FROM res) THEN 6 ELSE 8 END)"""
 
-def wanted(s: SparkSession, d: str) -> DataFrame:
-    """Questions: locator 2.1 of every version."""
-    v = table(s, d, "document_nodes").where("id is not null and version_id is not null").select("version_id").distinct()
-    return v.select(F.col("version_id").alias("qid"), "version_id", F.lit("2.1").alias("wanted"))
 
+def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed questions, their vectors, and their ranked documents."""
+    q, docs = asked_questions(s, d), current(s, d)
+    vectors = durable(retrieval.question_vectors(q, "item_id", "normalized_text"))
+    of = docs.select("document_id", F.col("current_version_id").alias("version_id"))
+    some = retrieval.near_cards(vectors.join(q.where(F.size("codes") == 0), "item_id", "left_semi"), evidence_units(s, d), of, "item_id")
+    return q, vectors, durable(retrieval.candidate_documents(q, docs, versions.built_aliases(docs), cards(s, d), some, topics=TOPICS))
 
-def _locator_hits(s: SparkSession, d: str) -> DataFrame:
-    items = nodes(s, d, "version_id", "order_index", "locator_normalized", "heading_path").select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"), "heading_path")
-    return evidence.locator_hits(wanted(s, d), items, "qid", "document_node")
 
+@query(f"WITH RECURSIVE {_CAND} SELECT item_id, document_id, display_code, score, rk FROM cn")
+def question_documents(s: SparkSession, d: str) -> DataFrame:
+    return _candidates(s, d)[2]
 
-_LH = f"""{_NODES}, {_WANT}, lh AS (SELECT qid, source_kind, score, version_id, hit_id, order_index, locator FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coalesce(order_index, 0), source_kind, hit_id) AS k FROM
-(SELECT qid, CASE WHEN locator = wanted THEN 'document_node_locator' ELSE 'document_node_locator_context' END AS source_kind, CAST({_LSC} AS DOUBLE) AS score, version_id, hit_id, order_index, locator FROM wa JOIN (SELECT version_id, id AS hit_id, order_index, locator_normalized AS locator, heading_path FROM nd) USING (version_id)) WHERE score > 0) WHERE k <= 30)"""
+
+_SCOPE = f"""{_CAND}, sv AS (SELECT item_id AS qid, version_id FROM (SELECT cn.item_id, current_version_id AS version_id, row_number() OVER (PARTITION BY cn.item_id ORDER BY rk) AS k, cn.item_id IN (SELECT item_id FROM vq) AS ex FROM cn JOIN cur USING (document_id) WHERE current_version_id IS NOT NULL) WHERE NOT ex OR k = 1),
+lo AS (SELECT DISTINCT item_id AS qid, x AS wanted FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(q, '{_RX['num']}', 1), lambda z: {_LOCN('z')}) || list_transform(regexp_extract_all(q, '{_RX['app']}', 1), lambda z: {_LOCN('z')})) AS x FROM nq) WHERE x IS NOT NULL)"""
+_LSC = """CASE WHEN wanted = '' OR (coalesce(locator, '') = '' AND NOT contains(lower(coalesce(heading_path, '')), lower(wanted))) THEN 0.0 WHEN locator = wanted THEN 1.06 WHEN starts_with(coalesce(locator, ''), wanted || '.') THEN 0.96
+WHEN coalesce(locator, '') <> '' AND starts_with(wanted, locator || '.') THEN 0.90 WHEN contains(lower(coalesce(heading_path, '')), lower(wanted)) THEN 0.82 ELSE 0.0 END"""
+_H = "qid, source_kind, score, version_id, hit_id, order_index, locator, heading_path"
+_ORD = "score DESC, coalesce(order_index, 0), source_kind, hit_id"
+_LH = f"""{_SCOPE}, {_UNITS}, it AS (SELECT 'retrieval_unit' AS kind, version_id, unit_id AS hit_id, start_order_index AS order_index, locator_primary AS locator, heading_path FROM u UNION ALL SELECT 'document_node', version_id, id, order_index, locator_normalized, heading_path FROM nd),
+l0 AS (SELECT qid, wanted, kind || CASE WHEN locator = wanted THEN '_locator' ELSE '_locator_context' END AS source_kind, CAST({_LSC} AS DOUBLE) AS score, version_id, hit_id, order_index, locator, heading_path FROM sv JOIN lo USING (qid) JOIN it USING (version_id)),
+lh AS (SELECT {_H} FROM (SELECT *, row_number() OVER (PARTITION BY qid, version_id, wanted ORDER BY {_ORD}) AS k FROM l0 WHERE score > 0) WHERE k <= 30)"""
 
 
-@query(f"WITH {_LH} SELECT qid, source_kind, score, hit_id, order_index FROM lh")
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed questions, their vectors, and the versions they are limited to."""
+    q, vectors, found = _candidates(s, d)
+    of = current(s, d).select("document_id", F.col("current_version_id").alias("version_id"))
+    return q, vectors, durable(retrieval.scoped_versions(found, q, of, "item_id").withColumnRenamed("item_id", "qid"))
+
+
+@query(f"WITH RECURSIVE {_LH} SELECT qid, source_kind, score, hit_id, order_index FROM lh")
 def locator_match(s: SparkSession, d: str) -> DataFrame:
-    return _locator_hits(s, d).select("qid", "source_kind", "score", "hit_id", "order_index")
+    q, _, scope = _asked(s, d)
+    wanted = scope.select("qid", "version_id").join(q.select(F.col("item_id").alias("qid"), F.explode("locators").alias("wanted")), "qid")
+    return evidence.locator_hits(wanted, retrieval.locator_items(evidence_units(s, d), evidence_nodes(s, d)), "qid").select("qid", "source_kind", "score", "hit_id", "order_index")
 
 
-@query(f"WITH {_NODES}, a AS (SELECT DISTINCT version_id, order_index AS anchor_order FROM nd WHERE locator_normalized = '2.1') SELECT a.version_id, anchor_order, nd.order_index, nd.id, CAST(CASE WHEN nd.order_index = anchor_order THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM a JOIN nd ON nd.version_id = a.version_id AND nd.order_index BETWEEN anchor_order - 2 AND anchor_order + 2")
+@query(f"WITH {_NODES}, a AS (SELECT DISTINCT version_id, order_index AS anchor_order FROM nd) SELECT a.version_id, anchor_order, nd.order_index, nd.id, CAST(CASE WHEN nd.order_index = anchor_order THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM a JOIN nd ON nd.version_id = a.version_id AND nd.order_index BETWEEN anchor_order - 2 AND anchor_order + 2")
 def neighbor_expand(s: SparkSession, d: str) -> DataFrame:
-    n = nodes(s, d, "version_id", "order_index", "locator_normalized")
-    anchors = n.where("locator_normalized = '2.1'").select("version_id", "order_index").distinct()
+    n = nodes(s, d, "version_id", "order_index")
+    anchors = n.select("version_id", "order_index").distinct()
     return relational.neighbours(anchors, n.select("version_id", "order_index", "id")).select("version_id", "anchor_order", "order_index", "id", "score")
 
 
+@query(f"WITH {_NODES} SELECT 'document_node' AS source_kind, CAST(1.0 AS DOUBLE) AS score, nd.version_id, id AS hit_id, order_index, locator_normalized AS locator, heading_path FROM nd WHERE id IN (SELECT source_node_id FROM document_references)")
+def read_node(s: SparkSession, d: str) -> DataFrame:
+    """The nodes that references come from, read by their ids."""
+    return retrieval.read_nodes(table(s, d, "document_references").select(F.col("source_node_id").alias("id")), evidence_nodes(s, d))
+
+
 @query(f"WITH {_NODES}, {_UNITS} SELECT nd.id, u.unit_id FROM nd JOIN u ON u.version_id = nd.version_id AND nd.order_index BETWEEN u.start_order_index AND u.end_order_index")
 def enclosing_blocks(s: SparkSession, d: str) -> DataFrame:
     points = nodes(s, d, "version_id", "order_index")
@@ -431,70 +491,86 @@ def enclosing_blocks(s: SparkSession, d: str) -> DataFrame:
     return relational.enclosing(points, ranges).select("id", "unit_id")
 
 
+_WORDS = f"""pl AS (SELECT 'retrieval_unit_lexical' AS source_kind, version_id, unit_id AS hit_id, start_order_index AS order_index, locator_primary AS locator, heading_path, text FROM u UNION ALL SELECT 'document_node', version_id, id, order_index, locator_normalized, heading_path, text FROM nd WHERE version_id NOT IN (SELECT version_id FROM u WHERE version_id IS NOT NULL) OR version_id IS NULL),
+qd AS (SELECT item_id AS qid, list_distinct({sql.tokens('q')}) AS tk FROM nq), w0 AS (SELECT qid, source_kind, round_even(len(list_intersect(tk, {sql.tokens('text')})) / len(tk), 4) AS score, version_id, hit_id, order_index, locator, heading_path FROM sv JOIN qd USING (qid) JOIN pl USING (version_id) WHERE len(tk) > 0),
+lx AS (SELECT {_H} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_kind, hit_id) AS k FROM w0 WHERE score > 0) WHERE k <= 30)"""
+_DENSE = f"""d0 AS (SELECT qid, 'retrieval_unit_dense' AS source_kind, round_even(greatest(0.0, {_COSV}), 4) AS score, version_id, unit_id AS hit_id, start_order_index AS order_index, locator_primary AS locator, heading_path FROM sv JOIN (SELECT item_id AS qid, v FROM qv) USING (qid) JOIN fu USING (version_id) WHERE unit_type = 'semantic_block'),
+dn AS (SELECT {_H} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hit_id) AS k FROM d0) WHERE k <= 30)"""
+
+
+@query(f"WITH RECURSIVE {_SCOPE}, {_DENSE} SELECT qid, hit_id, score FROM dn")
+def semantic_search(s: SparkSession, d: str) -> DataFrame:
+    _, vectors, scope = _asked(s, d)
+    return retrieval.semantic_hits(scope, vectors.withColumnRenamed("item_id", "qid"), evidence_units(s, d), "qid", ["semantic_block"]).select("qid", "hit_id", "score")
+
+
 _BON = " ".join(f"WHEN '{k}' THEN {v}" for k, v in evidence.KIND_BONUS.items())
 
 
 def _merge_sql(source: str, out: str) -> str:
-    ordered = "score DESC, coalesce(order_index, 0), source_kind, hit_id"
-    return f"""{out} AS (WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_kind, hit_id ORDER BY score DESC, coalesce(order_index, 0)) AS k1 FROM {source}) WHERE k1 = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ordered}) AS k2 FROM a) WHERE k2 <= 36),
-c AS (SELECT *, round_even(CAST(score + CASE source_kind {_BON} ELSE 0.0 END + CASE WHEN coalesce(locator, '') <> '' THEN 0.05 ELSE 0.0 END AS DOUBLE), 4) AS lifted FROM b), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, coalesce(order_index, 0), source_kind, hit_id) AS k3 FROM c) WHERE k3 <= 16)
-SELECT qid, source_kind, score, version_id, hit_id, order_index, locator, CAST(row_number() OVER (PARTITION BY qid ORDER BY {ordered}) AS INT) AS rk FROM e)"""
+    return f"""{out} AS (WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_kind, hit_id ORDER BY score DESC, coalesce(order_index, 0)) AS k1 FROM {source}) WHERE k1 = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS k2 FROM a) WHERE k2 <= 36),
+c AS (SELECT *, round_even(CAST(score + CASE source_kind {_BON} ELSE 0.0 END + CASE WHEN coalesce(locator, '') <> '' AND qid IN (SELECT qid FROM lo) THEN 0.05 ELSE 0.0 END AS DOUBLE), 4) AS lifted FROM b), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, coalesce(order_index, 0), source_kind, hit_id) AS k3 FROM c) WHERE k3 <= 16)
+SELECT {_H}, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS INT) AS rk FROM e)"""
 
 
-def _all_hits(s: SparkSession, d: str) -> DataFrame:
-    q = wanted(s, d)
-    hits = _locator_hits(s, d)
-    u = units(s, d, "version_id", "anchor_order_index", "locator_primary")
-    more = q.join(u, "version_id").select("qid", F.lit("retrieval_unit_lexical").alias("source_kind"), F.lit(0.5).alias("score"), "version_id", F.col("unit_id").alias("hit_id"), F.col("anchor_order_index").alias("order_index"), F.col("locator_primary").alias("locator"))
-    return hits.unionByName(more)
+def _all_hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed questions as qid, and all their hits."""
+    q, vectors, scope = _asked(s, d)
+    q = q.withColumnRenamed("item_id", "qid")
+    return q, durable(retrieval.question_hits(q, scope, evidence_units(s, d), evidence_nodes(s, d), vectors.withColumnRenamed("item_id", "qid"), "qid"))
 
 
-_AH = f"{_LH}, {_UNITS}, ah AS (SELECT * FROM lh UNION ALL SELECT qid, 'retrieval_unit_lexical', 0.5, wa.version_id, unit_id, anchor_order_index, locator_primary FROM wa JOIN u ON u.version_id = wa.version_id)"
+_AH = f"{_LH}, {_WORDS}, {_DENSE}, ah AS (SELECT * FROM lh UNION ALL SELECT * FROM lx UNION ALL SELECT * FROM dn)"
 
 
-@query(f"WITH {_AH}, {_merge_sql('ah', 'mg')} SELECT qid, rk, source_kind, hit_id, score FROM mg")
+@query(f"WITH RECURSIVE {_AH}, {_merge_sql('ah', 'mg')} SELECT qid, rk, source_kind, hit_id, score FROM mg")
 def merge_hits(s: SparkSession, d: str) -> DataFrame:
-    return evidence.merged(_all_hits(s, d), "qid", wanted(s, d)).select("qid", "rk", "source_kind", "hit_id", "score")
+    q, hits = _all_hits(s, d)
+    return evidence.merged(hits, "qid", q.where(F.size("locators") > 0)).select("qid", "rk", "source_kind", "hit_id", "score")
 
 
 _PACK = f"""{_AH}, {_merge_sql('ah', 'mg')}, sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rk) AS k FROM mg WHERE starts_with(source_kind, 'document_node') AND order_index IS NOT NULL) WHERE k <= 4),
-cx AS (SELECT qid, 'retrieval_unit_context' AS source_kind, max(round_even(CAST(least(1.1, sd.score + 0.12) AS DOUBLE), 4)) AS score, sd.version_id, unit_id AS hit_id, anchor_order_index AS order_index, locator_primary AS locator FROM sd JOIN u ON u.version_id = sd.version_id AND sd.order_index BETWEEN start_order_index AND end_order_index GROUP BY qid, sd.version_id, unit_id, anchor_order_index, locator_primary),
-nb AS (SELECT qid, 'document_node' AS source_kind, max(CASE WHEN nd.order_index = sd.order_index THEN 1.0 ELSE 0.8 END) AS score, sd.version_id, nd.id AS hit_id, nd.order_index AS order_index, nd.locator_normalized AS locator FROM sd JOIN nd ON nd.version_id = sd.version_id AND nd.order_index BETWEEN sd.order_index - 2 AND sd.order_index + 2 GROUP BY qid, sd.version_id, nd.id, nd.order_index, nd.locator_normalized),
-a2 AS (SELECT qid, source_kind, score, version_id, hit_id, order_index, locator FROM mg UNION ALL SELECT * FROM cx UNION ALL SELECT * FROM nb), {_merge_sql('a2', 'm2')}, pk AS (SELECT * FROM m2 WHERE rk <= 8)"""
+cx AS (SELECT qid, 'retrieval_unit_context' AS source_kind, max(round_even(CAST(least(1.1, sd.score + 0.12) AS DOUBLE), 4)) AS score, sd.version_id, unit_id AS hit_id, start_order_index AS order_index, locator_primary AS locator, u.heading_path FROM sd JOIN u ON u.version_id = sd.version_id AND sd.order_index BETWEEN start_order_index AND end_order_index GROUP BY qid, sd.version_id, unit_id, start_order_index, locator_primary, u.heading_path),
+nb AS (SELECT qid, 'document_node' AS source_kind, max(CASE WHEN nd.order_index = sd.order_index THEN 1.0 ELSE 0.8 END) AS score, sd.version_id, nd.id AS hit_id, nd.order_index AS order_index, nd.locator_normalized AS locator, nd.heading_path FROM sd JOIN nd ON nd.version_id = sd.version_id AND nd.order_index BETWEEN sd.order_index - 2 AND sd.order_index + 2 GROUP BY qid, sd.version_id, nd.id, nd.order_index, nd.locator_normalized, nd.heading_path),
+a2 AS (SELECT {_H} FROM mg UNION ALL SELECT * FROM cx UNION ALL SELECT * FROM nb), {_merge_sql('a2', 'm2')}, pk AS (SELECT * FROM m2 WHERE rk <= 8)"""
 
 
-def _pack(s: SparkSession, d: str) -> DataFrame:
-    u = units(s, d, "version_id", "anchor_order_index", "start_order_index", "end_order_index", "locator_primary").where("start_order_index is not null and end_order_index >= start_order_index")
-    ranges = u.select("version_id", F.col("unit_id").alias("hit_id"), F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"), F.col("anchor_order_index").alias("order_index"), F.col("locator_primary").alias("locator"))
-    around = nodes(s, d, "version_id", "order_index", "locator_normalized").select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"))
-    return evidence.evidence_pack(_all_hits(s, d), "qid", ranges, around, wanted(s, d))
+def _pack(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed questions and their evidence packs."""
+    q, hits = _all_hits(s, d)
+    u = evidence_units(s, d).where("start_order_index is not null and end_order_index >= start_order_index")
+    ranges = u.select("version_id", F.col("unit_id").alias("hit_id"), F.col("start_order_index").alias("start_order"), F.col("end_order_index").alias("end_order"), F.col("start_order_index").alias("order_index"), F.col("locator_primary").alias("locator"), "heading_path")
+    around = evidence_nodes(s, d).select("version_id", F.col("id").alias("hit_id"), "order_index", F.col("locator_normalized").alias("locator"), "heading_path")
+    return q, durable(evidence.evidence_pack(hits, "qid", ranges, around, q.where(F.size("locators") > 0)))
 
 
-@query(f"WITH {_PACK} SELECT qid, rk, source_kind, hit_id, score, 'ev-' || lpad(CAST(rk AS VARCHAR), 4, '0') AS evidence_id FROM pk")
+@query(f"WITH RECURSIVE {_PACK} SELECT qid, rk, source_kind, hit_id, score, 'ev-' || lpad(CAST(rk AS VARCHAR), 4, '0') AS evidence_id FROM pk")
 def evidence_pack(s: SparkSession, d: str) -> DataFrame:
-    return _pack(s, d).select("qid", "rk", "source_kind", "hit_id", "score", "evidence_id")
+    return _pack(s, d)[1].select("qid", "rk", "source_kind", "hit_id", "score", "evidence_id")
 
 
-_QUAL = f"""{_PACK}, {_CUR}, dv AS (SELECT current_version_id AS version_id, min(document_id) AS document_id FROM cur WHERE current_version_id IS NOT NULL GROUP BY 1), jq AS (SELECT pk.*, document_id, starts_with(source_kind, 'retrieval_unit') AS iu, coalesce(locator, '') <> '' AS hl FROM pk LEFT JOIN dv USING (version_id)),
-pr AS (SELECT qid, document_id, count(*) AS n, count(*) FILTER (WHERE iu) AS u, bool_or(hl) AS l, sum(CASE WHEN iu THEN 4 ELSE 1 END + CAST(hl AS INT)) AS q FROM jq GROUP BY 1, 2),
+_QUAL = f"""{_PACK}, jq AS (SELECT pk.*, document_id, starts_with(source_kind, 'retrieval_unit') AS iu, coalesce(locator, '') <> '' AS hl, coalesce(heading_path, '') <> '' AS hh FROM pk LEFT JOIN vd USING (version_id)),
+pr AS (SELECT qid, document_id, count(*) AS n, count(*) FILTER (WHERE iu) AS u, bool_or(hl) AS l, sum(CASE WHEN iu THEN 4 ELSE 1 END + CAST(hl AS INT) + CAST(hh AS INT)) AS q FROM jq GROUP BY 1, 2),
 ql AS (SELECT qid, CAST(sum(n) AS BIGINT) AS n_items, CAST(sum(u) AS BIGINT) AS n_units, count(document_id) AS n_documents, max(n) AS dominant, bool_or(l) AS has_locator, CAST(sum(q) AS BIGINT) AS quality FROM pr GROUP BY 1)"""
 
 
-def _quality(s: SparkSession, d: str) -> DataFrame:
+def _quality(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = current(s, d).where("current_version_id is not null").groupBy(F.col("current_version_id").alias("version_id")).agg(F.min("document_id").alias("document_id"))
-    return evidence.evidence_quality(_pack(s, d), "qid", docs)
+    q, pack = _pack(s, d)
+    return q, evidence.evidence_quality(pack, "qid", docs)
 
 
-@query(f"WITH {_QUAL} SELECT * FROM ql")
+@query(f"WITH RECURSIVE {_QUAL} SELECT * FROM ql")
 def evidence_quality(s: SparkSession, d: str) -> DataFrame:
-    return _quality(s, d)
+    return _quality(s, d)[1]
 
 
-@query(f"""WITH {_QUAL}, f AS (SELECT *, (n_documents = 1 AND (n_units >= 2 OR (n_units >= 1 AND (has_locator OR dominant >= 3 OR n_items >= 4)))) OR (n_documents <= 2 AND n_units >= 2 AND dominant >= 3 AND (has_locator OR n_items >= 4)) AS strong FROM ql)
-SELECT qid, CASE WHEN n_documents >= 2 AND dominant < 2 AND NOT has_locator THEN 'clarify' WHEN strong THEN 'direct' ELSE 'partial' END AS suggested_mode FROM f""")
+@query(f"""WITH RECURSIVE {_QUAL}, qx AS (SELECT item_id AS qid, item_id IN (SELECT item_id FROM vq) AS ed, item_id IN (SELECT qid FROM lo) AS el, len({sql.tokens('q')}) AS nt FROM nq), f AS (SELECT *, (n_documents = 1 AND (n_units >= 2 OR (n_units >= 1 AND (has_locator OR dominant >= 3 OR n_items >= 4)))) OR (n_documents <= 2 AND n_units >= 2 AND dominant >= 3 AND (has_locator OR ed OR n_items >= 4)) AS strong FROM ql JOIN qx USING (qid))
+SELECT qid, CASE WHEN NOT ed AND NOT el AND nt <= 4 AND n_documents >= 2 AND dominant < 2 AND NOT has_locator THEN 'clarify' WHEN strong THEN 'direct' ELSE 'partial' END AS suggested_mode FROM f""")
 def answer_mode(s: SparkSession, d: str) -> DataFrame:
-    q = evidence.suggested_mode(_quality(s, d), F.lit("no_answer"), F.lit(False), F.lit(False), F.lit(3))
-    return q.select("qid", "suggested_mode")
+    q, quality = _quality(s, d)
+    told = quality.join(q.select("qid", (F.size("codes") > 0).alias("_d"), (F.size("locators") > 0).alias("_l"), F.size("tokens").alias("_n")), "qid")
+    return evidence.suggested_mode(told, F.lit("no_answer"), F.col("_d"), F.col("_l"), F.col("_n")).select("qid", "suggested_mode")
 
 
 # -- metrics ---------------------------------------------------------------------------------------------------------------

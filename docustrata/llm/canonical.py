@@ -1,7 +1,8 @@
 """Mapping free-entered values to a canonical list.
 
 The spellings of all reference words, with their transliterations, form one trie, searched with a Levenshtein automaton whose
-states are rows of edit distances (a swap of neighbours is one edit). A second trie holds the entries as paths of words, and alias
+states are bands of edit distances (a swap of neighbours is one edit); its moves depend only on where the next letter stands near the
+diagonal, so they are worked out once and looked up from then on. A second trie holds the entries as paths of words, and alias
 paths that mean the same entry: first two words in the other order, linking words left out, words written together. A value walks the
 second trie over the words the first one returns, and every entry reached within a distance that depends on length is returned.
 """
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.llm.lookalikes import python_form
-from docustrata.session import durable, target_partitions
+from docustrata.session import durable, kept, target_partitions
 
-#: Reference entries are broadcast; more characters of them than this are refused rather than spread unchecked.
-REFERENCE_CHARS = 50_000_000
+#: Reference entries are broadcast; more characters of them than this are searched in several shards.
+REFERENCE_CHARS = 1_000_000
 #: So many letters a word may have more than the typed one and still have its own, larger distance: more than any allowed distance can add.
 REACH = 3
 #: Distinct values that a task searches about.
@@ -60,6 +61,53 @@ def folded(text: str) -> str:
     return low
 
 
+class Automaton:
+    """The Levenshtein automaton for at most ``most`` edits, the same for all words.
+
+    A state is a band: for each place t the distance of what was read to the first j letters of the word, j = read - most + t, and what
+    a swap that is half read would cost there. A move is named by the state, by which of the letters around the band equal the one
+    that is read, and by the last place of the band that lies within the word.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.places = most, 2 * most + 1
+        self.far = most + 1
+        self.bits = self.places + 2
+        self.window = (1 << self.bits) - 1
+        far = (self.far,) * self.places
+        self.rows: list[tuple[int, ...]] = [tuple(self.far if t < most else t - most for t in range(self.places))]
+        self.swaps: list[tuple[int, ...]] = [far]
+        self.number = {(self.rows[0], far): 0}
+        self.moves: dict[int, int] = {}
+
+    def start(self, n: int) -> int:
+        """The state before anything is read of a word of n letters."""
+        row = tuple(c if t - self.most <= n else self.far for t, c in enumerate(self.rows[0]))
+        return self._state(row, self.swaps[0])
+
+    def _state(self, row: tuple[int, ...], swap: tuple[int, ...]) -> int:
+        if (row, swap) not in self.number:
+            self.number[row, swap] = len(self.rows)
+            self.rows.append(row)
+            self.swaps.append(swap)
+        return self.number[row, swap]
+
+    def move(self, state: int, near: int, last: int) -> int:
+        """The next state, -1 where every distance is too great. ``near``: bit u is the letter read - most - 1 + u; ``last``: the last place within the word."""
+        key = (state * self.places + last) << self.bits | near
+        if key not in self.moves:
+            row, swap, far = self.rows[state], self.swaps[state], self.far
+            new, waiting = [], []
+            for t in range(self.places):
+                cost = far
+                if t <= last:
+                    cost = min(row[t] + (not near >> t + 1 & 1), new[t - 1] + 1 if t else far, row[t + 1] + 1 if t + 1 < self.places else far, swap[t] if near >> t & 1 else far, far)
+                new.append(cost)
+                waiting.append(min(row[t] + 1, far) if near >> t + 2 & 1 else far)
+            self.moves[key] = self._state(tuple(new), tuple(waiting)) if min(new) <= self.most else -1
+        return self.moves[key]
+
+
 class WordTrie:
     """Spellings of words, searched by a Levenshtein automaton."""
 
@@ -68,6 +116,7 @@ class WordTrie:
         self.known: dict[str, set[int]] = {}
         self.joined: set[int] = set()
         self._memory: dict[tuple[str, bool, int], dict[int, int]] = {}
+        self._automata: dict[int, Automaton] = {}
 
     def add(self, spelling: str, word: int) -> None:
         self.known.setdefault(spelling, set()).add(word)
@@ -91,28 +140,42 @@ class WordTrie:
             return dict.fromkeys(self.known.get(typed, ()), 0)
         n = len(typed)
         most = allowed(n + reach)
+        if most not in self._automata:
+            self._automata[most] = Automaton(most)
+        auto = self._automata[most]
+        places, bits, window, rows, known, work_out = auto.places, auto.bits, auto.window, auto.rows, auto.moves.get, auto.move
+        at: dict[str, int] = {}
+        for i, ch in enumerate(typed):
+            at[ch] = at.get(ch, 0) | 1 << i
         found: dict[int, int] = {}
-        todo = [(self.root, "", list(range(n + 1)), None, 0)]
+        start_of = cut and n >= 3
+        todo = [(self.root, 0, auto.start(n))]
         while todo:
-            node, last, row, before, depth = todo.pop()
+            node, depth, state = todo.pop()
+            place = n - depth + most
+            if "" in node and 0 <= place < places and rows[state][place] <= min(most, allowed(max(n, depth))):
+                d = rows[state][place]
+                for w in node[""]:
+                    found[w] = min(found.get(w, 99), d)
+            last = min(places - 1, place - 1)
+            if last < 0:
+                continue
+            shift = depth - most - 1
+            base = state * places + last << bits
             for ch, child in node.items():
                 if ch == "":
-                    if row[n] <= allowed(max(n, depth)):
-                        for w in child:
-                            found[w] = min(found.get(w, 99), row[n])
                     continue
-                # only cells within the allowed distance of the diagonal can count
-                new = [row[0] + 1] + [n + most] * n
-                for j in range(max(1, depth + 1 - most), min(n, depth + 1 + most) + 1):
-                    cost = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (typed[j - 1] != ch))
-                    if before is not None and j > 1 and typed[j - 1] == last and typed[j - 2] == ch:
-                        cost = min(cost, before[j - 2] + 1)
-                    new[j] = cost
-                if cut and n >= 3 and new[n] <= (0 if n < 4 else 1) and depth + 1 >= n - 1:
+                near = at.get(ch, 0)
+                near = (near >> shift if shift >= 0 else near << -shift) & window
+                to = known(base | near)
+                if to is None:
+                    to = work_out(state, near, last)
+                if to < 0:
+                    continue
+                if start_of and depth + 1 >= n - 1 and 0 <= place - 1 < places and rows[to][place - 1] <= (0 if n < 4 else 1):
                     for w in set(self._below(child)) - self.joined:
-                        found[w] = min(found.get(w, 99), new[n])
-                if min(new) <= most:
-                    todo.append((child, ch, new, row, depth + 1))
+                        found[w] = min(found.get(w, 99), rows[to][place - 1])
+                todo.append((child, depth + 1, to))
         if typed in self.known and not cut:  # a word that is right as it stands isn't two written together, of which one would be made up
             found = {w: d for w, d in found.items() if d == 0 or w not in self.joined}
         return found
@@ -128,8 +191,22 @@ class WordTrie:
                     todo.append(child)
 
     def contracted(self, head: str, tail: str) -> dict[int, int]:
-        """Words of which a contraction keeps the start and the end."""
-        return {w: 0 for s, ws in self.known.items() if len(s) > len(head) + len(tail) and s.startswith(head) and s.endswith(tail) for w in ws}
+        """Words of which a contraction keeps the start and the end: what lies below the start in the trie and ends so."""
+        node = self.root
+        for ch in head:
+            if ch not in node:
+                return {}
+            node = node[ch]
+        found: dict[int, int] = {}
+        todo = [(node, "")]
+        while todo:
+            node, rest = todo.pop()
+            for ch, child in node.items():
+                if ch != "":
+                    todo.append((child, rest + ch))
+                elif len(rest) > len(tail) and rest.endswith(tail):
+                    found.update(dict.fromkeys(child, 0))
+        return found
 
 
 class EntryTrie:
@@ -276,45 +353,61 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """Distinct (list_name, value) to entry_id (-1: none), distance, n_candidates and the candidates (all entries within distance).
 
     ``values`` has list_name and value; null and blank values are left out; each distinct value is searched once, however often it
-    was typed. ``entries`` (entry_id, list_name, entry_text) is the reference, read to the driver after a check of its size.
+    was typed; a value of a list that has no entries means none. ``entries`` (entry_id, list_name, entry_text) is the reference: it is
+    read to the driver in shards of at most REFERENCE_CHARS characters (as their sizes are counted first), each value is searched in every
+    shard, and the nearest entry of all counts.
     """
-    size = entries.agg(F.coalesce(F.sum(F.length("entry_text")), F.lit(0))).first()[0]
-    if size > REFERENCE_CHARS:
-        raise ValueError(f"the reference list has {size} characters, more than {REFERENCE_CHARS} can be held by each worker")
-    lists: dict[str, list] = {}
-    for r in entries.where("entry_text is not null and list_name is not null").collect():
-        lists.setdefault(r.list_name, []).append((r.entry_id, r.entry_text))
-    shared = values.sparkSession.sparkContext.broadcast(lists)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, EntryTrie] = {}
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for name, text in zip(names, texts):
-                if name not in tries:
-                    tries[name] = EntryTrie(shared.value.get(name, []))
-                exact = tries[name].exact.get(text)
-                found = {exact: 0} if exact is not None else tries[name].matches(text)
-                e = best(found)
-                rows.append((name, text, e, found.get(e), sorted(found)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], ["list_name", "value", "entry_id", "distance", "candidates"])
-
+    spark = values.sparkSession
+    named = entries.where("entry_text is not null and list_name is not null and entry_id is not null").select("entry_id", "list_name", "entry_text")
+    size = named.agg(F.coalesce(F.sum(F.length("entry_text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // REFERENCE_CHARS))
     distinct = durable(values.where("list_name is not null and value is not null").select("list_name", "value").distinct())
     # a search costs far more than its row weighs, so tasks are dealt by number of values, not by bytes
-    parts = target_partitions(values.sparkSession, distinct.count(), VALUES_PER_TASK)
-    return distinct.repartition(parts).mapInArrow(run, "list_name string, value string, entry_id bigint, distance int, candidates array<bigint>")
+    dealt = distinct.repartition(target_partitions(spark, distinct.count(), VALUES_PER_TASK))
+
+    def search(shard: int) -> DataFrame:
+        lists: dict[str, list] = {}
+        for r in named.where(F.pmod(F.xxhash64("list_name", "entry_id"), F.lit(shards)) == shard).collect():
+            lists.setdefault(r.list_name, []).append((r.entry_id, r.entry_text))
+        shared = spark.sparkContext.broadcast({"lists": lists})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tries = kept(shared, "tries", lambda fields: {name: EntryTrie(own) for name, own in fields["lists"].items()})
+            for batch in batches:
+                rows = []
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    trie = tries.get(name)
+                    exact = trie.exact.get(text) if trie else None
+                    found = {} if trie is None else {exact: 0} if exact is not None else trie.matches(text)
+                    e = best(found)
+                    rows.append((name, text, e, found.get(e), sorted(found)))
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.list_(pa.int64()))], ["list_name", "value", "entry_id", "distance", "candidates"])
+
+        return dealt.mapInArrow(run, "list_name string, value string, entry_id bigint, distance int, candidates array<bigint>")
+
+    found = search(0)
+    if shards == 1:
+        return found
+    for shard in range(1, shards):
+        found = found.unionByName(search(shard))
+    nearest = F.min(F.when(F.col("entry_id") >= 0, F.struct("distance", "entry_id")))
+    every = found.groupBy("list_name", "value").agg(nearest.alias("n"), F.sort_array(F.flatten(F.collect_list("candidates"))).alias("candidates"))
+    return every.select("list_name", "value", F.coalesce("n.entry_id", F.lit(-1)).cast("bigint").alias("entry_id"), F.col("n.distance").alias("distance"), "candidates")
 
 
 def typed_values(aliases: DataFrame, cards: DataFrame) -> DataFrame:
-    """The registry's hand-typed values: table_name, record_id, list_name, value; null and blank ones are left out."""
+    """The registry's hand-typed values: table_name, record_id, list_name, value; null and blank ones are left out.
+
+    An alias_type without a list gives list_name '' (no entry is meant); of a record with differing rows the least value counts.
+    """
     full = lambda c: F.length(F.regexp_replace(c, r"(?U)\s+", "")) > 0
     raw = F.when(full("alias_raw"), F.col("alias_raw")).otherwise(F.col("alias_normalized"))
-    kind = F.when(F.col("alias_type") == "display_code", "designation").when(F.col("alias_type") == "title", "title")
+    kind = F.when(F.col("alias_type") == "display_code", "designation").when(F.col("alias_type") == "title", "title").otherwise("")
     a = aliases.select(F.lit("document_aliases").alias("table_name"), F.col("alias_id").alias("record_id"), kind.alias("list_name"), raw.alias("value"))
     c = cards.select(F.lit("document_cards").alias("table_name"), F.col("card_id").alias("record_id"), F.lit("card_status").alias("list_name"), F.col("card_status_raw").alias("value"))
-    return a.unionByName(c).where(full("value") & F.col("list_name").isNotNull()).dropDuplicates(["table_name", "record_id"])
+    rows = a.unionByName(c).where(full("value") & F.col("record_id").isNotNull())
+    return rows.groupBy("table_name", "record_id").agg(F.min(F.struct("value", "list_name")).alias("v")).select("table_name", "record_id", "v.list_name", "v.value")
 
 
 def mapped_values(aliases: DataFrame, cards: DataFrame, entries: DataFrame) -> DataFrame:

@@ -234,13 +234,15 @@ def test_known_words_have_neighbours_and_long_words_their_distance():
         assert typed not in spellings or words.search(typed, False)[spellings.index(typed)] == 0
 
 
-def test_mapped_values_tables(spark):
+def test_mapped_values_tables(spark, monkeypatch):
     aliases = spark.createDataFrame([("A1", "D", "гост р 863-2001", None, "display_code", 1), ("A1", "D", "гост р 863-2001", None, "display_code", 1), ("A2", "D", " ", "сп 150 1402 2019", "display_code", 1), ("A3", None, None, None, "title", 1), ("A4", None, "ГОСТ Р 863-2001", "x", "display_code", 1), ("A5", None, "ы" * 30_000, None, "title", 1), ("A6", None, "x", None, None, 1)], "alias_id string, document_id string, alias_raw string, alias_normalized string, alias_type string, entry_id int")
     cards = spark.createDataFrame([("K1", "имеет силу!"), ("K2", None), ("K3", "???")], "card_id string, card_status_raw string")
     entries = spark.createDataFrame(ENTRIES, "entry_id bigint, list_name string, entry_text string")
     got = {(r.table_name, r.record_id): r.entry_id for r in canonical.mapped_values(aliases, cards, entries).collect()}
-    assert got == {("document_aliases", "A1"): 1, ("document_aliases", "A2"): 2, ("document_aliases", "A5"): -1, ("document_cards", "K1"): 21, ("document_cards", "K3"): -1}
+    assert got == {("document_aliases", "A1"): 1, ("document_aliases", "A2"): 2, ("document_aliases", "A5"): -1, ("document_aliases", "A6"): -1, ("document_cards", "K1"): 21, ("document_cards", "K3"): -1}
     assert canonical.mapped_values(aliases.limit(0), cards.limit(0), entries).count() == 0
+    monkeypatch.setattr(canonical, "REFERENCE_CHARS", 40)  # several shards
+    assert {(r.table_name, r.record_id): r.entry_id for r in canonical.mapped_values(aliases, cards, entries).collect()} == got
 
 
 # -- tokens ----------------------------------------------------------------------------------------------------------------

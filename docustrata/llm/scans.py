@@ -3,15 +3,18 @@
 Three averaged perceptrons are trained in the query itself. One marks the furniture of a page (running headers and footers, page
 numbers, page marks) by the line's shape, its position on the page and its repetition in the version; it learns on synthetic
 pages. One, the character editor, predicts keep, replace, delete and insert for each character of a word that the corpus doesn't
-know; it learns on rare words of the corpus that lie beside frequent ones, and a correction counts where it gives a known word.
-One predicts the line-join operation at a hyphen. The lexicon is counted over all rows; it holds every word of at least
-LEXICON_SHARE of all words, so at most 1 / LEXICON_SHARE of them.
+know; it learns on rare words of the corpus that lie beside frequent ones, and a correction counts where it gives a known word, or
+where the editor is surer of it than of any edit of a known word. One predicts the line-join operation at a hyphen. The lexicon is
+counted over all rows, inside lines, where no broken words stand; it holds every word that occurs LEAST_COUNT times and isn't a
+misreading of a far more frequent one, at any size of the corpus, but no more than the LEXICON_WORDS most frequent ones, which each
+worker holds.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.llm.perceptron import Weights, predict, scores, train
-from docustrata.session import durable, spread
+from docustrata.operators.skew import hot_keys, replicated, salted
+from docustrata.session import durable, kept, spread
 
-LEXICON_SHARE = 1e-5
 LEAST_COUNT = 3
+#: Bound of what each worker holds: some 2 KB a word.
+LEXICON_WORDS = 150_000
 #: A longer run of characters is no word: it is neither counted nor judged.
-LONGEST = 40
-#: A word is a misreading where a word that differs in one place is this many times as frequent.
-RATIO = 50
+LONGEST = 100
+#: A word is a misreading where a word with another letter in one place is RATIO times as frequent, or one with a letter more or less RATIO_LENGTH times.
+RATIO, RATIO_LENGTH = 30, 400
 #: A word of at most so many letters (a part of a word, an abbreviation) lies beside too many others for every edit to count: besides
 #: replacements that give a word of four letters or more, only the operations likeliest to the editor are tried. All edits of longer ones are.
 SHORT = 4
@@ -36,6 +41,7 @@ RARE_WORDS, PAGES, BREAKS = 6_000, 400, 4_000
 HYPHENS = "-\u2010\u00ad\u00ac"
 _EDGE = ".,;:!?()[]«»\"“”…|*"
 _CYR = re.compile("[а-яё]", re.I)
+_TOKEN = re.compile("[^\\s\U00010000-\U0010ffff]+")
 _MARK = re.compile(r"[\[({]{1,2}\s*PAGE\s*:?\s*\d+\s*[\])}]{1,2}|-+\s*PAGE\s+\d+\s*-+", re.I)
 _CODE = re.compile(r"(?:ГОСТ(?:\s*Р)?|СП|СНиП|СНИП)[\s.,~]*\d[\d\s.,~і-]*", re.I)
 #: What scanning makes of digits.
@@ -48,9 +54,9 @@ def core(token: str) -> str:
 
 
 def words_in(line: str) -> list[tuple[int, str]]:
-    """(position, word without outer punctuation) of the tokens that hold a Cyrillic letter."""
+    """(position, word without outer punctuation) of the tokens that hold a Cyrillic letter; signs beyond the basic plane belong to no word."""
     out = []
-    for m in re.finditer(r"\S+", line):
+    for m in _TOKEN.finditer(line):
         w = m[0].lstrip(_EDGE)
         at = m.start() + len(m[0]) - len(w)
         w = w.rstrip(_EDGE)
@@ -71,17 +77,16 @@ def broken_end(line: str) -> tuple[str, str] | None:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and how often they occur; of texts of several lines without what may be a part of a word: a small first word of a line, and one before a hyphen at its end."""
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
-            skip = False
-            for line in (text or "").split("\n"):
-                tokens = line.lower().split()
-                if not tokens:
-                    continue
-                broken = broken_end(line) is not None
-                counts.update(tokens[1 if skip else 0 : -1 if broken else None])
-                skip = broken
+            lines = (text or "").split("\n")
+            for line in lines:
+                tokens = line.split()
+                if len(lines) > 1 and tokens:
+                    tokens = tokens[1 if core(tokens[0])[:1].islower() else 0 : -1 if broken_end(line) else None]
+                counts.update(t.lower() for t in tokens)
         merged: Counter[str] = Counter()
         for t, n in counts.items():
             w = core(t)
@@ -108,7 +113,17 @@ class Lexicon:
                 for i in range(len(w)):
                     k = f"{w[:i]}*{w[i + 1 :]}"
                     top[k] = max(top.get(k, 0), n)
-        self.counts = {w: n for w, n in plain.items() if len(w) <= 3 or n * RATIO > max(top[f"{w[:i]}*{w[i + 1 :]}"] for i in range(len(w)))}
+
+        def misread(w: str, n: int) -> bool:
+            if len(w) <= 3:
+                return False
+            if n * RATIO <= max(top[f"{w[:i]}*{w[i + 1 :]}"] for i in range(len(w))):
+                return True
+            longer = max(top.get(f"{w[:i]}*{w[i:]}", 0) for i in range(len(w) + 1))
+            shorter = max(plain.get(w[:i] + w[i + 1 :], 0) for i in range(len(w))) if len(w) > 4 else 0
+            return n * RATIO_LENGTH <= max(longer, shorter)
+
+        self.counts = {w: n for w, n in plain.items() if not misread(w, n)}
         for w in self.counts:
             if len(w) > 3:
                 for i in range(len(w)):
@@ -130,6 +145,11 @@ def beside(w: str, known: dict[str, int], masks: dict[str, list[str]]) -> list[t
         if i + 1 < len(w):
             for v in masks.get(f"{w[:i]}*{w[i + 2 :]}", ()):
                 found.append((v, [*keep[:i], f"R{v[i]}", "D", *keep[i + 2 :]]))
+        if i + 2 < len(w):
+            for v in masks.get(f"{w[:i]}*{w[i + 3 :]}", ()):
+                found.append((v, [*keep[:i], f"R{v[i]}", "D", "D", *keep[i + 3 :]]))
+        if i > 3 and len(w) - i > 4 and w[:i] in known and w[i + 1 :] in known:
+            found.append((f"{w[:i]} {w[i + 1 :]}", [*keep[:i], "R ", *keep[i + 1 :]]))
         if len(w) > 4 and w[:i] + w[i + 1 :] in known:
             found.append((w[:i] + w[i + 1 :], [*keep[:i], "D", *keep[i + 1 :]]))
     if len(w) > 4:
@@ -200,6 +220,12 @@ def corrected(w: str, weights: Weights, known: dict[str, int], masks: dict[str,
     return min(edits, key=rank)[0]
 
 
+def surest(w: str, weights: Weights) -> float:
+    """By how much the editor prefers its surest edit of a word to leaving the character as it is; less than nought where it would keep all."""
+    at = (scores(weights, _char_features(w, i)) for i in range(len(w) + 1))
+    return max((max((x for op, x in s.items() if op != "K"), default=-1e9) - s.get("K", 0.0) for s in at), default=-1e9)
+
+
 # -- line joins ------------------------------------------------------------------------------------------------------------
 
 
@@ -280,7 +306,7 @@ def _shape(s: str) -> str:
 def line_key(line: str) -> str:
     """The letters of a line, for finding it again elsewhere; empty for a line that can't be running matter."""
     s = line.strip()
-    if not s or len(s) > 90 or "|" in s or s[0].islower() or s[-1] in ";,:" + HYPHENS or (s[-1] == "." and len(s) > 30):
+    if not s or len(s) > 200 or "|" in s or s[0].islower() or s[-1] in ";,:" + HYPHENS or (s[-1] == "." and len(s) > 30):
         return ""
     letters = "".join(ch for ch in s.casefold() if ch.isalpha())
     return letters if len(letters) >= 5 else ""
@@ -395,6 +421,9 @@ class Model:
         self.editor = train(editor_examples(lexicon, rare), "K")
         self.joins = train(join_examples(lexicon), "join")
         self.furniture = train(page_examples(lexicon), "body")
+        #: The surest edit of a known word: beyond it an edit counts even where it gives no known word.
+        common = sorted(self.known, key=lambda w: (-self.known[w], w))[:RARE_WORDS]
+        self.margin = max((surest(w, self.editor) for w in common), default=0.0)
 
     def fields(self) -> dict:
         return vars(self)
@@ -404,31 +433,37 @@ class Repairer:
     """Applies the models to texts."""
 
     def __init__(self, fields: dict) -> None:
-        self.known, self.heads, self.masks, self.editor, self.joins, self.weights = (fields[k] for k in ("known", "heads", "masks", "editor", "joins", "furniture"))
+        self.known, self.heads, self.masks, self.editor, self.joins, self.weights, self.margin = (fields[k] for k in ("known", "heads", "masks", "editor", "joins", "furniture", "margin"))
+        self.backwards = sorted(w[::-1] for w in self.known)
         self.memory: dict[str, str | None] = {}
         self.fine: set[str] = set()
 
     def fix(self, word: str) -> str | None:
-        """The known word meant by a misread one; the word itself, marked, where it is misread beyond repair; None for a sound or unknown one."""
+        """The known word meant by a misread one; the word itself, marked, where the editor is sure that it is misread and finds none; None for a sound or unknown one."""
         low = word.lower()
         if low in self.known or len(low) > LONGEST or len(_CYR.findall(low)) < 3:
             return None
         if low not in self.memory:
             if len(self.memory) > 300_000:
                 self.memory.clear()
-            self.memory[low] = corrected(low, self.editor, self.known, self.masks)
+            made = corrected(low, self.editor, self.known, self.masks)
+            self.memory[low] = low if made is None and self.misread(low) else made
         made = self.memory[low]
+        if made == low:
+            return word
         if made is not None:
             return made.upper() if word.isupper() else made.capitalize() if word[0].isupper() else made
-        return word if self.alien(low) else None
+        return None
+
+    def is_rest(self, word: str) -> bool:
+        """Whether a word is how a known one ends."""
+        back = word[::-1]
+        i = bisect_left(self.backwards, back)
+        return i < len(self.backwards) and self.backwards[i].startswith(back)
 
-    @staticmethod
-    def alien(low: str) -> bool:
-        """Signs, Latin letters or digits among the Cyrillic letters of one word; units and classes have none."""
-        if len(low) > LONGEST:
-            return False
-        parts = (p for p in re.split(r"[-/.,]", low) if len(p) > 2 and _CYR.search(p))
-        return any(not re.fullmatch(r"[а-яё]+|[а-яё]{1,3}[\d²³]+|\d+[а-яё]{1,4}", p) for p in parts)
+    def misread(self, low: str) -> bool:
+        """Whether the editor is surer of an edit in a word or a part of one than of any in a known word."""
+        return len(low) <= LONGEST and surest(low, self.editor) > self.margin
 
     def run(self, text: str, repeated: set[int]) -> tuple[list[tuple[int, str]], str]:
         """(line number from 1, kind) of the traces, and the text as continuous paragraphs."""
@@ -452,7 +487,9 @@ class Repairer:
             replaced: list[tuple[int, int, str]] = []
             bad = False
             start = 0
-            if carry and found and found[0][0] <= len(line) - len(line.lstrip()) + 1:
+            # a capital begins another sentence (or what is no furniture to the model): the rest of the word isn't here
+            goes_on = carry and found and found[0][0] <= len(line) - len(line.lstrip()) + 1 and (found[0][1][0].islower() or not found[0][1][0].isalpha() or carry[-1:].isupper())
+            if goes_on:
                 at, tail = found[0]
                 start = 1
                 joins = predict(self.joins, _join_features(carry.lower(), core(tail).lower(), carried_hyphen, self.known, self.heads), "join") == "join"
@@ -467,7 +504,11 @@ class Repairer:
                     bad |= in_tail
                 replaced.append((0, at + len(tail), made or whole))
             elif carry:
+                if predict(self.joins, _join_features(carry.lower(), "", carried_hyphen, self.known, self.heads), "join") == "join":
+                    cases.append((carried_from + 1, "hyphen"))
                 replaced.append((0, 0, carry + " "))
+            elif not k and len(lines) > 1 and found and found[0][0] <= len(line) - len(line.lstrip()) + 1 and self.is_rest(found[0][1]):
+                start = 1  # of a word that the page before began
             stop = len(found)
             if end and found and core(found[-1][1].rstrip(HYPHENS)) and line.rstrip().endswith(found[-1][1]):
                 stop -= 1
@@ -504,18 +545,17 @@ class Repairer:
         if carry:
             if predict(self.joins, _join_features(carry.lower(), "", carried_hyphen, self.known, self.heads), "join") == "join":
                 cases.append((carried_from + 1, "hyphen"))
-            if self.alien(carry.lower()):
+            if self.misread(carry.lower()):
                 cases.append((carried_from + 1, "chars"))
             if paragraphs:
                 paragraphs[-1] = f"{paragraphs[-1]} {carry}{carried_hyphen}"
         return sorted(set(cases)), "\n\n".join(p for p in paragraphs if p)
 
-    @staticmethod
-    def _sides(head: str, tail: str, made: str) -> tuple[bool, bool]:
+    def _sides(self, head: str, tail: str, made: str) -> tuple[bool, bool]:
         """Whether a correction of head + tail changes the head, the tail."""
         low, whole, right = head.lower(), (head + tail).lower(), made.lower()
         if whole == right:  # misread beyond repair
-            return Repairer.alien(low), Repairer.alien(tail.lower()) or not Repairer.alien(low)
+            return self.misread(low), self.misread(tail.lower()) or not self.misread(low)
         a = 0
         while a < min(len(whole), len(right)) and whole[a] == right[a]:
             a += 1
@@ -542,20 +582,21 @@ def repaired(texts: DataFrame) -> DataFrame:
     texts = spread(texts.where("record_id is not null and length(trim(text)) > 0").select("table_name", "version_id", "record_id", "text"))
     spark = texts.sparkSession
     counts = durable(texts.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(LEAST_COUNT, total * LEXICON_SHARE)
-    lexicon = {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}
-    rare = [r.word for r in counts.where((F.col("n") < least) & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(RARE_WORDS).collect()]
+    lexicon = {r.word: r.n for r in counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), F.asc("word")).limit(LEXICON_WORDS).collect()}
+    rare = [r.word for r in counts.where((F.col("n") < LEAST_COUNT) & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(RARE_WORDS).collect()]
     shared = spark.sparkContext.broadcast(Model(lexicon, rare).fields())
     several = texts.where(F.contains("text", F.lit("\n")))
     keys = several.mapInArrow(_keys, "table_name string, version_id string, record_id string, line int, key string").distinct()
     # a header may stand on a third of all pages: its key is counted before it is joined, and the counts are one row each
     keyed = durable(keys)
-    often = keyed.groupBy("table_name", "version_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = keyed.join(often, ["table_name", "version_id", "key"], "left_semi").groupBy("table_name", "record_id").agg(F.collect_set("line").alias("again"))
+    place = ["table_name", "version_id", "key"]
+    often = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = hot_keys(keyed, place)
+    found = salted(keyed, hot, place, "record_id").join(replicated(often.select(*place), hot, place), [*place, "_salt"])
+    again = found.groupBy("table_name", "record_id").agg(F.collect_set("line").alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(shared.value)
+        repairer = kept(shared, "repairer", Repairer)
         cases_type = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             done = [repairer.run(text, set(lines or ())) for text, lines in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]

@@ -49,18 +49,23 @@ _AS_DIGIT = str.maketrans("lIіiОоOoЗз", "1111000033")
 _ROMAN = re.compile(r"[ivxlcIVXLC]{1,6}")
 
 
+def is_word(w: str) -> bool:
+    """Whether a token is judged as a word: it holds a Cyrillic letter, or is all Latin letters."""
+    return _CYR.search(w) is not None or (w.isascii() and w.isalpha())
+
+
 def core(token: str) -> str:
     return token.strip(_EDGE)
 
 
 def words_in(line: str) -> list[tuple[int, str]]:
-    """(position, word without outer punctuation) of the tokens that hold a Cyrillic letter; signs beyond the basic plane belong to no word."""
+    """(position, word without outer punctuation) of the tokens that are words; signs beyond the basic plane belong to no word."""
     out = []
     for m in _TOKEN.finditer(line):
         w = m[0].lstrip(_EDGE)
         at = m.start() + len(m[0]) - len(w)
         w = w.rstrip(_EDGE)
-        if _CYR.search(w):
+        if is_word(w):
             out.append((at, w))
     return out
 
@@ -90,15 +95,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: Counter[str] = Counter()
         for t, n in counts.items():
             w = core(t)
-            if len(w) <= LONGEST and _CYR.search(w):
+            if len(w) <= LONGEST and is_word(w):
                 merged[w] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.string()), pa.array(list(merged.values()), pa.int64())], ["word", "n"])
 
 
 def _mixed(word: str) -> bool:
-    """A word of Cyrillic letters with something else among them; units, classes and compounds are none."""
+    """A word with something else among its letters; units, classes and compounds are none."""
     bare = re.sub(r"[²³]$", "", word)
-    return not re.fullmatch(r"[а-яё]+(?:[-/.][а-яё]+)*|[а-яё]\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?[а-яё]+", bare)
+    return not re.fullmatch(r"[а-яё]+(?:[-/.][а-яё]+)*|[a-z]+|[а-яё]\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?[а-яё]+", bare)
 
 
 class Lexicon:
@@ -441,13 +446,14 @@ class Repairer:
     def fix(self, word: str) -> str | None:
         """The known word meant by a misread one; the word itself, marked, where the editor is sure that it is misread and finds none; None for a sound or unknown one."""
         low = word.lower()
-        if low in self.known or len(low) > LONGEST or len(_CYR.findall(low)) < 3:
+        latin = low.isascii() and low.isalpha()
+        if low in self.known or len(low) > LONGEST or (len(low) if latin else len(_CYR.findall(low))) < (4 if latin else 3):
             return None
         if low not in self.memory:
             if len(self.memory) > 300_000:
                 self.memory.clear()
             made = corrected(low, self.editor, self.known, self.masks)
-            self.memory[low] = low if made is None and self.misread(low) else made
+            self.memory[low] = low if made is None and not latin and self.misread(low) else made
         made = self.memory[low]
         if made == low:
             return word

@@ -155,6 +155,30 @@ def test_scans_find_and_repair(spark):
     assert scans.repaired(spark.createDataFrame([], SCAN)).count() == 0
 
 
+def test_scans_of_english_pages_and_of_words_split_between_pages(spark):
+    rng = random.Random(12)
+    english = ["concrete", "foundation", "bearing", "surface", "pressure", "drainage", "section", "thickness"]
+    russian = ["тепловозащитный", "фундамент", "основание", "превышает", "сооружение", "допускается"]
+    data = []
+    for i in range(200):
+        vocabulary = english if i % 2 else russian
+        lines = [" ".join(rng.choices(vocabulary, k=7)).capitalize() for _ in range(6)]
+        data.append(["ocr", f"V{i}", f"P{i}", lines])
+    data[1][3][2] = "Bearing surface of foundatlon thickness section"
+    data[0][3][0] = "возащитный фундамент допускается основание"
+    data[0][3][3] = "Основание преволает фундамент"
+    data[2][3][2] = "Основание соору}|{ение фундамент прев|||ает"
+    for i in range(20, 80, 2):  # what the editor learns from
+        data[i][3][1] = "Основание соору}|{ение фундамент" if i % 4 else "Основание допускаегся фундамент"
+    data[3][3][4] = "Bearing xxvii surface, section \U0001d6fc\U0001d6fd\U0001d6fe thickness"
+    rows = [(t, v, r, "\n".join(x), 1) for t, v, r, x in data]
+    cases = {(r.record_id, r.line_no) for r in scans.found_cases(scans.repaired(spark.createDataFrame(rows, SCAN))).where("kind = 'chars'").collect()}
+    assert {("P1", 3), ("P2", 3)} <= cases
+    assert {(f"P{i}", 2) for i in range(20, 80, 2)} <= cases
+    assert ("P0", 1) not in cases
+    assert not {c for c in cases if c[0] == "P3"}
+
+
 def test_perceptron_learns():
     data = [([f"f{i % 2}", "b"], "yes" if i % 2 else "no") for i in range(40)]
     w = train(data, "no")

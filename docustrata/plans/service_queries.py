@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docustrata.operators import answers, conversation, html, jobs
@@ -73,6 +73,67 @@ def title_header(s: SparkSession, d: str) -> DataFrame:
     return c.select("card_id", *html.title_header(F.col("h")))
 
 
+# -- list pages and cards of both layouts, made of the cards: even numbers as a grid or a text, odd ones as a table --------
+
+_LAYOUT = "k AS (SELECT DISTINCT card_id, CAST(right(card_id, 1) AS INT) AS no, coalesce(document_code, '') AS code, coalesce(document_title, '') AS title, coalesce(card_status_raw, '') AS status, text_actualized_at AS ad, published_at AS pd FROM document_cards WHERE card_id IS NOT NULL)"
+
+
+def _fields(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "document_cards").where("card_id is not null")
+    return c.select("card_id", F.right("card_id", F.lit(1)).cast("int").alias("no"), *[F.coalesce(x, F.lit("")).alias(y) for x, y in (("document_code", "code"), ("document_title", "title"), ("card_status_raw", "status"))], F.col("text_actualized_at").alias("ad"), F.col("published_at").alias("pd")).distinct()
+
+
+def _escaped(x: str) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(F.col(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def list_pages(s: SparkSession, d: str) -> DataFrame:
+    """For each card a list page with a header, the card's row, a row that all pages of the same last digit share, and one too short."""
+    code, title, status = (_escaped(x) for x in ("code", "title", "status"))
+    grid = F.concat(F.lit('<div class="table_doc"><div class="row header"><div class="cell">1</div><div class="cell"><a href="x.html">No</a></div><div class="cell">S</div></div><div class="row"><div class="cell">1</div><div class="cell"><a href="../doc_'), "card_id", F.lit('.html">'), code, F.lit(". "), title, F.lit('</a></div><div class="cell">'), status, F.lit('</div></div><div class="row"><div class="cell">2</div><div class="cell"><a href="../shared_'), F.col("no").cast("string"), F.lit('.html">"Shared. Title" (ред.)</a></div><div class="cell">ok</div></div><div class="row"><div class="cell">3</div></div></div>'))
+    tab = F.concat(F.lit('<table class="doctab1"><tr class="m1"><td>1<td>2<td>3<td>4<tr class="m3"><td><a href="../Data2/1.pdf">pdf</a> <a href="../Index2/'), "card_id", F.lit('.htm">'), code, F.lit("</a></td><td>"), title, F.lit("</td><td>1</td><td><b>"), status, F.lit('</b></td></tr><tr class="m3"><td><a href="../Index2/shared_'), F.col("no").cast("string"), F.lit('.htm">Shared</a><td>Title<td>1<td>ok<tr class="m3"><td>short</table>'))
+    even = F.col("no") % 2 == 0
+    return _fields(s, d).select(F.col("card_id").alias("page_id"), F.when(even, "http://list.example.org/a/mega_doc/list_0.html").otherwise("http://list.example.org/a/list2/1-0.htm").alias("url"), F.when(even, grid).otherwise(tab).alias("html"))
+
+
+_LIST_ROWS = f"""{_LAYOUT}, j AS (SELECT *, {_SQ("code || '. ' || title")} AS h FROM k), lr AS (SELECT card_id AS page_id, 1 AS row_no, 'http://list.example.org/a/doc_' || card_id || '.html' AS card_url, CASE WHEN len(string_split(h, '"')) > 2 AND string_split(h, '"')[2] <> '' THEN string_split(h, '"')[2] ELSE trim(h, '"') END AS h, NULL AS t, {_SQ('status')} AS status_raw FROM j WHERE no % 2 = 0
+UNION ALL SELECT card_id, 2, 'http://list.example.org/a/shared_' || no || '.html', 'Shared. Title', NULL, 'ok' FROM k WHERE no % 2 = 0 UNION ALL SELECT card_id, 1, 'http://list.example.org/a/Index2/' || card_id || '.htm', {_SQ('code')}, {_SQ('title')}, {_SQ('status')} FROM k WHERE no % 2 = 1 UNION ALL SELECT card_id, 2, 'http://list.example.org/a/Index2/shared_' || no || '.htm', 'Shared', 'Title', 'ok' FROM k WHERE no % 2 = 1),
+ls AS (SELECT page_id, CAST(row_no AS INT) AS row_no, card_url, CASE WHEN t IS NOT NULL THEN h WHEN instr(h, '. ') > 0 THEN trim(substr(h, 1, instr(h, '. ') - 1), ' ') ELSE h END AS document_code, CASE WHEN t IS NOT NULL THEN t WHEN instr(h, '. ') > 0 THEN trim(substr(h, instr(h, '. ') + 2), ' ') ELSE h END AS title, status_raw FROM lr)"""
+
+
+@query(f"WITH {_LIST_ROWS} SELECT * FROM ls")
+def list_rows(s: SparkSession, d: str) -> DataFrame:
+    return html.list_rows(list_pages(s, d))
+
+
+@query(f"WITH {_LIST_ROWS} SELECT 'process_document_card' AS job_type, card_url, arg_min(status_raw, page_id) AS list_status_raw, min(page_id) AS page_id FROM ls GROUP BY card_url")
+def card_job_fanout(s: SparkSession, d: str) -> DataFrame:
+    return html.card_jobs(html.list_rows(list_pages(s, d)))
+
+
+def card_pages(s: SparkSession, d: str) -> DataFrame:
+    """A card page for each card: a text whose title names code, title and dates, or a table of fields."""
+    code, title, status = (_escaped(x) for x in ("code", "title", "status"))
+    ad, pd = F.date_format("ad", "dd.MM.yyyy"), F.date_format("pd", "dd.MM.yyyy")
+    text = F.concat(F.lit('<html><head><title>"'), F.replace(code, F.lit("&quot;"), F.lit("")), F.lit(". "), F.replace(title, F.lit("&quot;"), F.lit("")), F.lit('" '), F.coalesce(F.concat(F.lit("(ред. от "), ad, F.lit(") ")), F.lit("")), F.lit('введен 01.02.2003</title></head><body><span class="s4">1 Область применения</span><span class="s2">Scope of  '), "card_id", F.lit('</span><a href="#" title="СП 1">x</a><a href="#" title="">СП 2</a><a href="#" title="СП 1">y</a> Первоначальный текст документа опубликован в издании 1999 г.</body></html>'))
+    cell = lambda label, value: F.concat(F.lit(f"<tr><td><b>{label}:</b></td><td>"), value, F.lit("</td></tr>"))
+    tab = F.concat(F.lit('<body><h2>Скачать</h2><h2><a href="../pdf/'), "card_id", F.lit('.pdf" title="PDF">p</a><a href="../print.htm" title="Версия для печати">v</a></h2><table class="doctab2">'), cell("Обозначение", F.concat(F.lit('<a class="a1" href="#">'), code, F.lit("</a>"))), cell("Статус", status), cell("Название рус.", title), cell("Дата актуализации", F.coalesce(ad, F.lit("-"))), cell("Дата введения", F.lit("5 марта 2019 г.")), cell("Издан", F.concat(F.lit("Газета № 1 от "), F.coalesce(pd, F.lit("?")))), cell("Нормативные ссылки", F.lit('<ul><li><a href="#">A</a> <a href="#">ГОСТ 1</a><li><a href="#">ГОСТ 2</a></ul>')), F.lit('</table><img class="img2" src="1.gif"/><img class="img2" src="1.gif"></body>'))
+    even = F.col("no") % 2 == 0
+    url = F.when(even, F.lit("http://list.example.org/mega_doc/c.html")).otherwise("http://list.example.org/a/Index2/c.htm")
+    return _fields(s, d).select(F.col("card_id").alias("page_id"), url.alias("url"), F.when(even, text).otherwise(tab).alias("html"))
+
+
+_Q = lambda x: _SQ(f"replace({x}, chr(34), '')")
+
+
+@query(f"""WITH {_LAYOUT}, h AS (SELECT *, {_SQ("replace(code, chr(34), '') || '. ' || replace(title, chr(34), '')")} AS t FROM k WHERE no % 2 = 0)
+SELECT card_id AS page_id, 'text_card' AS source_type, CASE WHEN instr(t, '. ') > 0 THEN trim(substr(t, 1, instr(t, '. ') - 1), ' ') ELSE t END AS document_code, CASE WHEN instr(t, '. ') > 0 THEN trim(substr(t, instr(t, '. ') + 2), ' ') ELSE t END AS document_title, NULL AS card_status_raw, ad AS text_actualized_at, DATE '2003-02-01' AS effective_from, DATE '1999-01-01' AS published_at, 'Scope of ' || card_id AS scope_text, 'СП 1|СП 2' AS refs, NULL AS pdf_url, 'http://list.example.org/mega_doc/c.html' AS html_url, NULL AS print_url, 0 AS n_images, true AS has_full_html, 'ред. от ' || ad AS edition_label FROM h
+UNION ALL SELECT card_id, 'table_card', {_SQ('code')}, {_SQ('title')}, {_SQ('status')}, ad, DATE '2019-03-05', pd, NULL, 'ГОСТ 1|ГОСТ 2', 'http://list.example.org/a/pdf/' || card_id || '.pdf', NULL, 'http://list.example.org/a/print.htm', 1, false, 'актуализация от ' || ad FROM k WHERE no % 2 = 1""")
+def card_data(s: SparkSession, d: str) -> DataFrame:
+    c = html.card_data(card_pages(s, d))
+    return c.withColumns({"refs": F.array_join("normative_references", "|"), "n_images": F.size("image_urls")}).drop("normative_references", "image_urls")
+
+
 @query("""SELECT text_id, CASE WHEN h >= 200 THEN 'html' WHEN p > 0 AND sc >= 0.5 THEN 'pdf' WHEN h > 0 THEN 'html' WHEN p > 0 THEN 'pdf' ELSE 'none' END AS source, CAST(CASE WHEN h >= 200 THEN 1.0 WHEN p > 0 AND sc >= 0.5 THEN sc WHEN h > 0 THEN 0.8 WHEN p > 0 THEN sc ELSE 0.0 END AS DOUBLE) AS confidence, h = 0 AND p = 0 AS needs_ocr
 FROM (SELECT text_id, length(trim(coalesce(combined_text, ''), ' ')) AS p, coalesce(text_layer_score, 0.0) AS sc, CASE CAST(right(text_id, 1) AS INT) % 3 WHEN 0 THEN 250 WHEN 1 THEN 20 ELSE 0 END AS h FROM pdf_texts)""")
 def choose_text_source(s: SparkSession, d: str) -> DataFrame:

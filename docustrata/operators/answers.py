@@ -5,13 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docustrata.functions.text import citation, truncate_tail
+
 CLAIMS = "array<struct<text:string,evidence_ids:array<string>>>"
 
 
 def parsed_claims(raw: Column) -> Column:
-    """Claims of a model's JSON list; of text around it the outermost brackets are read; none where nothing can be read."""
-    inner = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\[.*\]", 0)
-    return F.coalesce(F.from_json(F.when(inner != "", inner), CLAIMS), F.array().cast(CLAIMS))
+    """Claims of a model's JSON: a list of claims, or an object with the list as its field ``claims``; of text around it the outermost brackets are read; none where nothing can be read.
+
+    Only the fields text and evidence_ids are taken.
+    """
+    text = F.coalesce(raw, F.lit(""))
+    inner = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    within = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    listed = F.from_json(F.when((inner != "") & ~text.rlike(r"^[^\[]*\{"), inner), CLAIMS)
+    held = F.from_json(F.when(within != "", within), f"struct<claims:{CLAIMS}>")["claims"]
+    return F.coalesce(listed, held, F.from_json(F.when(inner != "", inner), CLAIMS), F.array().cast(CLAIMS))
+
+
+def default_claims(answers: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """For answers (key, text) that came without claims: the whole text as one claim on all evidence (key, evidence_id); none without text or evidence."""
+    ids = evidence.groupBy(key).agg(F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids"))
+    filled = answers.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).join(ids, key)
+    return filled.select(key, F.lit(1).alias("claim_no"), F.trim("text").alias("text"), "evidence_ids")
+
+
+def grounded_mode(mode: Column, n_evidence: Column, least: int = 2, partial_allowed: bool = True) -> Column:
+    """The mode an answer's evidence allows: direct on fewer than ``least`` pieces becomes partial (clarify where that isn't allowed); without evidence it stays."""
+    return F.when((n_evidence > 0) & (mode == "direct") & (n_evidence < least), "partial" if partial_allowed else "clarify").otherwise(mode)
+
+
+def is_terminal(mode: Column, n_evidence: Column, least: int = 2) -> Column:
+    """Whether another pass over the evidence would add nothing."""
+    return F.when(mode.isin("clarify", "no_answer"), F.lit(True)).when(mode == "partial", n_evidence > 0).when(mode == "direct", n_evidence >= least).otherwise(F.lit(False))
+
+
+def final_mode(n_evidence: Column) -> Column:
+    """The mode after the last pass: partial on any evidence, else no_answer."""
+    return F.when(n_evidence > 0, "partial").otherwise("no_answer")
+
+
+def evidence_bundle(pack: DataFrame, qid: str, limit: int = 900) -> DataFrame:
+    """The evidence of each question (evidence_id, rk, source_kind, code, locator, heading_path, text) as lines of a prompt: qid, bundle. A pack has a few rows."""
+    line = F.concat("evidence_id", F.lit(" | citation="), citation(F.col("code"), F.col("locator"), F.col("heading_path")), F.lit(" | source="), "source_kind", F.lit(" | text="), truncate_tail(F.coalesce("text", F.lit("")), limit))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rk", line.alias("line")))), lambda x: x["line"])
+    return pack.groupBy(qid).agg(F.array_join(lines, "\n").alias("bundle"))
 
 
 def filtered_claims(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,9 @@ from docustrata.functions.scores import ratio_or_one, ratio_or_zero
 from docustrata.functions.text import token_estimate
 
 #: Parameters: targets of an ingestion, by metric; those named 'inactive...' are upper bounds.
-TARGETS = {"registered_rate": 0.95, "card_rate": 0.95, "text_rate": 0.85, "structured_rate": 0.80, "index_rate": 1.0, "inactive_indexed": 0.0}
+TARGETS = {"list_pages_success_rate": 0.95, "active_documents_reaching_card_rate": 0.95, "active_documents_with_raw_rate": 0.90, "active_documents_with_text_rate": 0.85, "active_documents_structured_rate": 0.80, "active_index_documents_with_correct_status_rate": 1.0, "inactive_documents_in_active_index": 0.0}
+#: States of update events.
+UPDATED, UPDATE_FAILED = ["refresh_completed", "skipped_duplicate", "skipped_inactive_source", "skipped_unknown_source"], ["refresh_failed"]
 
 
 def unpivoted(panel: DataFrame) -> DataFrame:
@@ -20,50 +22,114 @@ def unpivoted(panel: DataFrame) -> DataFrame:
     return panel.select(F.explode(pairs).alias("m")).select("m.metric", "m.value")
 
 
-def ingestion_panel(documents: DataFrame, cards: DataFrame, nodes: DataFrame, units: DataFrame) -> DataFrame:
-    """One row of counts and safe rates over documents (document_id, status_normalized, current_version_id).
+def ingestion_panel(documents: DataFrame, jobs: DataFrame, updates: DataFrame, low_confidence: float = 0.7) -> DataFrame:
+    """One row of counts and safe rates over the documents, the jobs and the update events.
 
-    Each side is reduced to one row per key before it is joined, so a document or version of any size weighs one row.
+    documents, one row each: status, has_version, version_is_active, has_source, has_raw, has_text, has_ocr, parse_confidence, processing_status;
+    jobs: job_type, status, payload (JSON text); updates: status. List pages and cards count once for each URL that isn't empty.
+    Three aggregates of one row each are put side by side.
     """
-    carded = cards.where("document_id is not null").select("document_id").distinct().withColumn("_card", F.lit(1))
-    built = nodes.where("version_id is not null").groupBy(F.col("version_id").alias("current_version_id")).agg(F.max((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).cast("int")).alias("_text"), F.max((F.col("node_type") != "paragraph").cast("int")).alias("_tree"), F.count_if(F.col("parse_confidence") < 0.7).alias("_low"))
-    indexed = units.where("version_id is not null").select(F.col("version_id").alias("current_version_id")).distinct().withColumn("_indexed", F.lit(1))
-    wide = documents.join(carded, "document_id", "left").join(built, "current_version_id", "left").join(indexed, "current_version_id", "left")
-    active = F.lower(F.trim("status_normalized")) == "active"
-    one = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
-    counts = wide.agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.count_if(active).alias("active_documents"),
-        F.count("current_version_id").alias("versions"),
-        F.count_if(one("_card")).alias("with_card"),
-        F.count_if(one("_text")).alias("with_text"),
-        F.count_if(one("_tree")).alias("structured"),
-        F.count_if(one("_indexed")).alias("indexed"),
-        F.count_if(one("_indexed") & ~F.coalesce(active, F.lit(False))).alias("inactive_indexed"),
-        F.coalesce(F.sum("_low"), F.lit(0)).alias("low_confidence_nodes"),
-        F.count_distinct(F.when(F.col("current_version_id") != "", F.col("current_version_id"))).alias("distinct_versions"),
+    yes = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    active, inactive = F.coalesce(F.col("status") == "active", F.lit(False)), F.coalesce(F.col("status") == "inactive", F.lit(False))
+    structured, indexed = F.coalesce(F.col("processing_status").isin("normalized", "indexed"), F.lit(False)), F.coalesce(F.col("processing_status") == "indexed", F.lit(False))
+    count = lambda c, name: F.count_if(c).alias(name)
+    d = documents.agg(
+        F.count(F.lit(1)).alias("documents_total"),
+        count(active, "documents_active"),
+        count(inactive, "documents_inactive"),
+        count(~active & ~inactive, "documents_unknown"),
+        count(yes("has_raw"), "documents_with_raw_artifacts"),
+        count(yes("has_text"), "documents_with_extracted_text"),
+        count(yes("has_ocr"), "documents_with_ocr"),
+        count(F.col("parse_confidence") < low_confidence, "documents_with_low_confidence_parse"),
+        count(structured, "documents_structured"),
+        count(indexed, "documents_indexed"),
+        count(active & yes("has_source"), "_card"),
+        count(active & yes("has_raw"), "_raw"),
+        count(active & yes("has_text"), "_text"),
+        count(active & structured, "_structured"),
+        count(active & indexed, "active_index_documents_with_correct_status"),
+        count(inactive & indexed, "inactive_documents_in_active_index"),
+        count(active & ~(yes("has_version") & yes("version_is_active")), "active_documents_without_active_version"),
+        count(active & yes("has_version") & ~yes("has_text"), "active_versions_without_text_source"),
     )
-    rates = {"registered_rate": ("active_documents", "documents"), "card_rate": ("with_card", "documents"), "text_rate": ("with_text", "versions"), "structured_rate": ("structured", "versions"), "index_rate": ("indexed", "with_text")}
-    return counts.withColumns({k: F.bround(ratio_or_one(F.col(n), F.col(d)), 6) for k, (n, d) in rates.items()})
+    url = lambda field: F.nullif(F.get_json_object("payload", f"$.{field}"), F.lit(""))
+    pages = F.when(F.col("job_type") == "parse_list_page", url("list_page_url"))
+    j = jobs.agg(
+        F.count_distinct(F.when(F.col("status") == "completed", pages)).alias("list_pages_processed_successfully"),
+        F.count_distinct(pages).alias("list_pages_total"),
+        F.count_distinct(F.when(F.col("job_type") == "process_document_card", url("card_url"))).alias("document_cards_discovered"),
+    )
+    u = updates.agg(count(F.col("status").isin(*UPDATED, *UPDATE_FAILED), "updates_detected"), count(F.col("status").isin(*UPDATED), "updates_successful"), count(F.col("status").isin(*UPDATE_FAILED), "updates_failed"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    wide = one(d).join(one(j), "_one").join(one(u), "_one").drop("_one")
+    rates = {
+        "list_pages_success_rate": ("list_pages_processed_successfully", "list_pages_total"),
+        "active_documents_reaching_card_rate": ("_card", "documents_active"),
+        "active_documents_with_raw_rate": ("_raw", "documents_active"),
+        "active_documents_with_text_rate": ("_text", "documents_active"),
+        "active_documents_structured_rate": ("_structured", "documents_active"),
+        "active_index_documents_with_correct_status_rate": ("active_index_documents_with_correct_status", "documents_indexed"),
+    }
+    out = wide.withColumns({k: F.bround(ratio_or_one(F.col(n), F.col(of)), 6) for k, (n, of) in rates.items()} | {"active_index_documents_total": F.col("documents_indexed")})
+    return out.drop("_card", "_raw", "_text", "_structured")
 
 
 def compared(metrics: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Metrics against their targets: metric, actual, target, passed; upper bounds for counts named 'inactive...'."""
+    """Metrics against their targets: metric, actual, target, passed; upper bounds for counts named 'inactive...'; and the row 'all'."""
     values = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
     rows = metrics.withColumn("target", F.element_at(values, F.col("metric"))).where("target is not null")
     passed = F.when(F.startswith("metric", F.lit("inactive")), F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target"))
-    return rows.select("metric", F.col("value").alias("actual"), "target", passed.alias("passed"))
+    each = rows.select("metric", F.col("value").alias("actual"), "target", passed.alias("passed"))
+    none = F.lit(None).cast("double")
+    return each.unionByName(each.agg(F.bool_and("passed").alias("passed")).select(F.lit("all").alias("metric"), none.alias("actual"), none.alias("target"), "passed"))
+
+
+def readiness(panel: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """Whether an ingestion is ready: check, passed; the row 'ready' for all of them."""
+    met = F.lit(True)
+    for k, v in targets.items():
+        met = met & ((F.col(k) <= v) if k.startswith("inactive") else (F.col(k) >= v))
+    checks = {
+        "metrics_target_comparison_passed": met,
+        "limited_sample_run_passed": (F.col("list_pages_total") > 0) & (F.col("documents_total") > 0) & (F.col("documents_indexed") > 0) & (F.col("documents_with_extracted_text") > 0),
+        "inactive_documents_excluded_from_active_index": F.col("inactive_documents_in_active_index") == 0,
+        "active_documents_have_active_version": F.col("active_documents_without_active_version") == 0,
+        "active_versions_have_text_or_ocr": F.col("active_versions_without_text_source") == 0,
+    }
+    every = F.lit(True)
+    for c in checks.values():
+        every = every & c
+    pairs = F.array(F.struct(F.lit("report_generated").alias("check"), F.lit(True).alias("passed")), *[F.struct(F.lit(k).alias("check"), c.alias("passed")) for k, c in checks.items()], F.struct(F.lit("ready").alias("check"), every.alias("passed")))
+    return panel.select(F.explode(pairs).alias("c")).select("c.check", "c.passed")
+
+
+RATES = {"document_hit": "document_hit_at_3", "locator_hit": "locator_hit_at_5", "grounded": "grounded_answer_rate", "unsupported": "unsupported_claim_rate", "partial": "partial_answer_rate", "mode_match": "expected_mode_match_rate", "forbidden": "wrong_document_rate"}
 
 
 def evaluation_report(results: DataFrame) -> DataFrame:
-    """Per scenario and for 'all': n, hit_rate, locator_rate (over rows with a verdict), grounded_rate, partial_rate; to 4 places.
+    """Per scenario and for 'all': n and seven rates to 4 places; the locator rate is over the rows that have a verdict, 0 where none has.
 
-    results: scenario, hit, locator_hit (nullable), grounded, partial.
+    results: scenario, document_hit, locator_hit (nullable), grounded, unsupported, partial, mode_match, forbidden.
     """
-    rate = lambda c: F.bround(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate")
-    own = results.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), *[rate(c) for c in ("hit", "locator_hit", "grounded", "partial")])
-    every = results.agg(F.count(F.lit(1)).alias("n"), *[rate(c) for c in ("hit", "locator_hit", "grounded", "partial")]).select(F.lit("all").alias("scenario"), "n", "hit_rate", "locator_hit_rate", "grounded_rate", "partial_rate")
-    return own.unionByName(every)
+    rates = [F.coalesce(F.bround(F.avg(F.col(c).cast("int")), 4), F.lit(0.0)).alias(name) for c, name in RATES.items()]
+    own = results.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), *rates)
+    return own.unionByName(results.agg(F.count(F.lit(1)).alias("n"), *rates).select(F.lit("all").alias("scenario"), "n", *RATES.values()))
+
+
+def selected_questions(questions: DataFrame, order: str, scenario: str | None = None, limit: int | None = None) -> DataFrame:
+    """The questions of a scenario (all if none is named), in their order, cut at a limit if there is one."""
+    own = questions if scenario is None else questions.where(F.col("scenario") == scenario)
+    return own.orderBy(order) if limit is None else own.orderBy(order).limit(limit)
+
+
+def first_unique(rows: DataFrame, qid: str, value: str, order: str, n: int) -> DataFrame:
+    """The first n different values of each question, whatever their case and spaces: qid, key, place."""
+    from docustrata.functions.text import squeeze
+    from docustrata.operators.relational import top
+
+    seen = rows.where(F.length(F.coalesce(F.trim(value), F.lit(""))) > 0).groupBy(qid, F.lower(squeeze(F.col(value))).alias("key")).agg(F.min(order).alias("_at"))
+    return top(seen, [qid], [F.asc("_at"), F.asc("key")], n, "place").select(qid, "key", "place")
 
 
 def scored_results(found: DataFrame, gold: DataFrame, qid: str, k: int = 3) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docustrata.functions.text import chunk_hash
+from docustrata.functions.codes import is_placeholder
+from docustrata.functions.text import chunk_hash, distinct_tokens, is_blank, locator, normalize_code
 from docustrata.operators import blocks, versions
 from docustrata.operators.relational import shard
 
@@ -32,8 +36,6 @@ def pending_part(documents: DataFrame, done: DataFrame, shards: int, index: int)
 
 def indexed_tokens(nodes: DataFrame, active: DataFrame) -> DataFrame:
     """Search tokens of the nodes of active versions; those of others are null, as an index clears them."""
-    from docustrata.functions.text import distinct_tokens
-
     marked = nodes.join(active.select("version_id", F.lit(True).alias("_active")).distinct(), "version_id", "left")
     return marked.select("id", "version_id", F.when(F.col("_active"), distinct_tokens(F.col("text"))).alias("tokens"))
 
@@ -43,3 +45,56 @@ def rebuilt_aliases(documents: DataFrame, old: DataFrame, urls: DataFrame | None
     new = versions.built_aliases(documents, urls)
     kept = old.join(documents.select("document_id").distinct(), "document_id", "left_anti")
     return kept.select(*new.columns).unionByName(new)
+
+
+def enriched(nodes: DataFrame) -> DataFrame:
+    """Nodes with the lookup form of their raw locator where they have none of their own."""
+    return nodes.withColumn("locator_normalized", F.coalesce(F.nullif(F.trim("locator_normalized"), F.lit("")), locator(F.col("locator_raw"))))
+
+
+def reindexed(documents: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Counts of a reindex of all documents (document_id, current_version_id): one row: documents_processed, indexed_documents, indexed_node_count, cleared_node_count.
+
+    ``known``: all versions (document_id, version_id); nodes: id, version_id, text. Nodes of a current version are indexed, those of the
+    document's other versions are cleared where they have tokens. Nodes are counted by version before anything is joined.
+    """
+    sizes = nodes.where("version_id is not null").groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(distinct_tokens(F.col("text"))) > 0).alias("filled"))
+    own = known.where("version_id is not null").select("document_id", "version_id").distinct().join(documents.select("document_id", "current_version_id"), "document_id")
+    counted = own.join(sizes, "version_id", "left").withColumn("_active", F.col("version_id") == F.col("current_version_id"))
+    sums = counted.agg(F.coalesce(F.sum(F.when(F.col("_active"), F.col("n"))), F.lit(0)).alias("indexed_node_count"), F.coalesce(F.sum(F.when(~F.col("_active"), F.col("filled"))), F.lit(0)).alias("cleared_node_count"))
+    docs = documents.agg(F.count(F.lit(1)).alias("documents_processed"), F.count("current_version_id").alias("indexed_documents"))
+    return docs.withColumn("_one", F.lit(1)).join(sums.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def rebuilt_units(old: DataFrame, new: DataFrame, versions: DataFrame) -> DataFrame:
+    """The unit table after a rebuild: of the versions that were looked at (version_id) only the new units, all others as they were.
+
+    Rebuilding the same versions again changes nothing, so a part that was lost can be done anew.
+    """
+    kept = old.join(versions.select("version_id").distinct(), "version_id", "left_anti")
+    return kept.select(*new.columns).unionByName(new)
+
+
+def embedded(units: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """Vectors of texts from an outside model, ``batch`` texts at a call: key, embedding. Null and blank texts have none, and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(embed(part.column(1).to_pylist()), pa.list_(pa.float32()))], [key, "embedding"])
+
+    pending = units.where(~is_blank(F.col(text))).select(key, text)
+    return pending.mapInArrow(run, f"`{key}` {units.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
+def repaired_corpus(documents: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """What a repair does with each document (document_id, normalized_code, display_code, title): document_id, action.
+
+    Placeholders are deleted: documents known by a stub code alone, and those whose code is listed (codes: code); all others stay.
+    """
+    listed = F.lit(False)
+    if codes is not None:
+        named = codes.select(normalize_code(F.col("code")).alias("normalized_code"), F.lit(True).alias("_listed")).distinct()
+        documents, listed = documents.join(named, "normalized_code", "left"), F.coalesce("_listed", F.lit(False))
+    return documents.select("document_id", F.when(listed | is_placeholder(F.col("display_code"), F.col("title")), "delete").otherwise("keep").alias("action"))

@@ -22,11 +22,16 @@ def tail(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame
     return top(df, by, order, n, "_rk").drop("_rk")
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    """The number of a key's shard: the start of its digest, so every engine deals alike and no global numbering is needed."""
+    return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % shards).cast("int")
+
+
 def shard(df: DataFrame, key: str, shards: int, index: int) -> DataFrame:
-    """One of ``shards`` disjoint parts of a table, by the hash of its key: no global numbering, so no single task."""
+    """One of ``shards`` disjoint parts of a table."""
     if not 0 <= index < shards:
         raise ValueError("index lies between 0 and shards")
-    return df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == index)
+    return df.where(shard_of(F.col(key), shards) == index)
 
 
 def neighbours(anchors: DataFrame, nodes: DataFrame, window: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docustrata.functions import text
-from docustrata.functions.codes import code_aliases
+from docustrata.functions.codes import code_aliases, scoring_family
 from docustrata.operators import blocks, evidence, lexical, metrics, relational, resolve, retrieval, structure, vector, versions
 from docustrata.functions import scores
 from docustrata.plans import sql
@@ -575,39 +575,97 @@ def answer_mode(s: SparkSession, d: str) -> DataFrame:
 
 # -- metrics ---------------------------------------------------------------------------------------------------------------
 
-_PANEL = f"""{_CUR}, {_NODES}, cd AS (SELECT DISTINCT document_id FROM document_cards WHERE document_id IS NOT NULL), bt AS (SELECT version_id AS v, max(CAST(length(trim(coalesce(text, ''), ' ')) > 0 AS INT)) AS tx, max(CAST(node_type <> 'paragraph' AS INT)) AS tr, count(*) FILTER (WHERE parse_confidence < 0.7) AS lo FROM nd WHERE version_id IS NOT NULL GROUP BY 1),
-ix AS (SELECT DISTINCT version_id AS v FROM retrieval_units WHERE version_id IS NOT NULL), wd AS (SELECT cur.*, cd.document_id IS NOT NULL AS c, coalesce(tx, 0) = 1 AS t, coalesce(tr, 0) = 1 AS s, ix.v IS NOT NULL AS i, coalesce(lower(trim(status_normalized, ' ')) = 'active', false) AS a, lo FROM cur LEFT JOIN cd USING (document_id) LEFT JOIN bt ON bt.v = current_version_id LEFT JOIN ix ON ix.v = current_version_id),
-pn AS (SELECT count(*) AS documents, count(*) FILTER (WHERE a) AS active_documents, count(current_version_id) AS versions, count(*) FILTER (WHERE c) AS with_card, count(*) FILTER (WHERE t) AS with_text, count(*) FILTER (WHERE s) AS structured, count(*) FILTER (WHERE i) AS indexed, count(*) FILTER (WHERE i AND NOT a) AS inactive_indexed, coalesce(sum(lo), 0) AS low_confidence_nodes, count(DISTINCT nullif(current_version_id, '')) AS distinct_versions FROM wd),
-mt AS (SELECT unnest(['documents','active_documents','versions','with_card','with_text','structured','indexed','inactive_indexed','low_confidence_nodes','distinct_versions','registered_rate','card_rate','text_rate','structured_rate','index_rate']) AS metric,
-unnest([CAST(x AS DOUBLE) FOR x IN [documents, active_documents, versions, with_card, with_text, structured, indexed, inactive_indexed, low_confidence_nodes, distinct_versions]] || [round_even(CASE WHEN documents <= 0 THEN 1.0 ELSE active_documents / documents END, 6), round_even(CASE WHEN documents <= 0 THEN 1.0 ELSE with_card / documents END, 6), round_even(CASE WHEN versions <= 0 THEN 1.0 ELSE with_text / versions END, 6), round_even(CASE WHEN versions <= 0 THEN 1.0 ELSE structured / versions END, 6), round_even(CASE WHEN with_text <= 0 THEN 1.0 ELSE indexed / with_text END, 6)]) AS value FROM pn)"""
+_WIDE = f"""{_CUR}, bt AS (SELECT version_id AS v, bool_or(length(trim(coalesce(text, ''), ' ')) > 0) AS tx, bool_or(coalesce(node_type <> 'paragraph', false)) AS tr, min(parse_confidence) AS pc FROM document_nodes WHERE version_id IS NOT NULL GROUP BY 1), ix AS (SELECT DISTINCT version_id AS v FROM retrieval_units), pf AS (SELECT DISTINCT version_id AS v FROM pdf_texts), oc AS (SELECT DISTINCT version_id AS v FROM ocr_pages), sc AS (SELECT DISTINCT document_id FROM document_cards WHERE document_id IS NOT NULL),
+wd AS (SELECT lower(trim(status_normalized, ' ')) AS status, current_version_id IS NOT NULL AS hv, sc.document_id IS NOT NULL AS hs, pf.v IS NOT NULL OR oc.v IS NOT NULL AS hr, coalesce(tx, false) AS ht, oc.v IS NOT NULL AS ho, pc, CASE WHEN ix.v IS NOT NULL THEN 'indexed' WHEN tr THEN 'normalized' ELSE 'created' END AS ps FROM cur LEFT JOIN bt ON bt.v = current_version_id LEFT JOIN ix ON ix.v = current_version_id LEFT JOIN pf ON pf.v = current_version_id LEFT JOIN oc ON oc.v = current_version_id LEFT JOIN sc USING (document_id))"""
+_JOBS = "jb AS (SELECT CASE event_id % 3 WHEN 0 THEN 'parse_list_page' WHEN 1 THEN 'process_document_card' ELSE 'other' END AS jt, event_type = 'purchase' AS done, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'u' || (user_id % 500) END AS url FROM events), up AS (SELECT CASE event_type WHEN 'click' THEN 'refresh_completed' WHEN 'view' THEN 'skipped_duplicate' WHEN 'signup' THEN 'refresh_failed' ELSE 'other' END AS us FROM events)"
+_COUNTED = {
+    "documents_total": "count(*)", "documents_active": "count(*) FILTER (WHERE a)", "documents_inactive": "count(*) FILTER (WHERE x)", "documents_unknown": "count(*) FILTER (WHERE NOT a AND NOT x)", "documents_with_raw_artifacts": "count(*) FILTER (WHERE hr)", "documents_with_extracted_text": "count(*) FILTER (WHERE ht)", "documents_with_ocr": "count(*) FILTER (WHERE ho)",
+    "documents_with_low_confidence_parse": "count(*) FILTER (WHERE pc < 0.7)", "documents_structured": "count(*) FILTER (WHERE ps IN ('normalized', 'indexed'))", "documents_indexed": "count(*) FILTER (WHERE ps = 'indexed')", "active_index_documents_total": "count(*) FILTER (WHERE ps = 'indexed')", "active_index_documents_with_correct_status": "count(*) FILTER (WHERE a AND ps = 'indexed')", "inactive_documents_in_active_index": "count(*) FILTER (WHERE x AND ps = 'indexed')",
+    "active_documents_without_active_version": "count(*) FILTER (WHERE a AND NOT hv)", "active_versions_without_text_source": "count(*) FILTER (WHERE a AND hv AND NOT ht)", "list_pages_processed_successfully": "(SELECT count(DISTINCT url) FROM jb WHERE jt = 'parse_list_page' AND url <> '' AND done)", "list_pages_total": "(SELECT count(DISTINCT url) FROM jb WHERE jt = 'parse_list_page' AND url <> '')", "document_cards_discovered": "(SELECT count(DISTINCT url) FROM jb WHERE jt = 'process_document_card' AND url <> '')",
+    "updates_detected": "(SELECT count(*) FROM up WHERE us <> 'other')", "updates_successful": "(SELECT count(*) FROM up WHERE us IN ('refresh_completed', 'skipped_duplicate'))", "updates_failed": "(SELECT count(*) FROM up WHERE us = 'refresh_failed')",
+}
+_SHARES = {"active_documents_reaching_card_rate": "a AND hs", "active_documents_with_raw_rate": "a AND hr", "active_documents_with_text_rate": "a AND ht", "active_documents_structured_rate": "a AND ps IN ('normalized', 'indexed')"}
+_RATED = {k: f"CASE WHEN count(*) FILTER (WHERE a) <= 0 THEN 1.0 ELSE round_even(count(*) FILTER (WHERE {c}) / count(*) FILTER (WHERE a), 6) END" for k, c in _SHARES.items()}
+_RATED["active_index_documents_with_correct_status_rate"] = "CASE WHEN count(*) FILTER (WHERE ps = 'indexed') <= 0 THEN 1.0 ELSE round_even(count(*) FILTER (WHERE a AND ps = 'indexed') / count(*) FILTER (WHERE ps = 'indexed'), 6) END"
+_RATED["list_pages_success_rate"] = f"CASE WHEN {_COUNTED['list_pages_total']} <= 0 THEN 1.0 ELSE round_even({_COUNTED['list_pages_processed_successfully']} / {_COUNTED['list_pages_total']}, 6) END"
+_PANEL = f"{_WIDE}, {_JOBS}, wx AS (SELECT *, coalesce(status = 'active', false) AS a, coalesce(status = 'inactive', false) AS x FROM wd), mt AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS value{'' if 'FROM jb' in v or 'FROM up' in v else ' FROM wx'}" for k, v in {**_COUNTED, **_RATED}.items()) + ")"
 
 
 def _panel(s: SparkSession, d: str) -> DataFrame:
-    return metrics.unpivoted(metrics.ingestion_panel(current(s, d), table(s, d, "document_cards"), nodes(s, d, "version_id", "node_type", "text", "parse_confidence"), table(s, d, "retrieval_units")))
+    has = lambda name, flag: table(s, d, name).where("version_id is not null").select(F.col("version_id").alias("current_version_id")).distinct().withColumn(flag, F.lit(True))
+    built = table(s, d, "document_nodes").where("version_id is not null").groupBy(F.col("version_id").alias("current_version_id")).agg(F.bool_or(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("has_text"), F.bool_or(F.coalesce(F.col("node_type") != "paragraph", F.lit(False))).alias("_tree"), F.min("parse_confidence").alias("parse_confidence"))
+    sourced = table(s, d, "document_cards").where("document_id is not null").select("document_id").distinct().withColumn("has_source", F.lit(True))
+    docs = current(s, d).join(built, "current_version_id", "left").join(has("retrieval_units", "_indexed"), "current_version_id", "left").join(has("pdf_texts", "_pdf"), "current_version_id", "left").join(has("ocr_pages", "has_ocr"), "current_version_id", "left").join(sourced, "document_id", "left")
+    version = F.col("current_version_id").isNotNull()
+    wide = docs.select(F.lower(F.trim("status_normalized")).alias("status"), version.alias("has_version"), version.alias("version_is_active"), "has_source", (F.coalesce("_pdf", F.lit(False)) | F.coalesce("has_ocr", F.lit(False))).alias("has_raw"), "has_text", "has_ocr", "parse_confidence", F.when(F.col("_indexed"), "indexed").when(F.col("_tree"), "normalized").otherwise("created").alias("processing_status"))
+    e, no = table(s, d, "events"), F.col("event_id") % 3
+    url = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 500).cast("string")))
+    payload = F.to_json(F.struct(F.when(no == 0, url).alias("list_page_url"), F.when(no == 1, url).alias("card_url")))
+    jobs = e.select(F.when(no == 0, "parse_list_page").when(no == 1, "process_document_card").otherwise("other").alias("job_type"), F.when(F.col("event_type") == "purchase", "completed").otherwise("pending").alias("status"), payload.alias("payload"))
+    updates = e.select(F.when(F.col("event_type") == "click", "refresh_completed").when(F.col("event_type") == "view", "skipped_duplicate").when(F.col("event_type") == "signup", "refresh_failed").otherwise("other").alias("status"))
+    return metrics.ingestion_panel(wide, jobs, updates)
 
 
 @query(f"WITH {_PANEL} SELECT metric, value FROM mt")
 def ingestion_metrics(s: SparkSession, d: str) -> DataFrame:
-    return _panel(s, d)
+    return metrics.unpivoted(_panel(s, d))
 
 
 _TG = " ".join(f"WHEN '{k}' THEN {v}" for k, v in metrics.TARGETS.items())
+_CMP = f"cp AS (SELECT metric, value AS actual, CAST(CASE metric {_TG} END AS DOUBLE) AS target, CASE WHEN starts_with(metric, 'inactive') THEN value <= CASE metric {_TG} END ELSE value >= CASE metric {_TG} END END AS passed FROM mt WHERE CASE metric {_TG} END IS NOT NULL)"
 
 
-@query(f"WITH {_PANEL} SELECT metric, value AS actual, CAST(CASE metric {_TG} END AS DOUBLE) AS target, CASE WHEN starts_with(metric, 'inactive') THEN value <= CASE metric {_TG} END ELSE value >= CASE metric {_TG} END END AS passed FROM mt WHERE CASE metric {_TG} END IS NOT NULL")
+@query(f"WITH {_PANEL}, {_CMP} SELECT * FROM cp UNION ALL SELECT 'all', NULL, NULL, bool_and(passed) FROM cp")
 def mvp_compare(s: SparkSession, d: str) -> DataFrame:
-    return metrics.compared(_panel(s, d))
+    return metrics.compared(metrics.unpivoted(_panel(s, d)))
 
 
-_EV = "ev AS (SELECT coalesce(event_type, '?') AS scenario, value > 50 AS hit, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END AS locator_hit, value > 20 AS grounded, event_id % 7 = 0 AS partial FROM events)"
-_RT = ", ".join(f"round_even(avg(CAST({c} AS INT)), 4) AS {c}_rate" for c in ("hit", "locator_hit", "grounded", "partial"))
+_V = lambda k: f"(SELECT value FROM mt WHERE metric = '{k}')"
 
 
-@query(f"WITH {_EV} SELECT scenario, count(*) AS n, {_RT} FROM ev GROUP BY 1 UNION ALL SELECT 'all', count(*), {_RT} FROM ev")
+@query(f"""WITH {_PANEL}, {_CMP}, ck AS (SELECT 'metrics_target_comparison_passed' AS "check", bool_and(passed) AS passed FROM cp UNION ALL SELECT 'limited_sample_run_passed', {_V('list_pages_total')} > 0 AND {_V('documents_total')} > 0 AND {_V('documents_indexed')} > 0 AND {_V('documents_with_extracted_text')} > 0
+UNION ALL SELECT 'inactive_documents_excluded_from_active_index', {_V('inactive_documents_in_active_index')} = 0 UNION ALL SELECT 'active_documents_have_active_version', {_V('active_documents_without_active_version')} = 0 UNION ALL SELECT 'active_versions_have_text_or_ocr', {_V('active_versions_without_text_source')} = 0)
+SELECT * FROM ck UNION ALL SELECT 'report_generated', true UNION ALL SELECT 'ready', bool_and(passed) FROM ck""")
+def readiness(s: SparkSession, d: str) -> DataFrame:
+    return metrics.readiness(_panel(s, d))
+
+
+# the evaluation of the asked questions: what their packs hold against the document and locator that they name
+_MODE = f"mo AS (SELECT qid, CASE WHEN NOT ed AND NOT el AND nt <= 4 AND n_documents >= 2 AND dominant < 2 AND NOT has_locator THEN 'clarify' WHEN strong THEN 'direct' ELSE 'partial' END AS mode FROM f)"
+_STRONG = f"qx AS (SELECT item_id AS qid, item_id IN (SELECT item_id FROM vq) AS ed, item_id IN (SELECT qid FROM lo) AS el, len({sql.tokens('q')}) AS nt FROM nq), f AS (SELECT *, (n_documents = 1 AND (n_units >= 2 OR (n_units >= 1 AND (has_locator OR dominant >= 3 OR n_items >= 4)))) OR (n_documents <= 2 AND n_units >= 2 AND dominant >= 3 AND (has_locator OR ed OR n_items >= 4)) AS strong FROM ql JOIN qx USING (qid))"
+_SCOREF = lambda x: f"regexp_replace(lower({_SQ(x)}), '[.\\-/][0-9]{{4}}$', '')"
+_EVAL = f"""{_QUAL}, {_STRONG}, {_MODE}, gd AS (SELECT document_id AS qid, 'named' AS scenario, display_code AS gold FROM cur WHERE display_code IS NOT NULL UNION ALL SELECT 'E' || item_id, scenario, NULL FROM eval_passages), pd AS (SELECT qid, rk, lower({_SQ('display_code')}) AS dk, nullif(lower({_SQ("coalesce(locator, '')")}), '') AS lk FROM jq JOIN (SELECT document_id, display_code FROM cur) USING (document_id)),
+fd AS (SELECT qid, dk FROM (SELECT qid, dk, row_number() OVER (PARTITION BY qid ORDER BY min(rk), dk) AS k FROM pd WHERE dk <> '' GROUP BY qid, dk) WHERE k <= 3), fl AS (SELECT qid, lk FROM (SELECT qid, lk, row_number() OVER (PARTITION BY qid ORDER BY min(rk), lk) AS k FROM (SELECT qid, rk, nullif(lower({_SQ("coalesce(locator, '')")}), '') AS lk FROM pk) WHERE lk IS NOT NULL GROUP BY qid, lk) WHERE k <= 5),
+ev AS (SELECT qid, scenario, CASE WHEN gold IS NULL THEN true ELSE EXISTS (SELECT 1 FROM fd WHERE fd.qid = gd.qid AND regexp_replace(dk, '[.\\-/][0-9]{{4}}$', '') = {_SCOREF('gold')}) END AS document_hit, CASE WHEN qid IN (SELECT qid FROM lo) THEN EXISTS (SELECT 1 FROM fl JOIN lo ON lo.qid = fl.qid AND lo.wanted = fl.lk WHERE fl.qid = gd.qid) END AS locator_hit,
+coalesce(mode, 'no_answer') IN ('clarify', 'direct', 'partial') AS grounded, coalesce(mode, '') = 'partial' AS partial, coalesce(mode, 'no_answer') = CASE WHEN gold IS NULL THEN 'partial' ELSE 'direct' END AS mode_match, CASE WHEN gold IS NULL THEN false ELSE EXISTS (SELECT 1 FROM fd WHERE fd.qid = gd.qid AND regexp_replace(dk, '[.\\-/][0-9]{{4}}$', '') <> {_SCOREF('gold')}) END AS forbidden FROM gd LEFT JOIN mo USING (qid))"""
+_AVG = ", ".join(f"coalesce(round_even(avg(CAST({c} AS INT)), 4), 0.0) AS {name}" for c, name in metrics.RATES.items() if c != "unsupported") + ", CAST(0 AS DOUBLE) AS unsupported_claim_rate"
+
+
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    q, pack = _pack(s, d)
+    docs = current(s, d)
+    of = docs.where("current_version_id is not null").groupBy(F.col("current_version_id").alias("version_id")).agg(F.min("document_id").alias("document_id"))
+    told = evidence.evidence_quality(pack, "qid", of).join(q.select("qid", (F.size("codes") > 0).alias("_d"), (F.size("locators") > 0).alias("_l"), F.size("tokens").alias("_n")), "qid")
+    mode = evidence.suggested_mode(told, F.lit("no_answer"), F.col("_d"), F.col("_l"), F.col("_n")).select("qid", F.col("suggested_mode").alias("mode"))
+    gold = docs.where("display_code is not null").select(F.col("document_id").alias("qid"), F.lit("named").alias("scenario"), F.col("display_code").alias("gold")).unionByName(table(s, d, "eval_passages").select(F.concat(F.lit("E"), F.col("item_id").cast("string")).alias("qid"), "scenario", F.lit(None).cast("string").alias("gold")))
+    named = metrics.first_unique(pack.join(of, "version_id").join(docs.select("document_id", "display_code"), "document_id"), "qid", "display_code", "rk", 3)
+    placed = metrics.first_unique(pack, "qid", "locator", "rk", 5)
+    kin = named.join(gold.where("gold is not null").select("qid", scoring_family(F.col("gold")).alias("_f")), "qid").groupBy("qid").agg(F.bool_or(scoring_family(F.col("key")) == F.col("_f")).alias("_hit"), F.bool_or(scoring_family(F.col("key")) != F.col("_f")).alias("_other"))
+    wanted = q.select("qid", F.explode("locators").alias("key"))
+    at = wanted.join(placed, ["qid", "key"], "left").groupBy("qid").agg((F.count("place") > 0).alias("locator_hit"))
+    j = gold.join(mode, "qid", "left").join(kin, "qid", "left").join(at, "qid", "left")
+    m, open_ = F.coalesce("mode", F.lit("no_answer")), F.col("gold").isNull()
+    return j.select("scenario", (open_ | F.coalesce("_hit", F.lit(False))).alias("document_hit"), "locator_hit", m.isin("clarify", "direct", "partial").alias("grounded"), F.lit(False).alias("unsupported"), (m == "partial").alias("partial"), (m == F.when(open_, "partial").otherwise("direct")).alias("mode_match"), (~open_ & F.coalesce("_other", F.lit(False))).alias("forbidden"))
+
+
+@query(f"WITH RECURSIVE {_EVAL} SELECT scenario, count(*) AS n, {_AVG} FROM ev GROUP BY 1 UNION ALL SELECT 'all', count(*), {_AVG} FROM ev")
 def eval_report(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events")
-    i = F.col("event_id")
-    return metrics.evaluation_report(e.select(F.coalesce("event_type", F.lit("?")).alias("scenario"), (F.col("value") > 50).alias("hit"), F.when(i % 3 != 0, i % 2 == 0).alias("locator_hit"), (F.col("value") > 20).alias("grounded"), (i % 7 == 0).alias("partial")))
+    return metrics.evaluation_report(_evaluated(s, d))
+
+
+@query("SELECT item_id, question FROM eval_passages WHERE scenario = 'edition' ORDER BY item_id LIMIT 20")
+def eval_selection(s: SparkSession, d: str) -> DataFrame:
+    return metrics.selected_questions(table(s, d, "eval_passages"), "item_id", "edition", 20).select("item_id", "question")
 
 
 @query(f"""WITH {_CUR}, {_RES}, fd AS (SELECT item_id, display_code AS code, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id) AS rk FROM res JOIN cur USING (document_id)), gd AS (SELECT DISTINCT item_id, entry_text AS code FROM eval_passages JOIN canonical_entries ON entry_id = item_id),

@@ -100,14 +100,20 @@ def token_estimate(c: Column, chars_per_token: float = 4.0) -> Column:
 
 
 def path_component(c: Column) -> Column:
-    """A name that is safe in a path: other characters become one underscore each run."""
-    clean = _rep(_rep(F.trim(c), "[^0-9A-Za-zА-Яа-яЁё._-]+", "_"), "^[._]+|[._]+$", "")
+    """A name that is safe in a path: runs of characters that file systems refuse become one underscore, blanks one each; 'unnamed' for nothing."""
+    clean = _rep(F.replace(_rep(squeeze(c), r'[<>:"/\\|?*]+', "_"), F.lit(" "), F.lit("_")), "^[._]+|[._]+$", "")
     return F.when(clean == "", F.lit("unnamed")).otherwise(clean)
 
 
 def storage_key(code: Column) -> Column:
-    """Folder of a document: the start of its safe code and the start of the code's digest."""
-    return F.concat_ws("-", F.substring(path_component(code), 1, 24), F.substring(F.sha1(code), 1, 12))
+    """Folder of a document: the start of its safe code and the start of that code's digest."""
+    return let(path_component(code), lambda safe: F.concat_ws("-", F.coalesce(F.nullif(_rep(F.substring(safe, 1, 24), "[._-]+$", ""), F.lit("")), F.lit("doc")), F.substring(F.sha1(safe), 1, 12)))
+
+
+def artifact_path(code: Column, version: Column, kind: Column, extension_: Column) -> Column:
+    """Where an artifact lies in the store: the document's folder, the version's, and the type (32 characters) with its extension."""
+    name = let(path_component(kind), lambda k: F.coalesce(F.nullif(_rep(F.substring(k, 1, 32), "[._-]+$", ""), F.lit("")), F.lit("artifact")))
+    return F.concat_ws("/", storage_key(code), path_component(version), F.concat(name, F.lit("."), F.lower(_rep(extension_, "^[.]", ""))))
 
 
 #: Extensions and media types of artifacts.

@@ -36,10 +36,41 @@ def summaries(messages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     return talk.select("conv_id", F.left(F.concat_ws("\n", *parts), F.lit(SUMMARY_CHARS)).alias("summary"))
 
 
-def effective_query(summary: Column, documents: Column, locators: Column, question: Column) -> Column:
-    """The question below its context, documents and locators, cut at twice the summary's length; absent parts leave no line."""
-    line = lambda label, c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(label), c))
-    return F.left(F.concat_ws("\n", line("Context: ", summary), line("Documents: ", documents), line("Locators: ", locators), squeeze(question)), F.lit(2 * SUMMARY_CHARS))
+#: What stands before the parts of an effective query, by part; what a kind of turn asks for, and what its question is called.
+PARTS = {"summary": "Контекст беседы: ", "override": "Requested document override: ", "documents": "Документы в фокусе: ", "locators": "Локаторы в фокусе: ", "threads": "Незакрытые темы: ", "messages": "Последние сообщения: ", "previous": "Предыдущий ответ: "}
+OVERRIDE_END = ". Keep the current technical topic, but prefer these documents."
+GUIDANCE = {
+    "follow_up": "Инструкция: продолжай текущую тему. Сначала используй активные документы и локаторы, но при необходимости расширяй evidence pack дополнительными retrieval units и соседним контекстом.",
+    "clarify": "Инструкция: пользователь просит уточнить ответ или показать ссылку. Приоритетно проверяй активные document/locator hints, ищи точный пункт, citation и локальный контекст.",
+    "expand_answer": "Инструкция: пользователь просит дополнить предыдущий ответ. Расширяй evidence pack, поднимай дополнительные locator hits и retrieval units в том же документе, чтобы partial мог стать direct.",
+}
+QUESTION = {"follow_up": "Follow-up вопрос пользователя", "clarify": "Уточняющий вопрос пользователя", "expand_answer": "Пользователь просит дополнить предыдущий ответ"}
+PREVIOUS_CHARS = 240
+
+
+def effective_query(question: Column, kind: Column, summary: Column, asked: Column, documents: Column, locators: Column, threads: Column, messages: Column, previous: Column) -> Column:
+    """The question below what the conversation holds, cut at twice the summary's length; a new question stands alone; absent parts leave no line.
+
+    asked (documents that the question names, which replace those in focus), documents, locators, threads: arrays of strings; messages: the last
+    two, an array of struct role, content; previous: the last answer.
+    """
+    listed = lambda c, sep=", ": F.nullif(F.array_join(F.coalesce(c, F.array().cast("array<string>")), sep), F.lit(""))
+    line = lambda part, c, end="": F.concat(F.lit(PARTS[part]), c, F.lit(end))
+    override = line("override", listed(asked), OVERRIDE_END)
+    talk = F.nullif(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), truncate_tail(F.coalesce(m["content"], F.lit("")), MESSAGE_CHARS))), " | "), F.lit(""))
+    by_kind = lambda table: F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), kind)
+    parts = [
+        line("summary", F.nullif(summary, F.lit(""))),
+        F.coalesce(override, line("documents", listed(documents), ".")),
+        line("locators", listed(locators), "."),
+        line("threads", listed(threads, "; "), "."),
+        line("messages", talk),
+        line("previous", truncate_tail(previous, PREVIOUS_CHARS)),
+        by_kind(GUIDANCE),
+        F.concat(by_kind(QUESTION), F.lit(": "), question),
+    ]
+    whole = F.trim(F.concat_ws("\n", *parts))
+    return F.when(kind == "new_question", question).otherwise(F.left(whole, F.lit(2 * SUMMARY_CHARS)))
 
 
 def turn_kind(question: Column, has_context: Column, shifted: Column) -> Column:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from docustrata.functions.codes import is_placeholder
 from docustrata.functions.text import chunk_hash, distinct_tokens, is_blank, locator, normalize_code
 from docustrata.operators import blocks, versions
-from docustrata.operators.relational import shard
+from docustrata.operators.relational import shard, unique
 
 
 def derived_units(documents: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Retrieval units of the documents' current versions: one card each and the semantic blocks; units of other versions are not made.
 
-    documents: document_id, normalized_code, display_code, title, current_version_id.
+    documents: document_id, normalized_code, display_code, title, current_version_id. A node with several rows counts once.
     """
+    nodes = unique(nodes, "id", "version_id", "order_index", "node_type", "label", "title", "text", "locator_normalized", "heading_path")
     docs = documents.where("current_version_id is not null").withColumnRenamed("current_version_id", "version_id")
     wanted = nodes.join(docs.select("version_id").distinct(), "version_id", "left_semi")
     packed = blocks.semantic_blocks(wanted).select("version_id", F.lit("semantic_block").alias("unit_type"), "start_order", "end_order", "locator", "heading_path", "text")

@@ -17,6 +17,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def place_in(by: list[str], order: list[Column]) -> Column:
+    """The place of a row in its group, from 1."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
 def tail(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows of each group; ``order`` is the reverse of the order."""
     return top(df, by, order, n, "_rk").drop("_rk")

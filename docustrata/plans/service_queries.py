@@ -185,9 +185,9 @@ st AS (SELECT job_id, attempts, n_events, CASE k WHEN 'create' THEN 'pending' WH
 CASE WHEN k = 'temporary_error' AND attempts < 3 THEN date_trunc('second', ts) + INTERVAL 60 SECOND ELSE created_at END AS scheduled_at FROM f JOIN l USING (job_id))"""
 
 
-@query(f"WITH {_STATE} SELECT job_id, attempts, n_events, status FROM st")
+@query(f"WITH {_STATE} SELECT job_id, attempts, n_events, status, scheduled_at FROM st")
 def job_state(s: SparkSession, d: str) -> DataFrame:
-    return jobs.states(job_events(s, d)).select("job_id", "attempts", "n_events", "status")
+    return jobs.states(job_events(s, d)).select("job_id", "attempts", "n_events", "status", "scheduled_at")
 
 
 @query(f"WITH {_STATE} SELECT job_id, CAST(row_number() OVER (PARTITION BY status ORDER BY scheduled_at, job_id) AS INT) AS place, status FROM st")
@@ -196,6 +196,20 @@ def job_ready(s: SparkSession, d: str) -> DataFrame:
     return jobs.claim_order(st).select("job_id", "place", "status")
 
 
+@query(f"WITH {_STATE}, n AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events) SELECT job_id, status FROM st, n WHERE status = 'pending' AND scheduled_at <= now")
+def job_due(s: SparkSession, d: str) -> DataFrame:
+    """All pending jobs that are due a day before the last event."""
+    e = job_events(s, d)
+    now = e.agg(F.timestamp_add("DAY", F.lit(-1), F.max("ts"))).first()[0]
+    return jobs.ready(jobs.states(e), F.lit(now)).select("job_id", "status")
+
+
+@query("SELECT event_id, lower(event_type) IN ('timeout', 'connection', 'rate_limit', 'unavailable') OR event_id % 4 = 0 AS temporary FROM events")
+def temporary_errors(s: SparkSession, d: str) -> DataFrame:
+    error = F.when(F.col("event_id") % 4 == 0, "Timeout").otherwise(F.col("event_type"))
+    return table(s, d, "events").select("event_id", jobs.is_temporary(error).alias("temporary"))
+
+
 # -- conversations: the event log as talk ----------------------------------------------------------------------------------
 
 _MSG = "m AS (SELECT user_id AS conv_id, event_id AS turn, CASE event_id % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS role, event_type || ' ' || props || CASE event_id % 4 WHEN 0 THEN ' подробнее' WHEN 1 THEN ' а если иначе' ELSE '' END AS text, event_type AS hint FROM events WHERE user_id IS NOT NULL)"
@@ -232,10 +246,42 @@ def turn_kind(s: SparkSession, d: str) -> DataFrame:
     return messages(s, d).select("conv_id", "turn", conversation.turn_kind(F.col("text"), F.col("turn") % 5 != 0, F.lit(False)).alias("kind"))
 
 
-@query(f"""WITH {_MSG} SELECT conv_id, turn, left(concat_ws(chr(10), CASE WHEN turn % 3 <> 0 THEN 'Context: ' || role END, CASE WHEN length(coalesce(hint, '')) > 0 THEN 'Documents: ' || hint END, {_SQ('text')}), 2400) AS query FROM m""")
+_EK = "CASE turn % 4 WHEN 0 THEN 'new_question' WHEN 1 THEN 'follow_up' WHEN 2 THEN 'clarify' ELSE 'expand_answer' END"
+_CUT = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(substr({x}, 1, {n - 3}), ' ') || '...' END"
+_TEXT = {k: v.replace("'", "''") for k, v in {**conversation.PARTS, **{f"g_{k}": v for k, v in conversation.GUIDANCE.items()}, **{f"q_{k}": v for k, v in conversation.QUESTION.items()}, "end": conversation.OVERRIDE_END}.items()}
+
+
+@query(f"""WITH {_MSG}, e AS (SELECT *, {_EK} AS k, {_SQ('text')} AS sx FROM m) SELECT conv_id, turn, CASE WHEN k = 'new_question' THEN text ELSE left(trim(concat_ws(chr(10), CASE WHEN turn % 3 <> 0 THEN '{_TEXT['summary']}' || role END,
+CASE WHEN turn % 5 = 0 THEN '{_TEXT['override']}' || 'sp ' || (turn % 9) || '{_TEXT['end']}' WHEN hint <> '' THEN '{_TEXT['documents']}' || hint || ', d2.' END, CASE WHEN turn % 2 = 0 THEN '{_TEXT['locators']}' || (turn % 7) || '.' END, CASE WHEN turn % 6 = 1 THEN '{_TEXT['threads']}' || 'a; b.' END,
+'{_TEXT['messages']}' || 'user: ' || {_CUT('sx', 180)} || ' | assistant: ok', '{_TEXT['previous']}' || {_CUT('sx', 240)}, CASE k WHEN 'follow_up' THEN '{_TEXT['g_follow_up']}' WHEN 'clarify' THEN '{_TEXT['g_clarify']}' ELSE '{_TEXT['g_expand_answer']}' END,
+CASE k WHEN 'follow_up' THEN '{_TEXT['q_follow_up']}' WHEN 'clarify' THEN '{_TEXT['q_clarify']}' ELSE '{_TEXT['q_expand_answer']}' END || ': ' || text), ' '), 2400) END AS query FROM e""")
 def effective_query(s: SparkSession, d: str) -> DataFrame:
-    summary = F.when(F.col("turn") % 3 != 0, F.col("role"))
-    return messages(s, d).select("conv_id", "turn", conversation.effective_query(summary, F.col("hint"), F.lit(None).cast("string"), F.col("text")).alias("query"))
+    t, no = F.col("turn"), F.array().cast("array<string>")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("new_question", "follow_up", "clarify", "expand_answer")]), (t % 4 + 1).cast("int"))
+    some = lambda c, *xs: F.when(c, F.array(*xs)).otherwise(no)
+    pair = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("ok").alias("content")))
+    made = conversation.effective_query(F.col("text"), kind, F.when(t % 3 != 0, F.col("role")), some(t % 5 == 0, F.concat(F.lit("sp "), (t % 9).cast("string"))), some(F.col("hint") != "", F.col("hint"), F.lit("d2")), some(t % 2 == 0, (t % 7).cast("string")), some(t % 6 == 1, F.lit("a"), F.lit("b")), pair, F.col("text"))
+    return messages(s, d).select("conv_id", "turn", made.alias("query"))
+
+
+_AS = "['d' || (turn % 3), 'd' || (turn % 4)] AS active, CASE WHEN turn % 5 = 0 THEN [] ELSE ['d' || (turn % 7)] END AS asked"
+
+
+@query(f"WITH {_MSG}, e AS (SELECT *, {_AS} FROM m) SELECT conv_id, turn, len(asked) > 0 AND len(string_split({_SQ('text')}, ' ')) > 8 AND NOT list_has_any(active, asked) AS shifted FROM e")
+def context_shift(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    name = lambda n: F.concat(F.lit("d"), (t % n).cast("string"))
+    asked = F.when(t % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(name(7)))
+    return messages(s, d).select("conv_id", "turn", conversation.is_shift(F.array(name(3), name(4)), asked, F.col("text")).alias("shifted"))
+
+
+@query(f"""WITH {_MSG}, e AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'direct' ELSE 'no_answer' END AS mode, ['t1', 't2', 't3', 't4', 't5', hint || ' open', 'x'] AS threads FROM m), o AS (SELECT conv_id, turn, CASE mode WHEN 'partial' THEN list_append(threads, text || ' :: ' || left(role, 200))
+WHEN 'direct' THEN list_filter(threads, lambda t: NOT list_has_any(string_split(lower(t), ' '), list_filter(string_split(lower({_SQ('text')}), ' '), lambda w: length(w) > 0))) ELSE threads END AS l FROM e) SELECT conv_id, turn, array_to_string(l[greatest(1, len(l) - 5):], '|') AS threads FROM o""")
+def open_threads(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn")
+    mode = F.when(t % 3 == 0, "partial").when(t % 3 == 1, "direct").otherwise("no_answer")
+    threads = F.array(*[F.lit(x) for x in ("t1", "t2", "t3", "t4", "t5")], F.concat("hint", F.lit(" open")), F.lit("x"))
+    return messages(s, d).select("conv_id", "turn", F.array_join(conversation.threads_after(threads, mode, F.col("text"), F.col("role")), "|").alias("threads"))
 
 
 # -- claims: two per event, citing ids -------------------------------------------------------------------------------------
@@ -260,6 +306,27 @@ def claim_filter(s: SparkSession, d: str) -> DataFrame:
     return answers.filtered_claims(c, e, "event_id").select("event_id", "claim_no", F.array_join("kept_ids", ",").alias("kept_ids"), "supported")
 
 
+@query("SELECT event_id, 1 AS claim_no, 'answer' AS text, array_to_string(list_transform(range(0, 1 + least(2, event_id % 5)), lambda i: 'ev-' || i), ',') AS ids FROM events WHERE event_id % 3 <> 0")
+def default_claims(s: SparkSession, d: str) -> DataFrame:
+    _, e = claims_of(s, d)
+    drafts = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, " ").otherwise(" answer ").alias("text"))
+    return answers.default_claims(drafts, e, "event_id").select("event_id", "claim_no", "text", F.array_join("evidence_ids", ",").alias("ids"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'partial' WHEN 2 THEN 'clarify' ELSE 'no_answer' END AS mode, event_id % 3 AS n FROM events)
+SELECT event_id, CASE WHEN n = 1 AND mode = 'direct' THEN 'partial' ELSE mode END AS grounded, CASE mode WHEN 'partial' THEN n > 0 WHEN 'direct' THEN n >= 2 ELSE true END AS terminal, CASE WHEN n > 0 THEN 'partial' ELSE 'no_answer' END AS last_mode FROM e""")
+def grounding(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    mode = F.when(i % 4 == 0, "direct").when(i % 4 == 1, "partial").when(i % 4 == 2, "clarify").otherwise("no_answer")
+    return table(s, d, "events").select("event_id", answers.grounded_mode(mode, i % 3).alias("grounded"), answers.is_terminal(mode, i % 3).alias("terminal"), answers.final_mode(i % 3).alias("last_mode"))
+
+
+@query("SELECT event_id, 'a' || CASE WHEN event_id % 2 = 0 THEN '|' || event_type ELSE '' END AS limitations FROM events")
+def limitations(s: SparkSession, d: str) -> DataFrame:
+    lists = F.array(F.array(F.lit(" a "), F.lit("")), F.array(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(" "), F.lit("a")))
+    return table(s, d, "events").select("event_id", F.array_join(answers.merged_limitations(lists), "|").alias("limitations"))
+
+
 @query(f"""WITH {_CL}, sp AS (SELECT event_id, count(*) AS n_claims, string_agg(text, ' ' ORDER BY claim_no) AS texts FROM kc WHERE len(kept) > 0 GROUP BY 1), ci AS (SELECT event_id, count(DISTINCT x) AS n_evidence FROM (SELECT event_id, unnest(kept) AS x FROM kc) GROUP BY 1), al AS (SELECT event_id, count(*) AS a FROM ed GROUP BY 1)
 SELECT event_id, CASE WHEN n_claims IS NULL THEN CASE WHEN a > 0 THEN 'partial' ELSE 'no_answer' END WHEN coalesce(n_evidence, 0) < 2 THEN 'partial' ELSE 'direct' END AS mode, CASE WHEN event_id % 2 = 0 THEN 'draft' ELSE coalesce(texts, '') END AS text, coalesce(n_claims, 0) AS n_claims, CASE WHEN n_claims IS NULL THEN coalesce(a, 0) ELSE coalesce(n_evidence, 0) END AS n_evidence
 FROM events LEFT JOIN sp USING (event_id) LEFT JOIN ci USING (event_id) LEFT JOIN al USING (event_id)""")

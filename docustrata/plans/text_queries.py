@@ -89,15 +89,15 @@ def chunk_hash(s: SparkSession, d: str) -> DataFrame:
     return rows.select("unit_id", h.alias("chunk_hash"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT document_id, substr(CASE WHEN c = '' THEN 'unnamed' ELSE c END, 1, 24) || '-' || substr(sha1(display_code), 1, 12) AS storage_key,
+@query("""SELECT document_id, coalesce(nullif(regexp_replace(substr(s, 1, 24), '[._-]+$', ''), ''), 'doc') || '-' || substr(sha1(s), 1, 12) AS storage_key, coalesce(nullif(regexp_replace(substr(s, 1, 24), '[._-]+$', ''), ''), 'doc') || '-' || substr(sha1(s), 1, 12) || '/' || document_id || '/page_image.pdf' AS artifact_path,
 nullif(lower(regexp_extract(regexp_replace(p, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)), '') AS extension,
 CASE nullif(lower(regexp_extract(regexp_replace(p, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)), '') WHEN 'html' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' ELSE 'application/octet-stream' END AS mime_type
-FROM (SELECT DISTINCT document_id, display_code, regexp_replace(regexp_replace(trim(display_code, ' '), '[^0-9A-Za-zА-Яа-яЁё._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS c,
-'/raw/' || document_id || CASE CAST(right(document_id, 1) AS INT) % 4 WHEN 0 THEN '.PDF?x=1' WHEN 1 THEN '.html' WHEN 2 THEN '' ELSE '.png#a' END AS p FROM document_registry)""".replace("\\\\", "\\"))
+FROM (SELECT *, CASE WHEN c = '' THEN 'unnamed' ELSE c END AS s FROM (SELECT DISTINCT document_id, display_code, regexp_replace(replace(regexp_replace(trim(regexp_replace(display_code, '\\s+', ' ', 'g'), ' '), '[<>:"/\\\\|?*]+', '_', 'g'), ' ', '_'), '^[._]+|[._]+$', '', 'g') AS c,
+'/raw/' || document_id || CASE CAST(right(document_id, 1) AS INT) % 4 WHEN 0 THEN '.PDF?x=1' WHEN 1 THEN '.html' WHEN 2 THEN '' ELSE '.png#a' END AS p FROM document_registry))""".replace("\\\\", "\\"))
 def storage_key(s: SparkSession, d: str) -> DataFrame:
     tail = F.element_at(F.array(F.lit(".PDF?x=1"), F.lit(".html"), F.lit(""), F.lit(".png#a")), F.right("document_id", F.lit(1)).cast("int") % 4 + 1)
     rows = table(s, d, "document_registry").select("document_id", "display_code", F.concat(F.lit("/raw/"), "document_id", tail).alias("p")).distinct()
-    return rows.select("document_id", text.storage_key(F.col("display_code")).alias("storage_key"), text.extension(F.col("p")).alias("extension"), text.mime_type(F.col("p")).alias("mime_type"))
+    return rows.select("document_id", text.storage_key(F.col("display_code")).alias("storage_key"), text.artifact_path(F.col("display_code"), F.col("document_id"), F.lit("page image"), F.lit(".PDF")).alias("artifact_path"), text.extension(F.col("p")).alias("extension"), text.mime_type(F.col("p")).alias("mime_type"))
 
 
 @query(f"""SELECT alias_id, nullif(lower(trim(regexp_replace({sql.squeeze('alias_raw')}, '[ ,;:()\\\\\\[\\]"''`]+', ' ', 'g'), ' ')), '') AS alias_form,

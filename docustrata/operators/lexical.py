@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docustrata.functions.text import distinct_tokens
 from docustrata.operators.relational import top
@@ -48,11 +49,12 @@ def best_overlaps(queries: DataFrame, texts: DataFrame, qid: str, qtext: str, ke
 
     The score is the share of the query's distinct tokens to 4 places, or with ``share`` false their number. The queries go to the
     workers in blocks of a fixed size; a text is scored where it lies, and each task keeps k for each query, so what is shuffled is
-    bounded by queries and tasks, not by pairs. Texts without a common token are no hits; of a key with several rows the best one counts.
+    bounded by queries and tasks, not by pairs. Texts without a common token or without a key are no hits; of a key with several rows the best one counts.
     """
     kinds = {c: texts.schema[c].dataType.simpleString() for c in (key, *carry)}
     schema = ", ".join([f"`{qid}` {queries.schema[qid].dataType.simpleString()}", *(f"`{c}` {t}" for c, t in kinds.items()), "score double"])
-    rows = texts.select(key, *carry, distinct_tokens(F.col(text)).alias("_tokens"))
+    id_type = to_arrow_type(queries.schema[qid].dataType)
+    rows = texts.where(F.col(key).isNotNull()).select(key, *carry, distinct_tokens(F.col(text)).alias("_tokens"))
 
     def scan_for(block: list[tuple]) -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast({"questions": block})
@@ -80,7 +82,7 @@ def best_overlaps(queries: DataFrame, texts: DataFrame, qid: str, qtext: str, ke
                     found = pa.Table.from_batches([batch.drop_columns(["_tokens"])]).take(pa.array(row)).append_column("_q", pa.array(q)).append_column("score", pa.array(score))
                     best = first(found if best is None else pa.concat_tables([best, found]))
             if best is not None:
-                ids = pa.array([q for q, _ in shared.value["questions"]])
+                ids = pa.array([q for q, _ in shared.value["questions"]], id_type)
                 out = best.append_column(qid, ids.take(best["_q"].combine_chunks())).select([qid, key, *carry, "score"])
                 yield from out.combine_chunks().to_batches()
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docustrata.operators.relational import top
 
@@ -22,6 +23,7 @@ def search(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: s
     bounded by queries, not by pairs. Null vectors, vectors of nought and of another length than the query's are never near.
     """
     found, block = None, []
+    kinds = to_arrow_type(queries.schema[qid].dataType), to_arrow_type(vectors.schema[key].dataType)
 
     def scan_for(block: list[tuple]) -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast(([q for q, _ in block], [v for _, v in block]))
@@ -47,10 +49,10 @@ def search(queries: DataFrame, vectors: DataFrame, qid: str, key: str, vector: s
                         out[0].extend([own] * len(best))
                         out[1].extend(names[best].tolist())
                         out[2].extend(row[best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2])], [qid, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], pa.float64())], [qid, key, "score"])
 
-        kinds = queries.schema[qid].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
-        return vectors.select(key, vector).mapInArrow(scan, f"`{qid}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+        names = queries.schema[qid].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+        return vectors.where(F.col(key).isNotNull()).select(key, vector).mapInArrow(scan, f"`{qid}` {names[0]}, `{key}` {names[1]}, score double")
 
     for row in queries.where(F.col(vector).isNotNull()).select(F.col(qid), F.col(vector)).toLocalIterator():
         block.append((row[0], list(row[1])))

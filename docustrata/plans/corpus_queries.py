@@ -681,8 +681,9 @@ def eval_scores(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH u AS (SELECT DISTINCT unit_id, text, embedding IS NULL AS p FROM retrieval_units WHERE unit_id IS NOT NULL) SELECT *, pending * 64 * 4 AS bytes, round_even(tokens * 0.15 / 1e6, 4) AS cost, CASE WHEN pending <= 0 THEN 0.0 ELSE round_even(characters / pending, 4) END AS average_chars FROM
 (SELECT count(*) AS total, count(*) FILTER (WHERE p) AS pending, CAST(coalesce(sum(CASE WHEN p THEN greatest(1, ceil(length(coalesce(text, '')) / 4.0)) END), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(CASE WHEN p THEN length(coalesce(text, '')) END), 0) AS BIGINT) AS characters FROM u)""")
 def embedding_preflight(s: SparkSession, d: str) -> DataFrame:
-    u = relational.unique(table(s, d, "retrieval_units"), "unit_id", "text", "embedding")
-    return metrics.embedding_workload(u, "text", "embedding", 64)
+    # vectors aren't moved: only whether there is one
+    rows = table(s, d, "retrieval_units").select("unit_id", "text", F.when(F.col("embedding").isNotNull(), F.lit(True)).alias("embedding"))
+    return metrics.embedding_workload(relational.unique(rows, "unit_id", "text", "embedding"), "text", "embedding", 64)
 
 
 _WK = "wk AS (SELECT user_id, CASE max(event_id) % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'queued' END AS status, count(*) AS processed, max(event_id) AS remaining FROM events GROUP BY 1)"

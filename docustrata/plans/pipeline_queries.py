@@ -84,13 +84,13 @@ def rebuilt_aliases(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH pu AS (SELECT DISTINCT unit_id, text FROM retrieval_units WHERE unit_id IS NOT NULL AND embedding IS NULL), t AS (SELECT unit_id, unnest({sql.tokens('text')}) AS token FROM pu), h AS (SELECT unit_id, sha256(token) AS x, count(*) AS n FROM t GROUP BY unit_id, token),
 w AS (SELECT unit_id, CAST('0x' || substr(x, 1, 8) AS BIGINT) % 64 AS dim, sum((CASE WHEN CAST('0x' || substr(x, 9, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (1 + CAST('0x' || substr(x, 11, 2) AS BIGINT) / CAST(255 AS DOUBLE)) * n) AS w FROM h GROUP BY 1, 2), l AS (SELECT unit_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1)
-SELECT unit_id, count(*) AS n_filled, round_even(sum(w / l * (dim + 1)), 4) AS weighted FROM w JOIN l USING (unit_id) WHERE l > 0 GROUP BY 1""")
+SELECT unit_id, count(*) FILTER (WHERE abs(w / l) > 1e-9) AS n_filled, round_even(sum(w / l * (dim + 1)), 4) AS weighted FROM w JOIN l USING (unit_id) WHERE l > 0 GROUP BY 1""")
 def embedding_backfill(s: SparkSession, d: str) -> DataFrame:
     """Hashed vectors of the units that have none yet: how many numbers are filled, and their sum weighted by place."""
     pending = relational.unique(table(s, d, "retrieval_units").where("embedding is null"), "unit_id", "text")
     v = retrieval.question_vectors(pending, "unit_id", "text")
     weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return v.select("unit_id", F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("n_filled"), F.bround(weighted, 4).alias("weighted"))
+    return v.select("unit_id", F.size(F.filter("vector", lambda x: F.abs(x) > 1e-9)).cast("bigint").alias("n_filled"), F.bround(weighted, 4).alias("weighted"))
 
 
 @query("SELECT unit_id, version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY start_order_index NULLS FIRST, unit_id) AS INT) AS place FROM (SELECT DISTINCT unit_id, version_id, start_order_index FROM retrieval_units WHERE unit_id IS NOT NULL AND version_id IS NOT NULL)")

@@ -67,7 +67,7 @@ def test_code_bonus_penalizes_other_years(spark):
 def test_rerank_prefers_modern_and_newest(spark):
     rows = [(1, "D1", 1.0, "СП 20.13330.2016", "a", True, False, ["СП 20"], ["нагрузка"]), (1, "D2", 1.0, "СП 20.13330.2011", "a", True, False, ["СП 20"], ["нагрузка"]), (1, "D3", 1.0, "СНиП 2.01.07-85", "a", False, True, ["СП 20"], ["нагрузка"]), (1, "D4", 9.0, "СП 5.0", "СП 5.0", True, False, [], [])]
     c = spark.createDataFrame(rows, "q int, document_id string, score double, display_code string, title string, is_active boolean, is_outdated boolean, codes array<string>, tokens array<string>")
-    got = [(r.document_id, r.score) for r in resolve.reranked(c, "q").orderBy("rk").collect()]
+    got = [(r.document_id, r.score) for r in resolve.reranked(c, "q", topics=((("нагруз",), (("СП 20", 0.2),)),)).orderBy("rk").collect()]
     assert [g[0] for g in got] == ["D1", "D2", "D3"]
     assert got[0][1] == pytest.approx(1.0 + 0.22 + 0.2 + 0.1 + 0.16)
 

@@ -9,7 +9,12 @@ duckdb = pytest.importorskip("duckdb")
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-NAMES = ["lexical_search_topk", "vocab_df", "tsv_tokens", "clean_code", "content_hash", "storage_key", "hash_embedding", "cosine_topk", "node_tree", "heading_paths", "semantic_blocks", "alias_build", "version_events", "latest_edition", "parse_query", "resolve_document", "evidence_pack", "ingestion_metrics", "eval_report", "job_state", "chat_summary", "card_fields", "claim_filter", "p1_found", "p1_counts", "p2_history", "p5_found"]
+
+
+def names():
+    from docustrata.plans import catalog
+
+    return sorted(catalog.ORACLES)
 
 
 def plain(v):
@@ -32,7 +37,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", names())
 def test_query_equals_sql(spark, con, name):
     import __spark_entry__ as entry
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docustrata.session import spread
+from docustrata.session import kept, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that belongs to the vocabulary.
@@ -107,23 +107,16 @@ class Encoder:
         return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
 
-def encoder(path: str) -> Encoder:
-    import sys
-
-    kept = sys.__dict__.setdefault("_docustrata_encoders", {})  # outlives one task in a reused worker
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
-
-
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row: the key and ids, the text's tokens without special tokens. Null and empty texts have the empty list.
 
     Special tokens' strings in a text are ordinary text. No shuffle; nothing is cut or sampled.
     """
 
+    shared = documents.sparkSession.sparkContext.broadcast({"path": vocabulary})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = encoder(vocabulary).packed
+        packed = kept(shared, "encoder", lambda fields: Encoder(fields["path"])).packed
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

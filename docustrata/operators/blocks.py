@@ -9,38 +9,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.functions.text import context_key, heading_label, rendered_node
+from docustrata.session import durable
 
 MIN_CHARS, TARGET_CHARS, MAX_CHARS, MAX_NODES = 700, 1200, 1800, 12
 CARD_HEADINGS, CARD_ALIASES, CARD_FRAGMENTS = 16, 12, 3
 
 
-def block_numbers(nodes: DataFrame, least: int = MIN_CHARS, target: int = TARGET_CHARS, most: int = MAX_CHARS, max_nodes: int = MAX_NODES) -> DataFrame:
+#: Nodes that a task packs about.
+PART_ROWS = 200_000
+
+
+class _Packer:
+    """Packs nodes of one version after the other; ``state`` is (version, characters, nodes, last context) of the open block."""
+
+    def __init__(self, least: int, target: int, most: int, max_nodes: int, state: tuple = (None, 0, 0, None)) -> None:
+        self.bounds, self.state = (least, target, most, max_nodes), state
+
+    def starts(self, versions: list, contexts: list, kinds: list, sizes: list) -> list[bool]:
+        """Whether each node begins a block."""
+        least, target, most, max_nodes = self.bounds
+        version, chars, count, last = self.state
+        out = []
+        for v, ctx, kind, n in zip(versions, contexts, kinds, sizes):
+            if v != version:
+                version, chars, count, last = v, 0, 0, None
+            if count:
+                closed = chars >= least and (count >= max_nodes or chars >= most or ctx != last or kind in ("section", "appendix", "table"))
+                if closed or chars + n + 1 > most:
+                    chars, count = 0, 0
+            out.append(not count)
+            chars, count, last = chars + n + (1 if count else 0), count + 1, ctx
+            if chars >= target or count >= max_nodes:
+                chars, count = 0, 0
+        self.state = version, chars, count, last if count else None
+        return out
+
+
+def block_numbers(nodes: DataFrame, least: int = MIN_CHARS, target: int = TARGET_CHARS, most: int = MAX_CHARS, max_nodes: int = MAX_NODES, part_rows: int | None = None) -> DataFrame:
     """Add block_no: version_id, order_index, id, ctx, node_type, n_chars -> the same with the number of the node's block.
 
-    Packing is sequential within a version. Rows are hash-partitioned by version and sorted, and a task streams over them with only
-    the open block's state, so a version of any size needs constant memory. A block is closed before a node once it has
-    ``least`` characters and is full or the node opens another context, or if the node doesn't fit; and after a node at ``target``.
+    A block is closed before a node once it has ``least`` characters and is full or the node opens another context, or if the node
+    doesn't fit; and after a node at ``target``. Packing is sequential, but what is open at a point hardly ever depends on what was open
+    a few blocks before. So rows are range-partitioned in order, a version of any size over many tasks; each task packs as if nothing were
+    open at its start, and the tasks whose start turns out to be another are packed again with what the one before left open, until no
+    start changes (the second round, as a rule). A task streams over its rows and reports one row.
     """
-    own = nodes.select("version_id", "order_index", "id", "ctx", "node_type", "n_chars").repartition("version_id").sortWithinPartitions("version_id", "order_index", "id")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version, number, chars, count, last = None, 0, 0, 0, None
+    spark = nodes.sparkSession
+    own = nodes.select("version_id", "order_index", "id", "ctx", "node_type", "n_chars")
+    own = durable(own)
+    count = max(1, -(-own.count() // (part_rows or PART_ROWS)))
+    order = ["version_id", "order_index", "id"]
+    placed = durable(own.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    bounds = least, target, most, max_nodes
+
+    def packed(batches: Iterator[pa.RecordBatch], opened: dict[int, tuple]) -> Iterator[tuple]:
+        packer = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            version, ctx, kind, size = (batch.column(i).to_pylist() for i in (0, 3, 4, 5))
+            if packer is None:
+                packer = _Packer(*bounds, opened.get(batch.column(6)[0].as_py(), (None, 0, 0, None)))
+            yield batch, version, packer.starts(version, ctx, kind, size), packer
+
+    def reports(only: list[int] | None, opened: dict[int, tuple]) -> dict[int, tuple]:
+        shared = spark.sparkContext.broadcast(opened)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, last, begun, part, packer = None, None, 0, None, None
+            for batch, version, starts, packer in packed(batches, shared.value):
+                first, part = version[0] if part is None else first, batch.column(6)[0].as_py()
+                for v, s in zip(version, starts):
+                    last, begun = v, (begun if v == last else 0) + s
+            if part is not None:
+                yield pa.RecordBatch.from_pydict({"part": [part], "first": [first], "last": [last], "begun": [begun], "chars": [packer.state[1]], "count": [packer.state[2]], "ctx": [packer.state[3]]}, pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("begun", pa.int64()), ("chars", pa.int64()), ("count", pa.int64()), ("ctx", pa.string())]))
+
+        rows = placed if only is None else placed.where(F.col("_part").isin(only))
+        return {r.part: (r["first"], r["last"], r.begun, (r["last"], r.chars, r["count"], r.ctx)) for r in rows.mapInArrow(run, "part int, first string, last string, begun bigint, chars bigint, count bigint, ctx string").collect()}
+
+    told = reports(None, {})
+    opened: dict[int, tuple] = {}
+    while True:
+        line = sorted(told)
+        left = {b: told[a][3] for a, b in zip(line, line[1:]) if told[a][3][0] == told[b][0] and told[a][3][2]}
+        changed = [p for p in line if left.get(p) != opened.get(p)]
+        opened = left
+        if not changed:
+            break
+        told |= reports(changed, opened)
+    before: dict[int, int] = {}
+    for a, b in zip(line, line[1:]):  # blocks of the part's first version that began in parts before it
+        if told[a][1] == told[b][0]:
+            before[b] = told[a][2] + (before.get(a, 0) if told[a][0] == told[a][1] else 0)
+    shared = spark.sparkContext.broadcast((opened, before))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, begun = None, None, shared.value[1]
+        for batch, version, starts, _ in packed(batches, shared.value[0]):
             out = []
-            for v, ctx, kind, n in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
-                if v != version:
-                    version, number, chars, count, last = v, 0, 0, 0, None
-                if count:
-                    closed = chars >= least and (count >= max_nodes or chars >= most or ctx != last or kind in ("section", "appendix", "table"))
-                    if closed or chars + n + 1 > most:
-                        number, chars, count = number + 1, 0, 0
-                out.append(number)
-                chars, count, last = chars + n + (1 if count else 0), count + 1, ctx
-                if chars >= target or count >= max_nodes:
-                    number, chars, count = number + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "block_no"])
-
-    return own.mapInArrow(pack, "version_id string, order_index int, id string, ctx string, node_type string, n_chars int, block_no int")
+            for v, s in zip(version, starts):
+                if at is None:
+                    last, at = v, begun.get(batch.column(6)[0].as_py(), 0)
+                elif v != last:
+                    last, at = v, 0
+                at += s
+                out.append(at - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.int32())], [*batch.schema.names[:6], "block_no"])
+
+    return placed.mapInArrow(number, "version_id string, order_index int, id string, ctx string, node_type string, n_chars int, block_no int")
 
 
 def block_nodes(nodes: DataFrame) -> DataFrame:

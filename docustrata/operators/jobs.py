@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.functions.dates import retry_at
+from docustrata.operators.relational import numbered
 
 MAX_ATTEMPTS, RETRY_SECONDS = 3, 60
 #: Fields that the payload of a job type must have.
@@ -63,6 +64,5 @@ def is_temporary(error_class: Column) -> Column:
 
 
 def claim_order(jobs: DataFrame) -> DataFrame:
-    """The place of each job within its type, by schedule, creation and id."""
-    w = Window.partitionBy("job_type").orderBy("scheduled_at", "created_at", "job_id")
-    return jobs.withColumn("place", F.row_number().over(w))
+    """The place of each job within its type, by schedule, creation and id. Jobs without a type have no place and are left out."""
+    return numbered(jobs.where("job_type is not null"), ["job_type"], ["scheduled_at", "created_at", "job_id"], "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docustrata.session import durable
+
 
 def unique(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per key of the given columns; of differing rows the least. Null keys are left out."""
@@ -27,6 +29,37 @@ def tail(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame
     return top(df, by, order, n, "_rk").drop("_rk")
 
 
+#: Rows of ordered groups that a task holds about.
+PART_ROWS = 200_000
+
+
+def _parted(df: DataFrame, by: list[str], order: list[str], part_rows: int | None) -> DataFrame:
+    """Rows in range partitions of the group and order, each with its number: a group of any size lies over consecutive parts."""
+    df = durable(df)
+    return durable(df.repartitionByRange(max(1, -(-df.count() // (part_rows or PART_ROWS))), *by, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str, part_rows: int | None = None) -> DataFrame:
+    """Add the given columns of the row before in the same group, as a struct; null for a group's first row. The order must be total.
+
+    Windows hold one part of a group; where a part begins, the row before is the last one of the part before it.
+    """
+    placed = _parted(df, by, order, part_rows)
+    own = F.struct(*columns)
+    inner = placed.withColumn("_lag", F.lag(own).over(Window.partitionBy("_part", *by).orderBy(*order)))
+    ends = placed.groupBy("_part", *by).agg(F.max_by(own, F.struct(*order)).alias("_end")).withColumn("_part", F.col("_part") + 1)
+    return inner.join(ends, ["_part", *by], "left").withColumn(name, F.coalesce("_lag", "_end")).drop("_part", "_lag", "_end")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, part_rows: int | None = None) -> DataFrame:
+    """Add the place of each row in its group, from 1: its place in a part of the group, and the rows of the parts before."""
+    placed = _parted(df, by, order, part_rows)
+    sizes = placed.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    return inner.join(before, ["_part", *by]).withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_part", "_at", "_before")
+
+
 def shard_of(key: Column, shards: int) -> Column:
     """The number of a key's shard: the start of its digest, so every engine deals alike and no global numbering is needed."""
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % shards).cast("int")

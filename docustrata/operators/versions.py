@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.functions.codes import alias_form, code_aliases, compact_title, family, year
 from docustrata.functions.dates import is_newer
 from docustrata.functions.text import content_hash, squeeze
-from docustrata.operators.relational import top
+from docustrata.operators.relational import top, with_previous
+from docustrata.operators.skew import hot_keys, replicated, salted
 
 #: Parameters: the status vocabularies of a registry.
 ACTIVE = ["имеет силу", "имеет силу с изменениями", "имеет силу частично"]
@@ -44,14 +45,18 @@ def activations(versions: DataFrame) -> DataFrame:
     """Events of versions (document_id, version_id, content_hash, created_at) taken in order: version_id, event, reason, is_active.
 
     A version whose hash equals that of the version active before it is skipped; any other is activated and retires the one before.
-    As a skipped version doesn't change the active hash, that hash is the one of the row before.
+    As a skipped version doesn't change the active hash, that hash is the one of the row before. A document with very many versions is
+    split: its rows lie over several parts, and what is gathered of it is one row. Rows without a document are left out.
     """
-    w = Window.partitionBy("document_id").orderBy("created_at", "version_id")
-    marked = versions.withColumns({"_before": F.lag("content_hash").over(w), "_first": F.row_number().over(w) == 1})
+    keyed = versions.where("document_id is not null").select("document_id", "version_id", "content_hash", "created_at")
+    marked = with_previous(keyed, ["document_id"], ["created_at", "version_id"], ["content_hash"], "_row")
+    marked = marked.withColumns({"_before": F.col("_row.content_hash"), "_first": F.col("_row").isNull()})
     skipped = F.col("_before").eqNullSafe(F.col("content_hash")) & ~F.col("_first")
     seen = marked.withColumns({"event": F.when(skipped, "skipped_duplicate").otherwise("activated"), "reason": F.when(F.col("_first"), "initial_activation").when(skipped, "equal_content_hash").otherwise("new_content_hash")})
-    last = F.max_by("version_id", F.when(F.col("event") == "activated", F.struct("created_at", "version_id"))).over(Window.partitionBy("document_id"))
-    return seen.select("document_id", "version_id", "event", "reason", (F.col("version_id") == last).alias("is_active"))
+    last = seen.groupBy("document_id").agg(F.max_by("version_id", F.when(F.col("event") == "activated", F.struct("created_at", "version_id"))).alias("_last"))
+    hot = hot_keys(keyed, ["document_id"])
+    joined = salted(seen, hot, ["document_id"], "version_id").join(replicated(last, hot, ["document_id"]), ["document_id", "_salt"])
+    return joined.select("document_id", "version_id", "event", "reason", (F.col("version_id") == F.col("_last")).alias("is_active"))
 
 
 def current_documents(registry: DataFrame) -> DataFrame:

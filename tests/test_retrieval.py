@@ -69,3 +69,39 @@ def test_embedding_in_batches_and_shards(spark):
 def test_report_of_no_results(spark):
     r = metrics.evaluation_report(spark.createDataFrame([], "scenario string, document_hit boolean, locator_hit boolean, grounded boolean, unsupported boolean, partial boolean, mode_match boolean, forbidden boolean")).collect()
     assert [(x.scenario, x.n, x.document_hit_at_3) for x in r] == [("all", 0, 0.0)]
+
+
+def test_blocks_of_a_version_that_spans_many_tasks(spark):
+    import random
+
+    from docustrata.operators import blocks
+
+    rng = random.Random(3)
+    rows = [(v, i, f"{v}-{i:04}", rng.choice(["a", "b"]), rng.choice(["paragraph"] * 8 + ["section"]), rng.choice([5, 80, 300, 900, 2000])) for v, n in (("hot", 900), ("v1", 3), ("v2", 1), ("v3", 60)) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "version_id string, order_index int, id string, ctx string, node_type string, n_chars int")
+    want: dict = {}
+    for v in ("hot", "v1", "v2", "v3"):
+        number = chars = count = 0
+        last = None
+        for _, _, i, ctx, kind, n in sorted(r for r in rows if r[0] == v):
+            if count and ((chars >= 700 and (count >= 12 or chars >= 1800 or ctx != last or kind == "section")) or chars + n + 1 > 1800):
+                number, chars, count = number + 1, 0, 0
+            want[i] = number
+            chars, count, last = chars + n + (1 if count else 0), count + 1, ctx
+            if chars >= 1200 or count >= 12:
+                number, chars, count = number + 1, 0, 0
+    for size in (3, 40, 10_000):
+        assert {r.id: r.block_no for r in blocks.block_numbers(df, part_rows=size).collect()} == want
+    assert blocks.block_numbers(df.limit(0)).count() == 0
+
+
+def test_groups_over_many_parts(spark):
+    rows = [("hot", i) for i in range(500)] + [("a", 1), ("b", 1), ("b", 2)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    for size in (7, 10_000):
+        got = {(r.g, r.i): r.p for r in relational.numbered(df, ["g"], ["i"], "p", size).collect()}
+        assert got == {(g, i): i + 1 if g == "hot" else i for g, i in rows}
+        prev = {(r.g, r.i): r.b.i if r.b else None for r in relational.with_previous(df, ["g"], ["i"], ["i"], "b", size).collect()}
+        assert prev == {(g, i): i - 1 if (g, i - 1) in rows else None for g, i in rows}
+    assert relational.numbered(df.limit(0), ["g"], ["i"], "p").count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docustrata.functions.text import context_key, heading_label, rendered_node
 from docustrata.session import durable
+from docustrata.sources.files import Settings
 
 MIN_CHARS, TARGET_CHARS, MAX_CHARS, MAX_NODES = 700, 1200, 1800, 12
 CARD_HEADINGS, CARD_ALIASES, CARD_FRAGMENTS = 16, 12, 3
@@ -127,13 +128,14 @@ def block_nodes(nodes: DataFrame) -> DataFrame:
     return filled.select("id", "version_id", "order_index", "node_type", "locator_normalized", "heading_path", shown.alias("rendered"), F.coalesce(context_key(F.col("heading_path")), F.lit("")).alias("ctx")).withColumn("n_chars", F.length("rendered"))
 
 
-def semantic_blocks(nodes: DataFrame) -> DataFrame:
+def semantic_blocks(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """One row per block: version_id, block_no, start_order, end_order, n_nodes, anchor_order, locator, heading_path, text.
 
     The anchor is the last node with a locator, else the first heading, else the first node.
     """
     ready = block_nodes(nodes)
-    numbered = block_numbers(ready).select("id", "block_no").join(ready, "id")
+    limits = settings.block_min_chars, settings.block_target_chars, settings.block_max_chars, settings.block_max_nodes
+    numbered = block_numbers(ready, *limits).select("id", "block_no").join(ready, "id")
     head = F.col("node_type").isin("title", "section", "subsection", "appendix", "table")
     at = F.struct("order_index", "id")
     who = F.struct("order_index", "locator_normalized", "heading_path")

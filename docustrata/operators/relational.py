@@ -24,6 +24,11 @@ def place_in(by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def lookup(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of the named keys; the list reaches the scan as a filter. No values give no rows."""
+    return df.where(F.col(key).isin(*values)) if values else df.limit(0)
+
+
 def tail(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows of each group; ``order`` is the reverse of the order."""
     return top(df, by, order, n, "_rk").drop("_rk")

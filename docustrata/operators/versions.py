@@ -67,9 +67,15 @@ def current_documents(registry: DataFrame) -> DataFrame:
     return picked.select("document_id", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def active_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
-    """The current version of each document, else the newest active one (versions: document_id, version_id, is_active, created_at)."""
-    newest = versions.where("is_active").groupBy("document_id").agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("_newest"))
+def active_versions(documents: DataFrame, versions: DataFrame, strict: bool = False) -> DataFrame:
+    """The current version of each document, else the newest active one (versions: document_id, version_id, is_active, created_at).
+
+    ``strict``: a document with several active versions fails the query.
+    """
+    picked = F.max_by("version_id", F.struct("created_at", "version_id"))
+    if strict:
+        picked = F.when(F.count_distinct("version_id") > 1, F.raise_error(F.concat(F.lit("several active versions of "), F.max("document_id"))).cast("string")).otherwise(picked)
+    newest = versions.where("is_active").groupBy("document_id").agg(picked.alias("_newest"))
     return documents.join(newest, "document_id", "left").select("document_id", F.coalesce("current_version_id", "_newest").alias("version_id"))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docustrata.functions.scores import layer_score
 from docustrata.functions.text import mime_type
 
 
@@ -76,6 +78,73 @@ def through(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return df.mapInPandas(run, schema)
 
 
+class FetchError(Exception):
+    """A page that couldn't be fetched, after all tries."""
+
+
+def fetching(get: Callable[[str], tuple[int, bytes]], per_second: float = 2.0, tries: int = 3, clock=time.monotonic, sleep=time.sleep) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The work of a fetcher for ``through``: rows with a url -> url, status, body, error.
+
+    ``get`` gives status and body, or raises OSError (tried again, ``tries`` times in all). Requests of one task keep ``per_second``; a status of 400
+    or more is an error of its row, not of the query.
+    """
+
+    def work(batch: pd.DataFrame) -> pd.DataFrame:
+        out, last = [], None
+        for url in batch["url"]:
+            status, body, error = None, None, None
+            for attempt in range(tries):
+                if last is not None and (wait := last + 1 / per_second - clock()) > 0:
+                    sleep(wait)
+                last = clock()
+                try:
+                    status, body = get(url)
+                    error = f"status {status}" if status >= 400 else None
+                    break
+                except OSError as e:
+                    error = f"{type(e).__name__} after {attempt + 1} tries"
+            out.append((url, status, None if error else body, error))
+        return pd.DataFrame(out, columns=["url", "status", "body", "error"])
+
+    return work
+
+
+FETCHED = "url string, status int, body binary, error string"
+
+
+def pdf_texts(files: DataFrame, pages_of: Callable[[bytes], list[str]], least: float = 0.5) -> DataFrame:
+    """Texts of PDF files (path, content) by a reader of pages: path, combined_text, n_pages, text_layer_score, needs_ocr.
+
+    Pages are squeezed line by line and parted by a blank line; a text layer below ``least`` asks for recognition. A file that the reader
+    refuses has no pages.
+    """
+
+    def work(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                pages = pages_of(bytes(content)) if content is not None else []
+            except Exception:  # noqa: BLE001 - whatever a reader makes of a broken file
+                pages = []
+            kept = ["\n".join(filter(None, (" ".join(x.split()) for x in p.splitlines()))) for p in pages]
+            text = "\n\n".join(filter(None, kept))
+            out.append((path, text, len(pages), len(text), sum(c.isalpha() for c in text)))
+        return pd.DataFrame(out, columns=["path", "combined_text", "n_pages", "_chars", "_letters"])
+
+    read = through(files.select("path", "content"), work, "path string, combined_text string, n_pages int, _chars bigint, _letters bigint")
+    scored = read.withColumn("text_layer_score", layer_score(F.col("_chars"), F.col("_letters"), F.col("n_pages")))
+    return scored.select("path", "combined_text", "n_pages", "text_layer_score", (F.col("text_layer_score") < least).alias("needs_ocr"))
+
+
+def page_images(files: DataFrame, render: Callable[[bytes, int], list[bytes]], dpi: int = 200) -> DataFrame:
+    """Images of the pages of PDF files (path, content) by a renderer: path, page_number from 1, image."""
+
+    def work(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(path, i, image) for path, content in zip(batch["path"], batch["content"]) for i, image in enumerate(render(bytes(content), dpi), 1)], columns=["path", "page_number", "image"])
+
+    return through(files.select("path", "content").where("content is not null"), work, "path string, page_number int, image binary")
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """Page texts (version_id, page_number, text) as one text per version, parted by blank lines; blank pages are left out.
 

@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,13 +52,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: list[str]) -> None:
-    """Add the rows whose key the table doesn't hold yet; running it again adds nothing. Repeated keys in ``df`` count once."""
+def append_new(df: DataFrame, path: str, key: list[str]) -> int:
+    """Add the rows whose key the table doesn't hold yet, and tell how many; running it again adds nothing. Repeated keys in ``df`` count once."""
     rows = df.dropDuplicates(key)
     if os.path.exists(path) or "://" in path:
         have = df.sparkSession.read.parquet(path).select(*key).distinct()
         rows = rows.join(have, key, "left_anti")
-    rows.write.mode("append").parquet(path)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def without_keys(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
@@ -91,6 +93,11 @@ def read_database(spark: SparkSession, url: str, name: str, key: str | None = No
     return spark.read.format("jdbc").options(**options).load()
 
 
+def write_database(df: DataFrame, url: str, name: str, mode: str = "append") -> None:
+    """Rows into a database table through JDBC; a partition is one transaction."""
+    df.write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()
+
+
 def write_metrics(lines: DataFrame, path: str) -> None:
     """Samples (column line) of the metrics text as one file; there is one row per metric and label set."""
     lines.select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docustrata.operators.jobs import MAX_ATTEMPTS
+from docustrata.functions.text import chunks
+from docustrata.operators.jobs import MAX_ATTEMPTS, ready, states
 from docustrata.operators.orphans import OrphanLedger, parent_rows, reference_keys
 
 
@@ -71,3 +73,35 @@ def orphan_batches(ledger: OrphanLedger, after: Callable[[OrphanLedger, int], No
             after(ledger, number)
 
     return step
+
+
+def answer_events(answers: DataFrame, key: str = "answer_id", size: int = 120) -> DataFrame:
+    """The events by which answers (key, mode, text) are sent to a reader: key, seq, kind (start, chunk, end), data. Works on tables and streams alike."""
+    parts = F.transform(chunks(F.coalesce("text", F.lit("")), size), lambda x: F.struct(F.lit("chunk").alias("kind"), x.alias("data")))
+    ends = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), F.col("mode").alias("data")))
+    return answers.select(key, F.posexplode(F.concat(ends("start"), parts, ends("end"))).alias("seq", "e")).select(key, "seq", "e.kind", "e.data")
+
+
+def correlated(events: DataFrame, **context: str) -> DataFrame:
+    """Events with the run's context (such as a run and a request id) as columns, and a log line that holds both."""
+    told = events.withColumns({k: F.lit(v) for k, v in context.items()})
+    return told.withColumn("log_line", F.to_json(F.struct(*[F.col(c) for c in told.columns])))
+
+
+def progress_gauges(states: DataFrame) -> DataFrame:
+    """How many jobs are in each status, as states (job_id, status) come in: an update stream of status, n."""
+    return states.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def worker_loop(work: Callable[[DataFrame], DataFrame], record: Callable[[DataFrame, int], None], now: Callable[[], datetime]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over job events: the batch's jobs that are due are worked on, and what became of them is recorded as events.
+
+    ``work`` takes due jobs (job_id, status, scheduled_at, attempts) and gives events (job_id, kind: complete, temporary_error, permanent_error); ``record``
+    keeps them under the batch's number, so a batch that comes again replaces its own.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        due = ready(states(batch), F.lit(now()))
+        record(work(due), number)
+
+    return step

@@ -85,3 +85,59 @@ def test_external_boundary(spark):
     df = spark.createDataFrame([("v1", 2, " b  c \n\n"), ("v1", 1, "a"), ("v1", 3, " "), (None, 1, "x")], "version_id string, page_number int, text string")
     upper = artifacts.through(df, lambda pdf: pdf.assign(text=pdf["text"].str.upper()), df.schema.simpleString()[7:-1].replace(":", " "))
     assert artifacts.joined_pages(upper).first().combined_text == "A\n\nB C"
+
+
+def test_fetching_keeps_its_rate_and_tries_again(spark):
+    import pandas as pd
+
+    calls, slept, now = [], [], [0.0]
+
+    def get(url):
+        calls.append(url)
+        if url == "bad" or (url == "late" and calls.count("late") < 2):
+            raise TimeoutError
+        return (404 if url == "gone" else 200), b"x"
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    out = artifacts.fetching(get, 2.0, 3, lambda: now[0], sleep)(pd.DataFrame({"url": ["a", "late", "bad", "gone"]}))
+    assert out["error"].tolist() == [None, None, "TimeoutError after 3 tries", "status 404"]
+    assert (len(calls), len(slept), set(slept)) == (7, 6, {0.5})
+
+
+def test_pdf_texts_by_a_reader_of_pages(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x" * 900)), ("b", bytearray(b"")), ("c", None)], "path string, content binary")
+    got = {r.path: r for r in artifacts.pdf_texts(files, lambda data: [data.decode() + "\n\n y", " "] if data else 1 / 0).collect()}
+    assert (got["a"].combined_text, got["a"].n_pages, got["a"].needs_ocr) == ("x" * 900 + "\ny", 2, False)
+    assert (got["b"].n_pages, got["b"].needs_ocr, got["c"].combined_text) == (0, True, "")
+    assert artifacts.page_images(files, lambda data, dpi: [data[:1], b"2"]).count() == 4
+
+
+def test_answer_events_gauges_and_worker(spark):
+    import datetime as dt
+
+    answers = spark.createDataFrame([("q", "direct", "abcde"), ("n", "no_answer", None)], "answer_id string, mode string, text string")
+    events = streams.answer_events(answers, size=2).orderBy("answer_id", "seq").collect()
+    assert [(e.answer_id, e.kind, e.data) for e in events] == [("n", "start", "no_answer"), ("n", "end", "no_answer"), ("q", "start", "direct"), ("q", "chunk", "ab"), ("q", "chunk", "cd"), ("q", "chunk", "e"), ("q", "end", "direct")]
+    assert '"run":"r1"' in streams.correlated(answers, run="r1").first().log_line
+    t = dt.datetime(2024, 1, 1)
+    jobs = spark.createDataFrame([("j1", 1, t, "create"), ("j2", 2, t, "create"), ("j2", 3, t, "claim")], "job_id string, event_id bigint, ts timestamp, kind string")
+    kept = {}
+    step = streams.worker_loop(lambda due: due.select("job_id").withColumn("kind", F.lit("complete")), lambda done, n: kept.update({n: [r.job_id for r in done.collect()]}), lambda: t)
+    step(jobs, 4)
+    assert kept == {4: ["j1"]}
+    from docustrata.operators.jobs import states
+
+    assert {r.status: r.n for r in streams.progress_gauges(states(jobs)).collect()} == {"pending": 1, "running": 1}
+
+
+def test_several_active_versions_fail_where_that_is_asked(spark):
+    from docustrata.operators import versions
+
+    docs = spark.createDataFrame([("D", None)], "document_id string, current_version_id string")
+    v = spark.createDataFrame([("D", "V1", True, 1), ("D", "V2", True, 2)], "document_id string, version_id string, is_active boolean, created_at int")
+    assert versions.active_versions(docs, v).first().version_id == "V2"
+    with pytest.raises(Exception, match="several active versions"):
+        versions.active_versions(docs, v, strict=True).collect()

@@ -44,6 +44,8 @@ _CYR = re.compile("[а-яё]", re.I)
 _TOKEN = re.compile("[^\\s\U00010000-\U0010ffff]+")
 _MARK = re.compile(r"[\[({]{1,2}\s*PAGE\s*:?\s*\d+\s*[\])}]{1,2}|-+\s*PAGE\s+\d+\s*-+", re.I)
 _CODE = re.compile(r"(?:ГОСТ(?:\s*Р)?|СП|СНиП|СНИП)[\s.,~]*\d[\d\s.,~і-]*", re.I)
+#: A code of which one sign is misread: a short word, a number and a year, and nothing else but a note.
+_MISREAD_CODE = re.compile(r"\S{1,4}(?:\s+Р)?[\s.,~і0]\s*[\dі][\d.,~і]{2,}-[\d~.,і]{4}\s*(?:\(.*)?")
 #: What scanning makes of digits.
 _AS_DIGIT = str.maketrans("lIіiОоOoЗз", "1111000033")
 _ROMAN = re.compile(r"[ivxlcIVXLC]{1,6}")
@@ -299,6 +301,8 @@ def _shape(s: str) -> str:
     if m:
         rest = s[m.end() :].strip(" ~.,()")
         return "code" if not rest or re.match(r"[(~]?\s*издание", s[m.end() :].strip(" ~.,"), re.I) or len(rest) < 4 else "codetext"
+    if "-" in s and _MISREAD_CODE.fullmatch(s):
+        return "code"
     if "   " in s and _GAP.search(s):
         return "gap"
     if len(letters) > 7 and sum(ch.isupper() for ch in letters) > 0.8 * len(letters):
@@ -461,6 +465,16 @@ class Repairer:
             return made.upper() if word.isupper() else made.capitalize() if word[0].isupper() else made
         return None
 
+    def mended(self, line: str) -> str:
+        """A line with its misread words replaced, whatever stands at its ends."""
+        out, last = [], 0
+        for at, w in words_in(line):
+            made = self.fix(w) if w.lower() not in self.known else None
+            if made is not None and made != w:
+                out += [line[last:at], made]
+                last = at + len(w)
+        return "".join(out) + line[last:] if out else line
+
     def is_rest(self, word: str) -> bool:
         """Whether a word is how a known one ends."""
         back = word[::-1]
@@ -568,13 +582,15 @@ class Repairer:
         return a < len(low), a >= len(low)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], repairer: Repairer) -> Iterator[pa.RecordBatch]:
+    """Keys of the lines that may be running matter, with their words repaired: a header is found again also where it is misread."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for t, v, r, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
             for i, line in enumerate(text.split("\n")):
                 if k := line_key(line):
-                    for col, x in zip(out, (t, v, r, i, k)):
+                    mended = repairer.mended(line)
+                    for col, x in zip(out, (t, v, r, i, k if mended == line else line_key(mended) or k)):
                         col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], ["table_name", "version_id", "record_id", "line", "key"])
 
@@ -592,7 +608,7 @@ def repaired(texts: DataFrame) -> DataFrame:
     rare = [r.word for r in counts.where((F.col("n") < LEAST_COUNT) & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(RARE_WORDS).collect()]
     shared = spark.sparkContext.broadcast(Model(lexicon, rare).fields())
     several = texts.where(F.contains("text", F.lit("\n")))
-    keys = several.mapInArrow(_keys, "table_name string, version_id string, record_id string, line int, key string").distinct()
+    keys = several.mapInArrow(lambda batches: _keys(batches, kept(shared, "repairer", Repairer)), "table_name string, version_id string, record_id string, line int, key string").distinct()
     # a header may stand on a third of all pages: its key is counted before it is joined, and the counts are one row each
     keyed = durable(keys)
     place = ["table_name", "version_id", "key"]

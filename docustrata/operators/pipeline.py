@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docustrata.functions.codes import is_placeholder
-from docustrata.functions.text import chunk_hash, distinct_tokens, is_blank, locator, normalize_code
+from docustrata.functions.text import chunk_hash, distinct_tokens, is_blank, locator, normalize_code, squeeze
 from docustrata.operators import blocks, versions
 from docustrata.operators.relational import shard, unique
 
@@ -99,3 +99,29 @@ def repaired_corpus(documents: DataFrame, codes: DataFrame | None = None) -> Dat
         named = codes.select(normalize_code(F.col("code")).alias("normalized_code"), F.lit(True).alias("_listed")).distinct()
         documents, listed = documents.join(named, "normalized_code", "left"), F.coalesce("_listed", F.lit(False))
     return documents.select("document_id", F.when(listed | is_placeholder(F.col("display_code"), F.col("title")), "delete").otherwise("keep").alias("action"))
+
+
+def persisted_cards(cards: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the last card of each document makes of the registry: the documents after the upsert, and a download job for each accepted card.
+
+    cards: card_id, document_id, document_code, document_title, card_status_raw, source_list_status_raw, seen_at; documents: document_id, display_code,
+    title, status_normalized. Inactive and unknown cards change nothing; a known document takes the card's code and title where they are filled; a new one
+    is added. Running it again gives the same.
+    """
+    taken = versions.accepted_cards(cards, documents).where("action in ('update', 'insert')")
+    said = cards.select("card_id", "document_id", F.nullif(squeeze(F.col("document_code")), F.lit("")).alias("_code"), F.nullif(squeeze(F.col("document_title")), F.lit("")).alias("_title"))
+    said = said.groupBy("card_id", "document_id").agg(F.min(F.struct("_code", "_title")).alias("c")).select("card_id", "document_id", "c.*")
+    fresh = taken.join(said, ["card_id", "document_id"]).withColumn("_new", F.lit(True))
+    after = documents.select("document_id", "display_code", "title", "status_normalized").join(fresh, "document_id", "full")
+    rows = after.select("document_id", F.coalesce("_code", "display_code").alias("display_code"), F.coalesce("_title", "title").alias("title"), F.when(F.col("_new"), "active").otherwise(F.col("status_normalized")).alias("status_normalized"))
+    return rows, fresh.select(F.lit("download_artifacts").alias("job_type"), "document_id", "card_id", "action")
+
+
+def refreshed(old: DataFrame, new: DataFrame, failed: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """Rows after a refresh, and its events: documents with new rows have only these, unless their rebuild failed (failed: key): those keep the old ones."""
+    broken = failed.select(key).distinct()
+    good = new.join(broken, key, "left_anti")
+    touched = new.select(key).distinct()
+    rows = old.join(good.select(key).distinct(), key, "left_anti").unionByName(good.select(*old.columns))
+    events = touched.unionByName(broken).distinct().join(broken.withColumn("_broken", F.lit(True)), key, "left").select(key, F.when(F.col("_broken"), "refresh_failed").otherwise("refresh_completed").alias("status"))
+    return rows, events

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docustrata.functions.text import let, normalize_code, squeeze
+from docustrata.functions.text import let, node_locator, normalize_code, squeeze
 from docustrata.session import spread
 
 #: Fixed value: lines that name a page.
@@ -155,6 +155,15 @@ def heading_paths(nodes: DataFrame, key: str) -> DataFrame:
     return opened.withColumn("heading_path", F.array_join(F.array_compact(F.array(*above, F.col("_own"))), " > ")).drop("_own", "_s", "_b", "_p", "_u")
 
 
+def structured(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The nodes of texts in one pass: key, order_index, node_type, label, title, line, char_start, char_end, page_number, locator, parent_order_index, heading_path.
+
+    The tree and the paths take the same windows, so the lines are shuffled once.
+    """
+    nodes = heading_paths(tree(classified(prepared_lines(texts, key, text)), key), key)
+    return nodes.withColumn("locator", node_locator(F.col("node_type"), F.col("label"), F.col("order_index"), F.lit(None).cast("string")))
+
+
 def references(nodes: DataFrame, keys: list[str], title: str, text: str) -> DataFrame:
     """Document codes that nodes name: the keys, code, raw; each code once per node, the first spelling kept."""
     full = F.concat_ws(" ", F.col(title), F.col(text))

@@ -160,6 +160,14 @@ def heading_paths(s: SparkSession, d: str) -> DataFrame:
     return structure.heading_paths(_classified(s, d), "doc_id").select("doc_id", "order_index", F.sha2("heading_path", 256).alias("path_hash"))
 
 
+@query(f"""WITH RECURSIVE {_LINES}, {_classes()}, {_TREE}, ow AS (SELECT *, CASE WHEN node_type = 'title' THEN title WHEN node_type <> 'paragraph' THEN concat_ws(' ', label, title) END AS own FROM tr),
+up AS (SELECT doc_id, order_index, own AS path, parent_order_index AS nxt FROM ow UNION ALL SELECT up.doc_id, up.order_index, concat_ws(' > ', ow.own, up.path), ow.parent_order_index FROM up JOIN ow ON ow.doc_id = up.doc_id AND ow.order_index = up.nxt)
+SELECT doc_id, order_index, node_type, node_type || ':' || coalesce(nullif({sql.squeeze("coalesce(label, '')")}, ''), CAST(order_index AS VARCHAR)) AS locator, parent_order_index, sha256(coalesce(path, '')) AS path_hash FROM tr JOIN (SELECT doc_id, order_index, path FROM up WHERE nxt IS NULL) USING (doc_id, order_index)""")
+def normalize_structure(s: SparkSession, d: str) -> DataFrame:
+    n = structure.structured(table(s, d, "documents"), "doc_id", "text")
+    return n.select("doc_id", "order_index", "node_type", "locator", "parent_order_index", F.sha2("heading_path", 256).alias("path_hash"))
+
+
 _REFS = f"""rf AS (SELECT DISTINCT doc_id, {sql.code("regexp_replace(r, '[.,;:]+$', '')")} AS code FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{structure.REFERENCE}')) AS r FROM documents))"""
 
 

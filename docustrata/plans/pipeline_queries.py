@@ -165,3 +165,33 @@ _FILLER = ["что", "как", "для", "про", "это", "этой", "это
 @query(f"WITH {_CUR}, {corpus._PARSE.replace(corpus._ASK, corpus._ASKED)}, cc AS (SELECT item_id, list(DISTINCT token) AS ct FROM (SELECT item_id, unnest({sql.tokens('v')}) AS token FROM vq) GROUP BY 1) SELECT item_id, len(list_filter({sql.tokens('q')}, lambda t: length(t) > 2 AND t NOT IN ({', '.join(repr(f) for f in _FILLER)}) AND NOT coalesce(list_contains(ct, t), false))) > 0 AS substantial FROM nq LEFT JOIN cc USING (item_id)")
 def topic_substance(s: SparkSession, d: str) -> DataFrame:
     return corpus.asked_questions(s, d).select("item_id", retrieval.substantial(F.col("tokens"), F.col("codes"), _FILLER).alias("substantial"))
+
+
+_STATUS = corpus._ST("coalesce(nullif(" + _SQ("card_status_raw") + ", ''), source_list_status_raw)")
+_LASTC = f"cc AS (SELECT DISTINCT card_id, document_id, document_code, document_title, card_status_raw, source_list_status_raw, seen_at FROM document_cards WHERE document_id IS NOT NULL), lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seen_at DESC NULLS LAST, card_id DESC) AS r FROM cc) WHERE r = 1), ac AS (SELECT card_id, document_id, document_code, document_title FROM lc WHERE {_STATUS} = 'active')"
+
+
+@query(f"WITH {_CUR}, {_LASTC} SELECT document_id, coalesce(nullif({_SQ('document_code')}, ''), display_code) AS display_code, coalesce(nullif({_SQ('document_title')}, ''), title) AS title, CASE WHEN ac.document_id IS NOT NULL THEN 'active' ELSE status_normalized END AS status_normalized FROM cur FULL JOIN ac USING (document_id)")
+def persisted_cards(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "document_cards").select("card_id", "document_id", "document_code", "document_title", "card_status_raw", "source_list_status_raw", "seen_at").distinct()
+    return pipeline.persisted_cards(c, corpus.current(s, d))[0]
+
+
+_NEED = "nw AS (SELECT document_id, 'new ' || display_code AS display_code FROM cur WHERE CAST(right(document_id, 1) AS INT) % 2 = 0), fa AS (SELECT document_id FROM cur WHERE CAST(right(document_id, 1) AS INT) % 5 = 0)"
+
+
+def _refreshed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with an even number are rebuilt, of which those divisible by 5 fail."""
+    docs = corpus.current(s, d).select("document_id", "display_code")
+    no = F.right("document_id", F.lit(1)).cast("int")
+    return pipeline.refreshed(docs, docs.where(no % 2 == 0).withColumn("display_code", F.concat(F.lit("new "), "display_code")), docs.where(no % 5 == 0).select("document_id"))
+
+
+@query(f"WITH {_CUR}, {_NEED} SELECT document_id, display_code FROM nw WHERE document_id NOT IN (SELECT document_id FROM fa) UNION ALL SELECT document_id, display_code FROM cur WHERE document_id IN (SELECT document_id FROM fa) OR document_id NOT IN (SELECT document_id FROM nw)")
+def refreshed_documents(s: SparkSession, d: str) -> DataFrame:
+    return _refreshed(s, d)[0]
+
+
+@query(f"WITH {_CUR}, {_NEED} SELECT document_id, 'refresh_failed' AS status FROM fa UNION ALL SELECT document_id, 'refresh_completed' FROM nw WHERE document_id NOT IN (SELECT document_id FROM fa)")
+def refresh_events(s: SparkSession, d: str) -> DataFrame:
+    return _refreshed(s, d)[1]

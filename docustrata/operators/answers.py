@@ -52,18 +52,22 @@ def evidence_bundle(pack: DataFrame, qid: str, limit: int = 900) -> DataFrame:
     return pack.groupBy(qid).agg(F.array_join(lines, "\n").alias("bundle"))
 
 
+def listed_evidence(evidence: DataFrame, key: str) -> DataFrame:
+    """The evidence of each key, a few rows, as one: _all, its number, and _ids; always aggregated alike, so that a query shuffles it once."""
+    lists = evidence.groupBy(key).agg(F.collect_list(F.struct("evidence_id")).alias("_held"))
+    return lists.select(key, F.size("_held").alias("_all"), F.array_compact(F.col("_held.evidence_id")).alias("_ids"))
+
+
 def filtered_claims(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Claims (key, claim_no, text, evidence_ids) with the ids that are evidence of the same key: kept_ids, supported.
 
     Claims without text are dropped; an id counts once, in its first place. ``evidence``: key, evidence_id.
+    The join is by merging: of rows that an explode makes, Spark expects too few bytes and would broadcast millions.
     """
     filled = claims.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    known = evidence.select(key, "evidence_id").distinct()
-    asked = filled.select(key, "claim_no", F.posexplode(F.array_distinct("evidence_ids")).alias("pos", "evidence_id"))
-    kept = asked.join(known, [key, "evidence_id"], "left_semi").groupBy(key, "claim_no").agg(F.array_sort(F.collect_list(F.struct("pos", "evidence_id"))).alias("k"))
-    joined = filled.join(kept, [key, "claim_no"], "left")
-    ids = F.coalesce(F.transform("k", lambda x: x["evidence_id"]), F.array().cast("array<string>"))
-    return joined.select(key, "claim_no", "text", ids.alias("kept_ids"), (F.size(ids) > 0).alias("supported"))
+    ids = F.coalesce(F.array_intersect("evidence_ids", "_ids"), F.array().cast("array<string>"))
+    joined = filled.join(listed_evidence(evidence, key).hint("merge"), key, "left").withColumn("kept_ids", ids)
+    return joined.select(key, "claim_no", "text", "kept_ids", (F.size("kept_ids") > 0).alias("supported"))
 
 
 def cited_evidence(evidence: DataFrame, claims: DataFrame, key: str) -> DataFrame:
@@ -76,13 +80,12 @@ def verified_answers(answers: DataFrame, claims: DataFrame, evidence: DataFrame,
     """Answers (key, mode, text) after verification: mode, text, n_claims, n_evidence, limitation.
 
     Without a supported claim the mode is partial, or no_answer without evidence, and a limitation is added; direct answers on
-    fewer than two pieces of cited evidence become partial; an empty text becomes the claims' texts.
+    fewer than two pieces of cited evidence become partial; an empty text becomes the claims' texts. Cited evidence counts once an id.
+    Joined by merging, as in filtered_claims.
     """
-    supported = claims.where("supported").groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "text"))), lambda x: x["text"]), " ").alias("_texts"))
-    cited = cited_evidence(evidence, claims, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_evidence"))
-    have = evidence.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
-    j = answers.join(supported, key, "left").join(cited, key, "left").join(have, key, "left")
-    n, e, a = (F.coalesce(c, F.lit(0)) for c in ("n_claims", "n_evidence", "_all"))
+    supported = claims.where("supported").groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "text"))), lambda x: x["text"]), " ").alias("_texts"), F.flatten(F.collect_list("kept_ids")).alias("_cited"))
+    j = answers.join(supported.hint("merge"), key, "left").join(listed_evidence(evidence, key).hint("merge"), key, "left")
+    n, e, a = (F.coalesce(c, F.lit(0)) for c in (F.col("n_claims"), F.array_size(F.array_intersect("_cited", "_ids")), F.col("_all")))
     mode = F.when(n == 0, F.when(a > 0, "partial").otherwise("no_answer")).when((F.col("mode") == "direct") & (e < 2), "partial").otherwise(F.col("mode"))
     text = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, F.col("text")).otherwise(F.coalesce("_texts", F.lit("")))
     return j.select(key, mode.alias("mode"), text.alias("text"), n.cast("bigint").alias("n_claims"), F.when(n == 0, a).otherwise(e).cast("bigint").alias("n_evidence"), F.when(n == 0, "no supported claims").alias("limitation"))

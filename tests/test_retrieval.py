@@ -56,6 +56,19 @@ def test_claims_in_an_object_or_a_list(spark):
     assert [[c.text for c in r.c] for r in got] == [["a"], ["b"], [], [], []]
 
 
+def test_claims_are_held_against_evidence_without_a_broadcast(spark):
+    claims = spark.createDataFrame([(1, 1, "a", ["e2", "e1", "e2", "x", None]), (1, 2, "b", ["e2"]), (2, 1, "c", ["x"]), (3, 1, " ", ["e1"]), (4, 1, "d", ["e1"]), (5, 1, "f", None), (None, 1, "g", ["e1"])], "qid bigint, claim_no int, text string, evidence_ids array<string>")
+    evidence = spark.createDataFrame([(1, "e1"), (1, "e2"), (1, None), (2, "e1"), (3, "e1"), (4, "e1"), (4, "e1"), (None, "e1")], "qid bigint, evidence_id string")
+    drafts = spark.createDataFrame([(k, "direct", None if k == 1 else "t") for k in (1, 2, 3, 4, 5, None)], "qid bigint, mode string, text string")
+    kept = answers.filtered_claims(claims, evidence, "qid")
+    got = answers.verified_answers(drafts, kept, evidence, "qid")
+    found, verified = kept.collect(), got.collect()
+    assert not [df for df in (kept, got) if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+    assert {(r.qid, r.claim_no): (r.kept_ids, r.supported) for r in found} == {(1, 1): (["e2", "e1"], True), (1, 2): (["e2"], True), (2, 1): ([], False), (4, 1): (["e1"], True), (5, 1): ([], False), (None, 1): ([], False)}
+    no = "no supported claims"
+    assert {r.qid: tuple(r)[1:] for r in verified} == {1: ("direct", "a b", 2, 2, None), 2: ("partial", "t", 0, 1, no), 3: ("partial", "t", 0, 1, no), 4: ("partial", "t", 1, 1, None), 5: ("no_answer", "t", 0, 0, no), None: ("no_answer", "t", 0, 0, no)}
+
+
 def test_embedding_in_batches_and_shards(spark):
     units = spark.createDataFrame([(f"U{i}", "x" * i, 1) for i in range(1, 150)] + [("U0", " ", 1), ("Un", None, 1)], "unit_id string, text string, embedding int")
     done = pipeline.embedded(units, "unit_id", "text", lambda texts: [[float(len(t)), float(len(texts) <= 64)] for t in texts]).collect()
